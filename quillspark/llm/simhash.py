@@ -245,9 +245,9 @@ def assign(rows: DataFrame, budget: int = 2, most: int = TRIE) -> DataFrame:
     classes = reliable(rows.groupBy("fp").agg(F.min("id").alias("least")))
     found = components(link(classes.select("fp"), budget, most))
     linked = classes.join(found.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = linked.join(least, "root").select("fp", "component_id")
-    # By another expression than the classes are dealt by, so that a fingerprint of very many rows can be split.
+    least = linked.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "top")
+    # By another expression than the sums are dealt by, so that a component or fingerprint of very many rows can be split.
+    classes = linked.join(least, F.bitwise_not("root") == F.bitwise_not("top")).select("fp", "component_id")
     return rows.join(classes.withColumnRenamed("fp", "other"), F.bitwise_not("fp") == F.bitwise_not("other")).select("id", "fp", "component_id")
 
 
