@@ -159,10 +159,12 @@ def deal(fps: DataFrame, budget: int, most: int = TRIE) -> DataFrame:
         key = F.broadcast(hot) if n_hot <= BROADCAST_ROWS else hot
         cold = rows.join(key, ["mask", "value"], "left_anti")
         done = cold if done is None else done.unionByName(cold)
-        children = {m: [m | c for c in split_mask(MASK & ~m, budget + 1)] for m in masks}
-        into = F.lit(None).cast("array<long>")
+        used = {r["mask"] & MASK for r in hot.select("mask").distinct().collect()}  # of len(masks) at most
+        children = {m: [m | c for c in split_mask(MASK & ~m, budget + 1)] for m in masks if m in used}
+        into = None
         for m, c in children.items():
-            into = F.when(F.col("mask") == signed(m), F.array(*(F.lit(signed(x)) for x in c))).otherwise(into)
+            test, value = F.col("mask") == signed(m), F.array(*(F.lit(signed(x)) for x in c))
+            into = F.when(test, value) if into is None else into.when(test, value)
         rows = rows.join(key, ["mask", "value"], "left_semi").select("fp", F.explode(into).alias("mask")).withColumn("value", F.col("fp").bitwiseAND(F.col("mask")))
         masks = [x for c in children.values() for x in c]
 
