@@ -35,7 +35,7 @@ def nearest(queries: DataFrame, reference: DataFrame, k: int, skip_self: bool =
                 if skip_self:
                     d[pdf["id"].to_numpy()[:, None] == ids[None]] = np.inf
                 n = min(k, len(ids))
-                best = np.argpartition(d, n - 1, axis=1)[:, :n]
+                best = np.argsort(d, axis=1, kind="stable")[:, :n]  # of equal distances the least id
                 at = np.arange(len(q))[:, None]
                 exact = ((q[:, None, :] - vectors[best]) ** 2).sum(2)
                 exact[~np.isfinite(d[at, best])] = np.inf
@@ -46,6 +46,7 @@ def nearest(queries: DataFrame, reference: DataFrame, k: int, skip_self: bool =
 
     def flush():
         nonlocal parts, held
+        held.sort(key=lambda r: r["id"])
         ids, classes = np.array([r["id"] for r in held]), np.array([r["cls"] for r in held])
         found = queries.select("id", "features").mapInPandas(block(ids, classes, np.array([r["features"] for r in held], dtype=np.float64)), "id long, other long, cls int, distance double")
         parts = found if parts is None else parts.unionByName(found)
