@@ -35,7 +35,7 @@ LABELLED, LEXICON, SAMPLE = 20_000, 5_000, 2_500
 #: Buckets of the hashed features.
 BUCKETS = 1 << 18
 #: A listed word or stem is in so many toxic documents and such a share of them at least, and so many times as often there as elsewhere.
-LEXICON_DOCS, LEXICON_SHARE, LEXICON_ODDS = 4, 0.01, 30.0
+LEXICON_DOCS, LEXICON_SHARE, LEXICON_ODDS = 3, 0.01, 30.0
 STEM = 4
 
 #: Sketches that tell near copies among the labelled documents.
