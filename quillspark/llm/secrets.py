@@ -45,7 +45,9 @@ def labelled_samples(docs: DataFrame, text: str = "text", n_docs: int = SAMPLE_D
     """
     spark = docs.sparkSession
     body = F.coalesce(F.col(text), F.lit(""))
-    few = docs.select(body.alias("body"), F.xxhash64(body).alias("h")).orderBy("h", "body").limit(n_docs)
+    # The n_docs-th smallest hash first, so that no text is moved.
+    last = docs.select(F.xxhash64(body).alias("h")).distinct().orderBy("h").limit(n_docs).agg(F.max("h").alias("h")).first()["h"]
+    few = docs.select(body.alias("body"), F.xxhash64(body).alias("h")).where(F.col("h") <= F.lit(last if last is not None else 0)).dropDuplicates(["h"])
     word = few.select(F.explode(F.slice(F.regexp_extract_all("body", F.lit("[A-Za-z]{2,}"), F.lit(0)), 1, SAMPLE_WORDS)).alias("w"))
     forms = ("w", "concat(w, '_', lower(reverse(w)))", "concat(lower(w), 'Of', initcap(w))", "concat('/', w, '/', w)", "concat(w, '-', w)")
     plain = word.select(F.explode(F.array(*map(F.expr, forms))).alias("value"))
