@@ -11,6 +11,7 @@ from quillspark.operators import automata as W
 from quillspark.operators import images as I
 from quillspark.operators import learning as N
 from quillspark.operators import profiles as P
+from quillspark.operators import relabel as R
 from quillspark.operators import spatial as B
 from quillspark.operators import stats as S
 from quillspark.plans import components
@@ -130,6 +131,10 @@ QUERIES = {
     "stats_confusions": Query(lambda s, d: S.confusions(labels_confusion(s, d)), "SELECT quality AS pred, toxic AS true, count(*) AS n FROM labels WHERE quality >= 0 AND toxic >= 0 AND quality <> toxic GROUP BY 1, 2"),
     "stats_class_counts": Query(lambda s, d: table(s, d, "embeddings").where("label >= 0").agg(F.countDistinct("label").alias("classes"), F.count(F.lit(1)).alias("samples")), "SELECT count(DISTINCT label) AS classes, count(*) AS samples FROM embeddings WHERE label >= 0"),
     "stats_entropy": Query(lambda s, d: table(s, d, "events").groupBy("event_type").count().withColumn("p", F.col("count") / F.sum("count").over(Window.partitionBy())).agg(F.round(F.sum(-F.col("p") * F.log("p")), 6).alias("entropy"), F.round(F.exp(F.sum(-F.col("p") * F.log("p"))), 6).alias("perplexity")), "WITH p AS (SELECT count(*) / sum(count(*)) OVER () AS p FROM events GROUP BY event_type) SELECT round(sum(-p * ln(p)), 6) AS entropy, round(exp(sum(-p * ln(p))), 6) AS perplexity FROM p"),
+    "relabel_palette": Query(lambda s, d: table(s, d, "part").select("p_partkey", R.recolor(F.col("p_partkey"), (10, 20, 30, 40, 50)).alias("color")), "SELECT p_partkey, CAST([10, 20, 30, 40, 50][p_partkey % 5 + 1] AS INTEGER) AS color FROM part"),
+    "feature_augment": Query(lambda s, d: table(s, d, "embeddings").select("vec_id", A.total(R.augment(A.quantize(F.col("embedding")), F.array(F.col("label")))).alias("total")), "SELECT vec_id, list_sum(list_transform(embedding, lambda x: CAST(round(CAST(x AS DOUBLE) * 100) AS INTEGER))) + label AS total FROM embeddings"),
+    "stats_group_median": Query(lambda s, d: R.group_median(table(s, d, "part"), "p_size", ["p_brand"]), "SELECT p_brand, CAST(median(p_size) AS DOUBLE) AS median FROM part GROUP BY 1"),
+    "stats_accuracy_by_size": Query(lambda s, d: R.accuracy_by_size(table(s, d, "lineitem"), F.col("l_returnflag") == "N", F.col("l_quantity"), 10), "SELECT CAST(floor(l_quantity / 10) AS BIGINT) AS bucket, count(*) AS n, CAST(sum(CASE WHEN l_returnflag = 'N' THEN 1 ELSE 0 END) AS BIGINT) AS \"right\" FROM lineitem GROUP BY 1"),
     "relabel_dense": Query(lambda s, d: S.dense_relabel(table(s, d, "part").select("p_partkey", (F.col("p_size") % 7 * 11).alias("label")), "label").select("p_partkey", "dense"), "SELECT p_partkey, CAST(CASE WHEN p_size % 7 = 0 THEN 0 ELSE p_size % 7 END AS INTEGER) AS dense FROM part"),
     "label_packing": Query(lambda s, d: table(s, d, "part").select("p_partkey", I.pack_label(F.col("p_size") % 31 + 1, F.col("p_size") % 200, F.col("p_size") % 250).alias("packed")), "SELECT p_partkey, CAST(((p_size % 31 + 1) << 16) | ((p_size % 200) << 8) | (p_size % 250) AS INTEGER) AS packed FROM part"),
     "box_overlap_join": Query(lambda s, d: B.overlap_join(*boxes(s, d)).select("img", "a_id", "b_id", F.col("shared").cast("long").alias("shared")), BOX + "SELECT a.img, a.id AS a_id, b.id AS b_id, CAST((least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) AS BIGINT) AS shared FROM a JOIN b ON a.img = b.img AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1"),
