@@ -136,3 +136,24 @@ def merge_datasets(first: DataFrame, *others: DataFrame) -> DataFrame:
     for other in others:
         first = first.unionByName(other, allowMissingColumns=True)
     return first
+
+
+def split_samples(df: DataFrame, key: str, fraction: float) -> DataFrame:
+    """All rows with a column `testing`, true for exactly int(fraction * n) of them: the first in the order of (key mod BUCKETS, key).
+
+    Only the buckets' counts meet at the driver, and only one bucket is ranked.
+    """
+    b = F.coalesce(F.pmod(key, F.lit(BUCKETS)).cast("int"), F.lit(BUCKETS))
+    counts = {r["b"]: r["count"] for r in df.groupBy(b.alias("b")).count().collect()}
+    left, whole, edge = int(fraction * sum(counts.values())), [], None
+    for k in sorted(counts):
+        if counts[k] > left:
+            edge = k
+            break
+        whole.append(k)
+        left -= counts[k]
+    if edge is None:
+        return df.withColumn("testing", F.lit(True))
+    rest = df.where(b != edge).withColumn("testing", b.isin(*whole) if whole else F.lit(False))
+    ranked = df.where(b == edge).withColumn("testing", F.row_number().over(Window.partitionBy(b).orderBy(key)) <= left)
+    return rest.unionByName(ranked)

@@ -44,10 +44,12 @@ def gauss2d(df: DataFrame, sx: float, sy: float) -> DataFrame:
 
 
 def forward_gradients(df: DataFrame) -> DataFrame:
-    """(img, x, y, gx, gy, gm): differences to the next pixel right and above; pixels without both are left out."""
+    """(img, x, y, gx, gy, gm): differences to the next pixel right and above; 0 at pixels without both."""
     by_row, by_column = Window.partitionBy("img", "y").orderBy("x"), Window.partitionBy("img", "x").orderBy("y")
     near = df.select(*XY, (F.lead("v").over(by_row) - F.col("v")).alias("gx"), (F.lead("v").over(by_column) - F.col("v")).alias("gy"), F.lead("x").over(by_row).alias("_x"), F.lead("y").over(by_column).alias("_y"))
-    return near.where("_x = x + 1 and _y = y + 1").select(*XY, "gx", "gy", F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")).alias("gm"))
+    both = F.coalesce((F.col("_x") == F.col("x") + 1) & (F.col("_y") == F.col("y") + 1), F.lit(False))
+    g = near.select(*XY, F.when(both, F.col("gx")).otherwise(0).alias("gx"), F.when(both, F.col("gy")).otherwise(0).alias("gy"))
+    return g.withColumn("gm", F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")))
 
 
 def _fetch(asked: DataFrame, df: DataFrame) -> DataFrame:

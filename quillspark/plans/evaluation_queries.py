@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from quillspark.operators import edges as G
 from quillspark.operators import evaluation as E
 from quillspark.operators import resample as M
 from quillspark.operators import stats as S
@@ -24,6 +25,11 @@ COS, SIN = math.cos(0.3), math.sin(0.3)
 _LINE = "SELECT a.img, a.x, a.y, sum(b.v * exp(-d * d / {q})) / (SELECT sum(exp(-d * d / {q})) FROM {k}) AS v FROM (SELECT *, min({c}) OVER w AS lo, max({c}) OVER w AS hi FROM {t} WINDOW w AS (PARTITION BY img, {o})) a CROSS JOIN {k} JOIN {t} b ON b.img = a.img AND b.{o} = a.{o} AND b.{c} = least(greatest(a.{c} + d, lo), hi) GROUP BY ALL"
 GAUSS = PX + ", ky AS (SELECT unnest(range(-4, 5)) AS d), kx AS (SELECT unnest(range(-7, 8)) AS d), g1 AS (" + _LINE.format(q="2.0", k="ky", c="y", o="x", t="px") + "), g2 AS (" + _LINE.format(q="8.0", k="kx", c="x", o="y", t="g1") + ") "
 _SCALED = PX + ", z AS (SELECT DISTINCT img, max(x1) OVER (PARTITION BY img) AS w, max(y1) OVER (PARTITION BY img) AS h FROM e), n AS (SELECT *, greatest(1, CAST(floor(w * 1.5) AS INTEGER)) AS nx, greatest(1, CAST(floor(h * 0.7) AS INTEGER)) AS ny FROM z), gx AS (SELECT *, unnest(range(0, nx)) AS x FROM n), gy AS (SELECT *, unnest(range(0, ny)) AS y FROM gx), pl AS (SELECT *, {px} AS px, {py} AS py FROM (SELECT *, x * w / nx::DOUBLE AS ux, y * h / ny::DOUBLE AS uy FROM gy)) SELECT pl.img, CAST(pl.x AS INTEGER) AS x, CAST(pl.y AS INTEGER) AS y, round(sum(v * (CASE WHEN i = 1 THEN px - floor(px) ELSE 1 - (px - floor(px)) END) * (CASE WHEN j = 1 THEN py - floor(py) ELSE 1 - (py - floor(py)) END)), 6) AS v FROM pl CROSS JOIN (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) f(i, j) JOIN px b ON b.img = pl.img AND b.x = least(w - 1, floor(px) + i) AND b.y = least(h - 1, floor(py) + j) GROUP BY 1, 2, 3"
+GRAD = PX + ", d AS (SELECT a.img, a.x, a.y, r.v - a.v AS gx, u.v - a.v AS gy FROM px a LEFT JOIN px r ON r.img = a.img AND r.x = a.x + 1 AND r.y = a.y LEFT JOIN px u ON u.img = a.img AND u.x = a.x AND u.y = a.y + 1), g AS (SELECT img, x, y, CASE WHEN gx + gy IS NULL THEN 0 ELSE gx END AS gx, CASE WHEN gx + gy IS NULL THEN 0 ELSE gy END AS gy, CASE WHEN gx + gy IS NULL THEN 0 ELSE sqrt(gx * gx + gy * gy) END AS gm FROM d) "
+SUPPRESSED = GRAD + ", q AS (SELECT a.*, CASE WHEN a.gx >= 0 THEN 1 ELSE -1 END AS bx, CASE WHEN a.gy >= 0 THEN 1 ELSE -1 END AS \"by\", abs(a.gx) > abs(a.gy) AS flat, greatest(abs(a.gx), abs(a.gy)) AS hi, least(abs(a.gx), abs(a.gy)) AS lo FROM g a JOIN g b ON a.img = b.img AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 GROUP BY ALL HAVING count(*) = 9), f AS (SELECT q.*, o.x - q.x AS ox, o.y - q.y AS oy, o.gm AS og FROM q JOIN g o ON o.img = q.img AND abs(o.x - q.x) <= 1 AND abs(o.y - q.y) <= 1), w AS (SELECT img, x, y, gm, hi, lo, max(CASE WHEN ox = -bx AND oy = -\"by\" THEN og END) AS d0, max(CASE WHEN ox = bx AND oy = \"by\" THEN og END) AS d1, max(CASE WHEN ox = -(CASE WHEN flat THEN bx ELSE 0 END) AND oy = -(CASE WHEN flat THEN 0 ELSE \"by\" END) THEN og END) AS u0, max(CASE WHEN ox = CASE WHEN flat THEN bx ELSE 0 END AND oy = CASE WHEN flat THEN 0 ELSE \"by\" END THEN og END) AS u1 FROM f GROUP BY ALL), sup AS (SELECT * FROM w WHERE hi * gm > lo * d0 + (hi - lo) * u0 AND hi * gm >= lo * d1 + (hi - lo) * u1) "
+FRACTILE = GRAD + ", nz AS (SELECT img, gm, min(gm) OVER w AS lo, max(gm) OVER w AS hi, count(*) OVER w AS n FROM g WHERE gm <> 0 WINDOW w AS (PARTITION BY img)), b AS (SELECT *, least(999, floor(1000 / (hi - lo) * (gm - lo))) AS b FROM nz), k AS (SELECT img, lo, hi, n, b, count(*) AS c FROM b GROUP BY ALL), r AS (SELECT *, sum(c) OVER (PARTITION BY img ORDER BY b) AS upto FROM k) SELECT img, round(max(lo) + (max(hi) - max(lo)) * (min(b) + 1) / 1000, 6) AS fractile FROM r WHERE upto >= floor(n * 0.3) GROUP BY img"
+HYSTERESIS = "WITH RECURSIVE " + PX[5:] + ", reach AS (SELECT img, x, y FROM px WHERE v >= 230 UNION SELECT o.img, o.x, o.y FROM reach q JOIN px o ON o.img = q.img AND o.v >= 150 AND abs(o.x - q.x) <= 1 AND abs(o.y - q.y) <= 1 AND NOT (o.x = q.x - 1 AND o.y = q.y - 1)) SELECT px.img, px.x, px.y, CASE WHEN r.img IS NOT NULL THEN 1.0 WHEN v >= 150 THEN 0.5 ELSE 0.0 END::DOUBLE AS v FROM px LEFT JOIN reach r ON r.img = px.img AND r.x = px.x AND r.y = px.y"
+CURVATURE = PX + ", n AS (SELECT a.img, a.x, a.y, " + ", ".join(f"max(CASE WHEN b.x = a.x + {i} AND b.y = a.y + {j} THEN b.v END)::DOUBLE AS n{i + 1}{j + 1}" for i in (-1, 0, 1) for j in (-1, 0, 1)) + " FROM px a JOIN px b ON a.img = b.img AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 GROUP BY 1, 2, 3 HAVING count(*) = 9), c AS (SELECT *, (n21 - n01) / 2 AS dx, (n12 - n10) / 2 AS dy FROM n) SELECT img, x, y, round(CASE WHEN dx = 0 AND dy = 0 THEN 0 ELSE ((2 * n11 - n01 - n21) * dy * dy - 2 * (n00 + n22 - n20 - n02) * dx * dy + (2 * n11 - n10 - n12) * dx * dx) / (dx * dx + dy * dy) END, 6) AS v FROM c"
 
 
 def cells(s, d):
@@ -67,7 +73,12 @@ QUERIES = {
     "weighted_draws": Query(draws, DRAWS + "SELECT d.draw, c.id FROM d ASOF JOIN c ON d.at >= c.low"),
     "dataset_merge": Query(datasets, "SELECT vec_id AS id, label AS cls, CAST(len(embedding) AS INTEGER) AS n FROM embeddings UNION ALL SELECT doc_id, NULL, 2 FROM labels"),
     "image_gauss2d": Query(lambda s, d: rounded(M.gauss2d(pixels(s, d), 2.0, 1.0), "v"), GAUSS + "SELECT img, x, y, round(v, 6) AS v FROM g2"),
-    "image_forward_gradients": Query(lambda s, d: rounded(M.forward_gradients(pixels(s, d)), "gm"), PX + "SELECT a.img, a.x, a.y, r.v - a.v AS gx, u.v - a.v AS gy, round(sqrt((r.v - a.v) * (r.v - a.v) + (u.v - a.v) * (u.v - a.v)), 6) AS gm FROM px a JOIN px r ON r.img = a.img AND r.x = a.x + 1 AND r.y = a.y JOIN px u ON u.img = a.img AND u.x = a.x AND u.y = a.y + 1"),
+    "image_forward_gradients": Query(lambda s, d: rounded(M.forward_gradients(pixels(s, d)), "gm"), GRAD + "SELECT img, x, y, gx, gy, round(gm, 6) AS gm FROM g"),
+    "image_suppress": Query(lambda s, d: rounded(G.suppress(M.forward_gradients(pixels(s, d))), "gm"), SUPPRESSED + "SELECT img, x, y, round(gm, 6) AS gm FROM sup"),
+    "image_nonzero_fractile": Query(lambda s, d: rounded(G.nonzero_fractile(M.forward_gradients(pixels(s, d)), "gm", 0.3, 1000), "fractile"), FRACTILE),
+    "image_hysteresis": Query(lambda s, d: G.hysteresis(pixels(s, d), "v", 150, 230), HYSTERESIS),
+    "image_level_curvature": Query(lambda s, d: rounded(G.level_curvature(pixels(s, d)), "v"), CURVATURE),
+    "sample_split": Query(lambda s, d: E.split_samples(table(s, d, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", 0.1), "SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY o_orderkey % 1024, o_orderkey) <= (SELECT floor(count(*) * 0.1) FROM orders) AS testing FROM orders"),
     "image_rotate_sample": Query(lambda s, d: M.rotate_sample(pixels(s, d), COS, SIN), PX + f", q AS (SELECT img, x, y, x0, x1, y0, y1, floor((x - x1 / 2.0) * {COS}::DOUBLE - (y - y1 / 2.0) * {SIN}::DOUBLE + x1 / 2.0 + 1) AS sx, floor((x - x1 / 2.0) * {SIN}::DOUBLE + (y - y1 / 2.0) * {COS}::DOUBLE + y1 / 2.0 + 1) AS sy FROM e) SELECT q.img, q.x, q.y, b.v FROM q JOIN px b ON b.img = q.img AND b.x = greatest(x0, least(x1 - 1, sx)) AND b.y = greatest(y0, least(y1 - 1, sy))"),
     "image_scale_interpolate": Query(lambda s, d: rounded(M.scale_interpolate(pixels(s, d), 1.5, 0.7, False), "v"), _SCALED.format(px="ux", py="uy")),
     "image_scale_whole": Query(lambda s, d: rounded(M.scale_interpolate(pixels(s, d), 1.5, 0.7), "v"), _SCALED.format(px="floor(ux + 0.5)", py="floor(uy + 0.5)")),
