@@ -1,16 +1,20 @@
-"""Near-duplicate removal with wide SimHash fingerprints: one document of each group stays.
+"""Near-duplicate removal by an exact set join: one document of each group stays.
 
-A document is the set of its shingles. Its 256-bit SimHash estimates the similarity of two
-documents; pairs to compare come from eight small SimHash fingerprints, each of the three
-shingles of least hash in an eighth of the set. Two documents of similarity 0.8 share one of
-them with probability over 0.99, and a pair counts when its wide fingerprints differ in BITS
-of 256 bits at most (a similarity of 0.8 gives 39 on average and rarely more than that limit,
-unrelated texts give 128).
+A document is the set of its shingles (64-bit hashes); two documents are linked when the
+Jaccard similarity of their sets is LIKE or more, and the groups are the components of the
+links. Documents of equal sets are one class from the start.
 
-Documents of equal fingerprint are one class from the start. The classes that share a small
-fingerprint are compared with leaders: the first class takes all that are near it, the next
-one left takes those near it, and so on. A hot group is dealt into parts of GROUP classes; the
-leaders of all parts are compared again, in further rounds, by pairs of small fingerprints.
+Candidates come from prefixes: with the shingles of every set in one common order, two sets of
+n and m shingles and similarity t share at least ceil(t * max(n, m)) of them, so the first
+n - ceil(t * n) + 1 of one set and the first m - ceil(t * m) + 1 of the other meet. No pair
+of LIKE or more is lost. Any order does; rare shingles come first here, as counted on a
+bounded sample of texts, which keeps the groups of one shingle small and has no say in the
+result. A candidate becomes a link after the two whole sets are compared.
+
+Pairs of one component need no second look: first every class is compared with one class of
+each of its shingles, then all pairs that share a shingle and are still in different
+components. A shingle of many classes is dealt into parts of GROUP classes, and every part
+meets every other.
 
 Defined cases: texts without words are one class; texts of fewer words than a shingle are one
 shingle; of equal ids all rows but one go; rows without an id stay; an empty table stays empty.
@@ -20,144 +24,183 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import reliable
-from quillspark.llm.simhash import BROADCAST_ROWS, components, shingle_hashes, simhash
+from quillspark.llm.simhash import BROADCAST_ROWS, components, shingle_hashes
 
-WORDS, BITS, BAGS, LEAST = 5, 52, 8, 3
-GROUP, ROUNDS = 256, 8
+WORDS, LIKE = 5, 0.8
+#: Classes of one part of a hot shingle; texts and shingles of the sample that orders the shingles.
+GROUP, SAMPLE_TEXTS, SAMPLE_SHINGLES = 256, 4_000, 200_000
+#: Most turns of stars before the rest is compared in full.
+TURNS = 3
+#: Below any difference of two fractions of set sizes, above the rounding of a product.
+TINY = 1e-9
 
 
-def _mixed(h: np.ndarray, k: int) -> np.ndarray:
-    """Another hash of a 64-bit hash."""
-    with np.errstate(over="ignore"):
-        x = h + np.uint64((0x9E3779B97F4A7C15 * (k + 1)) & ((1 << 64) - 1))
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
+def shingle_set(text: str | None, words: int = WORDS) -> tuple[int, np.ndarray]:
+    """(class, shingle hashes in rising order): the class is a signed hash of the whole set."""
+    h = np.unique(shingle_hashes(text, words, 42))
+    return int(np.uint64(xxhash.xxh3_64_intdigest(h.tobytes())).astype(np.int64)), h
 
 
-def sketch(text: str | None, words: int = WORDS) -> tuple[list[int], list[int]]:
-    """(wide fingerprint as 4 numbers, small fingerprints), all unsigned."""
-    h = np.unique(shingle_hashes(text, words, 42))
-    wide = [simhash(_mixed(h, k)) for k in range(4)]
+def prefix(h: np.ndarray, common: np.ndarray, counts: np.ndarray, like: float = LIKE) -> np.ndarray:
+    """The first n - ceil(like * n) + 1 of n hashes, by their count in the sample (`common` is sorted), then by themselves."""
     if not len(h):
-        return wide, [0]
-    order = np.sort(_mixed(h, 4))
-    bag = (order % np.uint64(BAGS)).astype(np.int64)
-    small = []
-    for k in range(BAGS):
-        own = order[bag == k][:LEAST]
-        if len(own):
-            small.append(simhash(_mixed(own, 5 + k)))
-    return wide, small
-
-
-def _sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+        return h
+    seen = np.zeros(len(h), dtype=np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+        seen = np.where(common[at] == h, counts[at], 0)
+    return h[np.lexsort((h, seen))[: len(h) - int(np.ceil(like * len(h) - TINY)) + 1]]
+
+
+def _sets(docs: DataFrame, id_col: str, text_col: str, words: int, cut=None) -> DataFrame:
+    """(id, node, size, hashes): cut(hashes) of the set of each row."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         for b in batches:
             for part in range(0, b.num_rows, 256):
-                cut = b.slice(part, 256)
-                got = [sketch(t, words) for t in cut.column(1).to_pylist()]
-                wide = np.array([g[0] for g in got], dtype=np.uint64).view(np.int64).reshape(-1, 4)
-                small = pa.array([np.array(g[1], dtype=np.uint64).view(np.int64) for g in got], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([cut.column(0), *(pa.array(wide[:, k]) for k in range(4)), small], names=["id", "f0", "f1", "f2", "f3", "small"])
-
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, f0 long, f1 long, f2 long, f3 long, small array<long>")
-
-
-def leaders(wide: np.ndarray, bits: int) -> np.ndarray:
-    """For each row the index of the leader that takes it; rows come first in their order."""
-    out, left = np.full(len(wide), -1), np.arange(len(wide))
-    while len(left):
-        near = np.bitwise_count(wide[left] ^ wide[left[0]]).sum(axis=1) <= bits
-        out[left[near]] = left[0]
-        left = left[~near]
-    return out
-
-
-def _compare(rows: DataFrame, bits: int) -> DataFrame:
-    """rows (key, part, hot, node, f0..f3) to (key, hot, node, leader): leader = node for a leader."""
-
-    def settle(key, part, hot, node, *f):
-        order = np.lexsort((node, part, key))
-        key, part, hot, node = key[order], part[order], hot[order], node[order]
-        wide = np.stack([x[order] for x in f], axis=1).view(np.uint64)
-        starts = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (part[1:] != part[:-1]))))
-        took = np.arange(len(node))
-        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(node)], strict=True):
-            if b - a > 1:
-                took[a:b] = a + leaders(wide[a:b], bits)
-        keep = hot | (took != np.arange(len(node)))
-        return pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(hot[keep]), pa.array(node[keep]), pa.array(node[took[keep]])], names=["key", "hot", "node", "leader"])
-
-    def run(batches):
-        held, n = [], 0
-        for batch in batches:
-            held.append(tuple(batch.column(k).to_numpy(zero_copy_only=False) for k in range(8)))
-            n += batch.num_rows
-            if n >= 100_000:
-                columns = [np.concatenate(x) for x in zip(*held, strict=True)]
-                cut = np.flatnonzero((columns[0] != columns[0][-1]) | (columns[1] != columns[1][-1]))
-                cut = int(cut[-1]) + 1 if len(cut) else 0
-                yield settle(*(c[:cut] for c in columns))
-                held, n = [tuple(c[cut:] for c in columns)], n - cut
-        if n:
-            yield settle(*(np.concatenate(x) for x in zip(*held, strict=True)))
-
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.select("key", "part", "hot", "node", "f0", "f1", "f2", "f3").repartition(n, "key", "part").sortWithinPartitions("key", "part")
-    return dealt.mapInArrow(run, "key long, hot boolean, node long, leader long")
-
-
-def _parted(rows: DataFrame, most: int, turn: int) -> DataFrame:
-    """rows with part and hot: groups of over `most` rows in random parts."""
-    sizes = reliable(rows.groupBy("key").count().where(F.col("count") > most))
-    few = sizes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    with_size = rows.join(F.broadcast(sizes) if few else sizes, "key", "left")
-    parts = F.ceil(F.coalesce("count", F.lit(1)) / F.lit(most))
-    return with_size.withColumn("part", F.pmod(F.xxhash64("node", F.lit(turn)), parts)).withColumn("hot", F.col("count").isNotNull()).drop("count")
-
-
-def links(classes: DataFrame, bits: int = BITS, most: int = GROUP) -> DataFrame:
-    """(a, b): links between classes (node, f0..f3, small)."""
-    wide = ["f0", "f1", "f2", "f3"]
-    rows = classes.select("node", *wide, F.posexplode("small").alias("bag", "value")).select(F.xxhash64("bag", "value").alias("key"), "node", *wide)
-    edges, before = None, None
-    for turn in range(ROUNDS):
-        found = reliable(_compare(_parted(rows, most, turn), bits))
-        new = found.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b"))
-        edges = new if edges is None else edges.unionByName(new)
-        hot = found.where("hot and node = leader").select("key", "node")
-        n = hot.count()
-        if not n or turn > 1 and before is not None and n > 0.9 * before:
+                rows = b.slice(part, 256)
+                got = [shingle_set(t, words) for t in rows.column(1).to_pylist()]
+                out = [(cut(h) if cut else h).view(np.int64) for _, h in got]
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column(0), pa.array([n for n, _ in got], pa.int64()), pa.array([len(h) for _, h in got], pa.int64()), pa.array(out, pa.list_(pa.int64()))],
+                    names=["id", "node", "size", "hashes"],
+                )
+
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, node long, size long, hashes array<long>")
+
+
+def _common(docs: DataFrame, id_col: str, text_col: str, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of two sampled texts or more and their counts: it orders the shingles and decides no link."""
+    n = docs.count()
+    some = docs.where(F.pmod(F.xxhash64(text_col), F.lit(max(1, n // SAMPLE_TEXTS))) == 0).limit(2 * SAMPLE_TEXTS)
+    counted = _sets(some, id_col, text_col, words).dropDuplicates(["node"]).select(F.explode("hashes").alias("h")).groupBy("h").count().where("count > 1")
+    rows = counted.orderBy(F.desc("count"), "h").limit(SAMPLE_SHINGLES).collect()
+    h, c = np.array([r["h"] for r in rows], dtype=np.int64).view(np.uint64), np.array([r["count"] for r in rows], dtype=np.int64)
+    order = np.argsort(h)
+    return h[order], c[order]
+
+
+def possible(pairs: DataFrame, like: float) -> DataFrame:
+    """(a, b) of pairs (a, b, na, nb), one row for each shared prefix shingle, that the sizes and the number of rows allow.
+
+    Of the set whose prefix ends first, all shared shingles of the prefix are in both prefixes,
+    so the sets share at most these and the rest of that set.
+    """
+    rest = F.ceil(F.greatest("na", "nb") * F.lit(like) - TINY) - 1
+    return (
+        pairs.where(F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(like) - TINY)
+        .groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("shared"))
+        .where(F.col("shared") + rest >= (F.col("na") + F.col("nb")) * F.lit(like / (1 + like)) - TINY).select("a", "b")
+    )
+
+
+def all_pairs(rows: DataFrame, most: int = GROUP) -> DataFrame:
+    """(a, b, na, nb), a < b: each two rows (key, node, size, root, n) of a key and different roots; n is the key's number of rows."""
+    parts = F.ceil(F.col("n") / F.lit(most))
+    dealt = rows.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")))
+    left = dealt.select("key", F.col("node").alias("u"), F.col("size").alias("nu"), F.col("root").alias("ru"), F.col("part").alias("i"), F.explode(F.sequence(F.col("part"), F.col("parts") - 1)).alias("j"))
+    right = dealt.select("key", F.col("node").alias("v"), F.col("size").alias("nv"), F.col("root").alias("rv"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("part"))).alias("i"), F.col("part").alias("j"))
+    met = left.join(right.hint("merge"), ["key", "i", "j"]).where("ru <> rv and (i < j or u < v)")
+    low = F.col("u") < F.col("v")
+    return met.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"), F.when(low, F.col("nu")).otherwise(F.col("nv")).alias("na"), F.when(low, F.col("nv")).otherwise(F.col("nu")).alias("nb"))
+
+
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, like: float) -> DataFrame:
+    """The pairs (a, b) whose whole sets have a Jaccard similarity of `like` or more."""
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    wanted = reliable(classes.select("node", "least").join(nodes.hint("merge"), "node", "left_semi"))
+    ids = wanted.where("least is not null").select(F.col("least").alias("_id")).distinct()
+    rows = docs.select(id_col, text_col).where(F.col(id_col).isNotNull()).join(ids.hint("merge"), F.col(id_col) == F.col("_id"), "left_semi")
+    if not wanted.where("least is null").isEmpty():  # classes of rows without an id
+        rows = rows.unionByName(docs.select(id_col, text_col).where(F.col(id_col).isNull()))
+    sets = _sets(rows, id_col, text_col, words).join(wanted.hint("merge"), "node", "left_semi").dropDuplicates(["node"])
+    sets = reliable(sets.select("node", "hashes"))
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
+    counted = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("shared"), (F.size("x") + F.size("y")).alias("total"))
+    return counted.where(F.col("shared") >= (F.col("total") - F.col("shared")) * F.lit(like) - TINY).select("a", "b")
+
+
+def _fresh(df: DataFrame) -> DataFrame:
+    """df without the size that Spark estimates from its joins: a product whose digits double with each joined round, checkpoints or not."""
+    session = df.sparkSession
+    return DataFrame(session._jsparkSession.createDataFrame(df._jdf.toJavaRDD(), df._jdf.schema()), session)
+
+
+def _flat(df: DataFrame) -> DataFrame:
+    """df in as many partitions as a shuffle makes at most: unions add theirs up."""
+    return df.coalesce(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _joined(rows: DataFrame, keys: DataFrame, most: int) -> DataFrame:
+    """rows (key, ...) joined to keys (key, n, ...); the rows of the largest keys stay where they are."""
+    hot = reliable(keys.where(F.col("n") > most).orderBy(F.desc("n"), "key").limit(BROADCAST_ROWS))
+    cold = rows.join(F.broadcast(hot.select("key")), "key", "left_anti")
+    return _flat(cold.join(keys.hint("merge"), "key").unionByName(rows.join(F.broadcast(hot), "key")))
+
+
+def _open(rows: DataFrame, found: DataFrame, most: int) -> DataFrame:
+    """rows (key, node, size) with n and root, of the keys whose classes are not all in one component of found."""
+    roots = _fresh(components(_fresh(found))).withColumnRenamed("node", "at")
+    rooted = reliable(rows.join(roots.hint("merge"), F.col("node") == F.col("at"), "left").select("key", "node", "size", F.coalesce("root", "node").alias("root")))
+    keys = rooted.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key", "n")
+    return reliable(_joined(rooted, reliable(keys), most))
+
+
+def _stars(rows: DataFrame, turn: int, most: int) -> DataFrame:
+    """(a, b, na, nb): the pairs of each key's first class, in the order of this turn, with the others of the key in other components."""
+    keys = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "size", "root")).alias("top")).where("n > 1")
+    met = _joined(rows.select("key", "node", "size", "root"), reliable(keys), most).where("root <> top.root")
+    low = F.col("node") < F.col("top.node")
+    return met.select(
+        F.least("node", "top.node").alias("a"), F.greatest("node", "top.node").alias("b"),
+        F.when(low, F.col("size")).otherwise(F.col("top.size")).alias("na"), F.when(low, F.col("top.size")).otherwise(F.col("size")).alias("nb"),
+    )
+
+
+def links(classes: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, like: float = LIKE, most: int = GROUP) -> DataFrame:
+    """(a, b): links whose components are those of all pairs of `like` or more, of classes (node, least, size, hashes)."""
+    check = lambda pairs: reliable(verified(pairs, classes, docs, id_col, text_col, words, like))
+    rows = classes.select("node", "size", F.explode("hashes").alias("key"))
+    tried = reliable(possible(_stars(rows.withColumn("root", F.col("node")), 0, most), like))
+    found = check(tried)
+    rows = _open(rows, found, most)
+    # Turns of stars over the hot keys only save comparisons: what they leave open is compared in full.
+    for turn in range(1, TURNS):
+        hot = rows.where(F.col("n") > most)
+        if hot.isEmpty():
+            break
+        new = reliable(possible(_stars(hot, turn, most), like).join(tried.hint("merge"), ["a", "b"], "left_anti"))
+        got = check(new)
+        if got.isEmpty():
             break
-        before = n
-        again = hot.join(classes, "node")
-        if turn == 0:  # from now on by pairs of small fingerprints
-            again = again.select("key", "node", *wide, F.posexplode("small").alias("bag", "value")).withColumn("key", F.xxhash64("key", "bag", "value"))
-        rows = again.select("key", "node", *wide)
-    return edges.distinct()
+        tried, found = reliable(_flat(tried.unionByName(new))), reliable(_flat(found.unionByName(got)))
+        rows = _open(rows.select("key", "node", "size"), found, most)
+    left = reliable(possible(all_pairs(rows, most), like).join(tried.hint("merge"), ["a", "b"], "left_anti"))
+    return _flat(found.unionByName(check(left)))
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, bits: int = BITS) -> DataFrame:
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, like: float = LIKE, most: int = GROUP) -> DataFrame:
     """(id, first): the least id of each document's group, for every row."""
-    rows = reliable(_sketches(docs, id_col, text_col, words).withColumn("node", F.xxhash64("f0", "f1", "f2", "f3")))
-    classes = reliable(rows.groupBy("node").agg(F.min("id").alias("least"), *(F.min(f).alias(f) for f in ("f0", "f1", "f2", "f3")), F.min("small").alias("small")))
-    found = components(links(classes.drop("least"), bits))
+    common, counts = _common(docs, id_col, text_col, words)
+    sets = reliable(_sets(docs, id_col, text_col, words, lambda h: prefix(h, common, counts, like)))
+    rows = sets.select("id", "node")
+    classes = reliable(sets.groupBy("node").agg(F.min("id").alias("least"), F.min("size").alias("size"), F.min("hashes").alias("hashes")))
+    found = _fresh(components(_fresh(links(classes, docs, id_col, text_col, words, like, most))))
     linked = classes.select("node", "least").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     firsts = linked.groupBy("root").agg(F.min("least").alias("first")).withColumnRenamed("root", "top")
     first = linked.join(firsts, F.bitwise_not("root") == F.bitwise_not("top")).select(F.col("node").alias("other"), "first")
-    return rows.select("id", "node").join(first, F.bitwise_not("node") == F.bitwise_not("other")).select("id", "first")
+    return rows.join(first, F.bitwise_not("node") == F.bitwise_not("other")).select("id", "first")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, bits: int = BITS) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, like: float = LIKE) -> DataFrame:
     """docs without the near copies of a document of smaller id; all columns as they are."""
-    found = reliable(groups(docs, id_col, text_col, words, bits))
+    found = reliable(groups(docs, id_col, text_col, words, like))
     gone = reliable(found.where("id <> first").select(F.col("id").alias("_gone")).distinct())
     # The list grows with the input, so the same join at every size.
     kept = docs.join(gone.hint("merge"), docs[id_col] == F.col("_gone"), "left_anti")

@@ -83,6 +83,41 @@ def test_near_copies_leave_one(docs, empty):
     assert similar.keep_one(empty).count() == 0
 
 
+def exact_firsts(rows, like=0.8):
+    """{id: least id of its group} by comparing all pairs."""
+    sets = {i: set(similar.shingle_set(t)[1].tolist()) for i, t in rows}
+    first = {i: i for i in sets}
+    for i in sorted(sets):
+        for j in sorted(sets):
+            if i < j and len(sets[i] & sets[j]) >= like * len(sets[i] | sets[j]) - 1e-9:
+                a, b = sorted((first[i], first[j]))
+                first = {k: a if v == b else v for k, v in first.items()}
+    return first
+
+
+def test_near_copies_are_those_of_all_pairs(spark):
+    own = [f"w{k}" for k in range(4000)]
+    base = own[:100]
+    swap = lambda w, at, n: w[:at] + own[1000 + at : 1000 + at + n] + w[at + n :]
+    # Chains whose ends are below the limit: A-B and B-C are links and A-C is none.
+    chain = [" ".join(w) for w in (base, swap(base, 10, 3), swap(swap(base, 10, 3), 60, 5), swap(swap(swap(base, 10, 3), 60, 5), 80, 5))]
+    # A template: 40 texts of one half and of different or nearly equal other halves.
+    r = random.Random(5)
+    half = own[300:350]
+    template = [" ".join(half + [own[2000 + 10 * (k // 4) + j + (900 * (r.random() < 0.02))] for j in range(10)] + own[2500 + 10 * (k // 4) : 2520 + 10 * (k // 4)]) for k in range(40)]
+    # Near the limit on both sides.
+    near = [" ".join(swap(own[600:700], 0, n)) for n in range(0, 30, 2)]
+    texts_ = [t for part in (chain, template, near) for t in part] + [words(k, 50) for k in range(20)]
+    rows = [(i, t) for i, t in enumerate(texts_)]
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = exact_firsts(rows)
+    assert 1 < len(set(want.values())) < len(rows)
+    for most in (similar.GROUP, 3):
+        got = {x["id"]: x["first"] for x in similar.groups(df, most=most).collect()}
+        assert got == want
+
+
 def base_spans(t):
     found = []
     for m in re.finditer(r"""(?ia)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t):
