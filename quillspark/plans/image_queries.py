@@ -57,6 +57,8 @@ def _profile(spark, d):
     return P.profile_islands(I.projection(black(spark, d), "x"), 2, 3)
 
 
+_NEAREST = "SELECT a.img, a.x, a.y, CAST(min({size}) AS BIGINT) AS distance FROM bw a LEFT JOIN bw b ON a.img = b.img AND b.v <> 0 GROUP BY a.img, a.x, a.y"
+
 QUERIES = {
     "image_crop": Query(_pixel(lambda p: I.crop(p, 5, 1, 30, 4)), PX + "SELECT img, x - 5 AS x, y - 1 AS y, v FROM px WHERE x >= 5 AND x < 30 AND y >= 1 AND y < 4"),
     "image_shift": Query(_pixel(lambda p: I.shift(p, 3, -2)), PX + "SELECT img, x + 3 AS x, y - 2 AS y, v FROM px"),
@@ -101,6 +103,9 @@ QUERIES = {
     "image_distance_squared": Query(_black(lambda p: I.distance_transform(p, 3, "squared")), PX + "SELECT a.img, a.x, a.y, CAST(min((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS BIGINT) AS distance FROM bw a LEFT JOIN bw b ON a.img = b.img AND b.v <> 0 AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 9 GROUP BY a.img, a.x, a.y"),
     "image_distance_l1": Query(_black(lambda p: I.distance_transform(p, 3, "l1")), PX + "SELECT a.img, a.x, a.y, CAST(min(abs(a.x - b.x) + abs(a.y - b.y)) AS BIGINT) AS distance FROM bw a LEFT JOIN bw b ON a.img = b.img AND b.v <> 0 AND abs(a.x - b.x) + abs(a.y - b.y) <= 3 GROUP BY a.img, a.x, a.y"),
     "image_distance_max": Query(_black(lambda p: I.distance_transform(p, 3, "max")), PX + "SELECT a.img, a.x, a.y, CAST(min(greatest(abs(a.x - b.x), abs(a.y - b.y))) AS BIGINT) AS distance FROM bw a LEFT JOIN bw b ON a.img = b.img AND b.v <> 0 AND greatest(abs(a.x - b.x), abs(a.y - b.y)) <= 3 GROUP BY a.img, a.x, a.y"),
+    "image_distance_squared_whole": Query(_black(lambda p: I.whole_distance_transform(p, "squared")), PX + _NEAREST.format(size="(a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)")),
+    "image_distance_l1_whole": Query(_black(lambda p: I.whole_distance_transform(p, "l1")), PX + _NEAREST.format(size="abs(a.x - b.x) + abs(a.y - b.y)")),
+    "image_distance_max_whole": Query(_black(lambda p: I.whole_distance_transform(p, "max")), PX + _NEAREST.format(size="greatest(abs(a.x - b.x), abs(a.y - b.y))")),
     "image_components": Query(_black(lambda p: I.label_components(p).groupBy("img", "label").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("x0"), F.min("y").alias("y0")).drop("label")), PX.replace("WITH px", "WITH RECURSIVE px") + ", f AS (SELECT img, x, y, y * 40 + x AS id FROM bw WHERE v <> 0), c(img, x, y, id) AS (SELECT img, x, y, id FROM f UNION SELECT f.img, f.x, f.y, c.id FROM c JOIN f ON f.img = c.img AND abs(f.x - c.x) + abs(f.y - c.y) = 1 AND f.id >= 0), m AS (SELECT img, x, y, min(id) AS id FROM c GROUP BY img, x, y) SELECT img, count(*) AS n, min(x) AS x0, min(y) AS y0 FROM m GROUP BY img, id"),
     "image_profile_islands": Query(_profile),
     "runs_of_lines": Query(run_table, RUNS + 'SELECT img, line, start, "end" FROM r'),
