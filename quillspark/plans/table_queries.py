@@ -104,8 +104,9 @@ def hocr(s, d):
     from quillspark.plans.image_queries import run_table
 
     r = run_table(s, d)
-    l = r.select(F.col("img").alias("page"), "line", formats.hocr_line(F.col("line"), F.lit("x"), F.col("start"), F.col("line"), F.col("end"), F.col("line") + 1, F.lit(100)).alias("html"))  # noqa: E741
-    return formats.hocr_page(l.groupBy("page", "line").agg(F.min("html").alias("html")))
+    l = r.groupBy(F.col("img").alias("page"), "line").agg(F.min("start").alias("x0"), F.max("end").alias("x1"), F.count(F.lit(1)).cast("int").alias("n"))  # noqa: E741
+    text = F.array_join(F.array_repeat(F.lit("x"), F.col("n")), " ")  # one letter for each run
+    return formats.hocr_page(l.select("page", "line", formats.hocr_line(F.col("line"), text, F.col("x0"), F.col("line"), F.col("x1"), F.col("line") + 1, F.lit(100)).alias("html")))
 
 
 def streamed(s, d):

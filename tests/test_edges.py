@@ -6,6 +6,7 @@ from quillspark.operators import edges as G
 from quillspark.operators import evaluation as E
 from quillspark.operators import images as I
 from quillspark.operators import resample as M
+from quillspark.plans import image_queries, table_queries
 
 
 def image(spark, rows, img=0):
@@ -59,3 +60,14 @@ def test_distance_reaches_any_pixel(spark):
     for metric, size in sizes.items():
         got = {(r["img"], r["x"], r["y"]): r["distance"] for r in I.whole_distance_transform(pixel_table(spark, rows), metric).collect()}
         assert got == {(i, x, y): None if i else min(size(abs(x - a), abs(y - b)) for a, b in seeds) for i, x, y, _ in rows}
+
+
+def test_hocr_lines_hold_all_runs(spark, sf):
+    lines = {}
+    for r in image_queries.run_table(spark, sf).collect():
+        lines.setdefault((r["img"], r["line"]), []).append((r["start"], r["end"]))
+    assert any(len(x) > 1 for x in lines.values())
+    pages = {r["page"]: r["html"] for r in table_queries.hocr(spark, sf).collect()}
+    for (img, line), found in lines.items():
+        box = f"id='line_{line}' title='bbox {min(found)[0]} {99 - line} {max(b for _, b in found)} {100 - line}'>{' '.join('x' * len(found))}</span>"
+        assert box in pages[img]
