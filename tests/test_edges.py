@@ -71,3 +71,14 @@ def test_hocr_lines_hold_all_runs(spark, sf):
     for (img, line), found in lines.items():
         box = f"id='line_{line}' title='bbox {min(found)[0]} {99 - line} {max(b for _, b in found)} {100 - line}'>{' '.join('x' * len(found))}</span>"
         assert box in pages[img]
+
+
+def test_text_queries_read_whole_texts(spark, tmp_path):
+    text = "x" * 130 + "the water is"
+    spark.createDataFrame([(1, text)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    run = lambda name: table_queries.QUERIES[name].run(spark, str(tmp_path)).collect()
+    assert {(r["t"], r["p"]): r["n"] for r in run("text_confusions") if r["t"] != r["p"]} == {("h", "n"): 1, ("r", ""): 1}
+    assert [r["cost"] for r in run("text_block_moves")] == [2.0]
+    assert [r["distance"] for r in run("text_edit_distance_whole")] == [2]
+    assert [(r["errors"], r["total"]) for r in run("text_evaluate_whole")] == [(2, 142)]
+    assert [r["item_id"] for r in run("text_find_confusion_whole")] == [1]
