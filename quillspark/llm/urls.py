@@ -2,7 +2,8 @@
 
 The trees are boosted logistic regression trees over quantised features (second-order gains,
 leaf values shrunk), fitted on the driver from a bounded sample of labelled URLs and applied
-to every URL in Arrow batches.
+to every URL in Arrow batches. Two features are the count and the rate of the host's suffix
+over all labelled URLs.
 
 Defined cases: a null URL, or one without "://", has an empty host and path and is judged on
 the features of the empty string; ties between rules of equal length go to the one listed
@@ -22,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import ascii_lower
+from quillspark.llm.common import ascii_lower, reliable
+from quillspark.llm.simhash import BROADCAST_ROWS
 
 #: Fixed values of the contract: (verdict, host, path), written as they are reported.
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
@@ -86,14 +88,28 @@ def features(urls: Sequence[str], hosts: Sequence[str], paths: Sequence[str], su
     return out
 
 
-def suffix_statistics(hosts: Sequence[str], labels: np.ndarray, weight: float = 20.0) -> tuple[dict[str, tuple[float, int]], float]:
-    """Smoothed share of unwanted URLs and number of URLs for each host suffix."""
-    prior = float(labels.mean()) if len(labels) else 0.0
-    n, bad = Counter(), Counter()
-    for h, y in zip(hosts, labels, strict=True):
-        n[suffix(h)] += 1
-        bad[suffix(h)] += int(y)
-    return {s: ((bad[s] + weight * prior) / (c + weight), c) for s, c in n.items()}, prior
+def suffix_column(host="host"):
+    """suffix() as a column."""
+    return F.substring_index(host, ".", -2)
+
+
+def suffix_statistics(labelled: DataFrame, weight: float = 20.0) -> tuple[DataFrame, float]:
+    """((suffix, rate, n), prior) over all rows (u, host, path, label): smoothed share of unwanted URLs and number of URLs for each host suffix."""
+    counts = reliable(labelled.groupBy(suffix_column().alias("suffix")).agg(F.count(F.lit(1)).alias("n"), F.sum("label").cast("double").alias("bad")))
+    total = counts.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
+    prior = total["bad"] / total["n"] if total["n"] else 0.0
+    return counts.select("suffix", ((F.col("bad") + weight * prior) / (F.col("n") + weight)).alias("rate"), "n"), prior
+
+
+def with_suffix(urls: DataFrame, statistics: DataFrame) -> DataFrame:
+    """urls with rate and n of the host's suffix, null if it is unknown; the largest suffixes are broadcast."""
+    hot = reliable(statistics.orderBy(F.desc("n"), "suffix").limit(BROADCAST_ROWS))
+    keyed = urls.withColumn("suffix", suffix_column())
+    if statistics.count() <= BROADCAST_ROWS:
+        return keyed.join(F.broadcast(hot), "suffix", "left")
+    known = F.broadcast(hot.select("suffix"))
+    cold = keyed.join(known, "suffix", "left_anti").join(statistics.hint("merge"), "suffix", "left")
+    return keyed.join(F.broadcast(hot), "suffix").unionByName(cold)
 
 
 class Boosted:
@@ -164,34 +180,35 @@ def seed_labels(urls: DataFrame, terms: Sequence[str] = SEED_TERMS) -> DataFrame
 def fit(labelled: DataFrame, most: int = SAMPLE_URLS) -> dict:
     """Trees and suffix statistics from (u, host, path, label), null labels left out.
 
-    The sample is bounded by `most` distinct URLs, those of the smallest hash.
+    The statistics count all distinct URLs; only the trees are fitted on a sample, bounded by
+    `most` distinct URLs, those of the smallest hash.
     """
-    rows = (
-        labelled.where("label is not null").groupBy("u", "host", "path").agg(F.max("label").alias("label"))
-        .withColumn("h", F.xxhash64("u")).orderBy("h", "u").limit(most).select("u", "host", "path", "label").collect()
-    )
+    known = reliable(labelled.where("label is not null").groupBy("u", "host", "path").agg(F.max("label").alias("label")))
+    statistics, prior = suffix_statistics(known)
+    sample = known.withColumn("h", F.xxhash64("u")).orderBy("h", "u").limit(most)
+    rows = with_suffix(sample, statistics).orderBy("h", "u").select("u", "host", "path", "label", "suffix", "rate", "n").collect()
     y = np.array([r["label"] for r in rows], dtype=float)
-    hosts = [r["host"] for r in rows]
-    statistics, prior = suffix_statistics(hosts, y)
-    x = features([r["u"] for r in rows], hosts, [r["path"] for r in rows], statistics, prior)
+    x = features([r["u"] for r in rows], [r["host"] for r in rows], [r["path"] for r in rows], {r["suffix"]: (r["rate"], r["n"]) for r in rows}, prior)
     return {"trees": Boosted.fit(x, y), "suffixes": statistics, "prior": prior}
 
 
 def score(urls: DataFrame, model: dict, id_col: str = "page_id") -> DataFrame:
     """(id_col, host, path, score): the probability that a URL is unwanted, for each row of split_urls().
 
-    The model is at most SAMPLE_URLS suffix entries and 40 small trees, sent with the task.
+    The suffix statistics are joined to the URLs; 40 small trees are sent with the task.
     """
-    trees, suffixes, prior = model["trees"], model["suffixes"], model["prior"]
+    trees, prior = model["trees"], model["prior"]
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            u, h, p = (b.column(c).to_pylist() for c in (1, 2, 3))
-            z = 1 / (1 + np.exp(-np.clip(trees.margin(features(u, h, p, suffixes, prior)), -60, 60)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(z)], names=["id", "host", "path", "score"])
+            u, h, p, rate, n = (b.column(c).to_pylist() for c in range(1, 6))
+            own = {suffix(host): (r, c) for host, r, c in zip(h, rate, n, strict=True) if c is not None}
+            z = 1 / (1 + np.exp(-np.clip(trees.margin(features(u, h, p, own, prior)), -60, 60)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(z, pa.float64())], names=["id", "host", "path", "score"])
 
     kind = urls.schema[id_col].dataType.simpleString()
-    return urls.select(F.col(id_col).alias("id"), "u", "host", "path").mapInArrow(judge, f"id {kind}, host string, path string, score double").withColumnRenamed("id", id_col)
+    rows = with_suffix(urls.withColumnRenamed(id_col, "_id"), model["suffixes"]).select(F.col("_id").alias("id"), "u", "host", "path", "rate", "n")
+    return rows.mapInArrow(judge, f"id {kind}, host string, path string, score double").withColumnRenamed("id", id_col)
 
 
 def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, labelled: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", cut: float = 0.5) -> DataFrame:

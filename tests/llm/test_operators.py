@@ -314,3 +314,15 @@ def test_quality(spark, empty):
 def test_every_operator_is_registered():
     names = list(queries.queries())
     assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 11)]
+
+
+def test_url_suffixes_are_counted_over_all_rows(spark, monkeypatch):
+    hosts = [f"a{k}.{'casino' if k % 3 == 0 else 'plain'}{k % 7}.com" for k in range(200)]
+    pages = spark.createDataFrame([(k, f"https://{h}/x") for k, h in enumerate(hosts)] + [(900, None)], "page_id long, url string")
+    rows = urls.seed_labels(urls.split_urls(pages))
+    few = urls.fit(rows, most=10)
+    want = {urls.suffix(h): sum(urls.suffix(g) == urls.suffix(h) for g in hosts) for h in hosts} | {"": 1}
+    assert {r["suffix"]: r["n"] for r in few["suffixes"].collect()} == want
+    whole = sorted(tuple(r) for r in urls.score(rows, few).collect())
+    monkeypatch.setattr(urls, "BROADCAST_ROWS", 3)
+    assert sorted(tuple(r) for r in urls.score(rows, few).collect()) == whole and len(whole) == 201
