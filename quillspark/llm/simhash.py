@@ -67,11 +67,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp long")
 
 
-def walk(fps: np.ndarray, first: np.ndarray, last: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
+def walk(fps: np.ndarray, first: np.ndarray, last: np.ndarray, budget: int, done=None) -> tuple[np.ndarray, np.ndarray]:
     """Indexes (a, b) of all pairs within `budget` bits in the same trie.
 
-    fps: unsigned; trie k is fps[first[k]:last[k]], sorted and distinct. A node is a range of
-    fps, and all node pairs of a level go down together.
+    fps: unsigned; trie k is fps[first[k]:last[k]], sorted. A node is a range of fps, and all
+    node pairs of a level go down together. done(alo, ahi, blo, bhi) may tell node pairs whose
+    pairs are of no use; equal fingerprints make a pair like any others.
     """
     bits_below = np.zeros(len(fps) + 1, dtype=np.int64)
     alo, ahi = first.astype(np.int64), last.astype(np.int64)
@@ -105,10 +106,17 @@ def walk(fps: np.ndarray, first: np.ndarray, last: np.ndarray, budget: int) -> t
                 keep &= only
             parts.append(tuple(x[keep] for x in (lo1, hi1, lo2, hi2, d)))
         alo, ahi, blo, bhi, diff = (np.concatenate([p[k] for p in parts]) for k in range(5))
-    else:
-        good = alo != blo
-        found_a.append(alo[good])
-        found_b.append(blo[good])
+        if done is not None and len(alo):
+            use = ~done(alo, ahi, blo, bhi)
+            alo, ahi, blo, bhi, diff = (x[use] for x in (alo, ahi, blo, bhi, diff))
+    # All bits are read: each fingerprint of one node with each of the other, or of the same node.
+    n = (ahi - alo) * (bhi - blo)
+    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    wide = np.repeat(bhi - blo, n)
+    a, b = np.repeat(alo, n) + at // np.maximum(wide, 1), np.repeat(blo, n) + at % np.maximum(wide, 1)
+    good = (np.repeat(alo != blo, n)) | (a < b)
+    found_a.append(a[good])
+    found_b.append(b[good])
     none = np.zeros(0, dtype=np.int64)
     return np.concatenate([none, *found_a]), np.concatenate([none, *found_b])
 

@@ -1,23 +1,30 @@
-"""Near-duplicate removal by an exact set join: one document of each group stays.
+"""Near-duplicate removal by tries over exact candidate groups: one document of each group stays.
 
-A document is the set of its shingles (64-bit hashes); two documents are linked when the
-Jaccard similarity of their sets is LIKE or more, and the groups are the components of the
-links. Documents of equal sets are one class from the start.
+A document is the set of its shingles (64-bit hashes) and the SimHash of that set; two
+documents are linked when the Jaccard similarity of their sets is LIKE or more, and the groups
+are the components of the links. Documents of equal sets are one class from the start.
 
-Candidates come from prefixes: with the shingles of every set in one common order, two sets of
-n and m shingles and similarity t share at least ceil(t * max(n, m)) of them, so the first
-n - ceil(t * n) + 1 of one set and the first m - ceil(t * m) + 1 of the other meet. No pair
-of LIKE or more is lost. Any order does; rare shingles come first here, as counted on a
-bounded sample of texts, which keeps the groups of one shingle small and has no say in the
-result. A candidate becomes a link after the two whole sets are compared.
+Candidates come in three steps, and every candidate is settled by comparing the two whole sets:
 
-Pairs of one component need no second look: first every class is compared with one class of
-each of its shingles, then all pairs that share a shingle and are still in different
-components. A shingle of many classes is dealt into parts of GROUP classes, and every part
-meets every other.
+1. the binary-trie self-join of the SimHash operator, over the fingerprints of all classes;
+2. stars: every class with one class of each shingle of its prefix;
+3. tries over the classes that share a prefix shingle and are still in different components:
+   pairs of nodes are walked down together, and dropped when more than BITS bits differ or when
+   all their classes are in one component already.
+
+Prefixes lose no pair: with the shingles of every set in one common order, two sets of n and m
+shingles and similarity t share at least ceil(t * max(n, m)) of them, so the first
+n - ceil(t * n) + 1 of one set and the first m - ceil(t * m) + 1 of the other meet. Any order
+does; rare shingles come first here, as counted on a bounded sample of texts, which keeps the
+groups of one shingle small and has no say in the result. BITS is so wide that a pair of 0.8
+is dropped with a chance of about one in a million: of 64 bits 9.7 differ on average (12, for
+sets of four and five shingles). A shingle of many classes is dealt into parts of GROUP
+classes, and every part meets every other.
 
 Defined cases: texts without words are one class; texts of fewer words than a shingle are one
-shingle; of equal ids all rows but one go; rows without an id stay; an empty table stays empty.
+shingle; of a group the row of the least id stays (rows without an id come last, equal ids go
+by the hash of their text), whatever else has its id; of rows of equal id and text one stays;
+an empty table stays empty. Columns of the input may have any names.
 """
 
 from __future__ import annotations
@@ -29,9 +36,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import reliable
-from quillspark.llm.simhash import BROADCAST_ROWS, components, shingle_hashes
+from quillspark.llm.simhash import BROADCAST_ROWS, components, link, shingle_hashes, simhash, walk
 
 WORDS, LIKE = 5, 0.8
+#: Most differing bits of two fingerprints of a trie in step 3.
+BITS = 28
 #: Classes of one part of a hot shingle; texts and shingles of the sample that orders the shingles.
 GROUP, SAMPLE_TEXTS, SAMPLE_SHINGLES = 256, 4_000, 200_000
 #: Most turns of stars before the rest is compared in full.
@@ -57,29 +66,35 @@ def prefix(h: np.ndarray, common: np.ndarray, counts: np.ndarray, like: float =
     return h[np.lexsort((h, seen))[: len(h) - int(np.ceil(like * len(h) - TINY)) + 1]]
 
 
-def _sets(docs: DataFrame, id_col: str, text_col: str, words: int, cut=None) -> DataFrame:
-    """(id, node, size, hashes): cut(hashes) of the set of each row."""
-    kind = docs.schema[id_col].dataType.simpleString()
+def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, h, text): a row's key is its id and the hash of its text."""
+    return docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("h"), F.col(f"`{text_col}`").alias("text"))
+
+
+def _sets(rows: DataFrame, words: int, cut=None) -> DataFrame:
+    """(id, h, node, size, fp, hashes) of rows (id, h, text): fp is the fingerprint of the set, and cut(hashes) are kept."""
+    kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches):
         for b in batches:
             for part in range(0, b.num_rows, 256):
-                rows = b.slice(part, 256)
-                got = [shingle_set(t, words) for t in rows.column(1).to_pylist()]
+                some = b.slice(part, 256)
+                got = [shingle_set(t, words) for t in some.column(2).to_pylist()]
+                prints = np.array([simhash(h) for _, h in got], dtype=np.uint64).view(np.int64)
                 out = [(cut(h) if cut else h).view(np.int64) for _, h in got]
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), pa.array([n for n, _ in got], pa.int64()), pa.array([len(h) for _, h in got], pa.int64()), pa.array(out, pa.list_(pa.int64()))],
-                    names=["id", "node", "size", "hashes"],
+                    [some.column(0), some.column(1), pa.array([n for n, _ in got], pa.int64()), pa.array([len(h) for _, h in got], pa.int64()), pa.array(prints), pa.array(out, pa.list_(pa.int64()))],
+                    names=["id", "h", "node", "size", "fp", "hashes"],
                 )
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, node long, size long, hashes array<long>")
+    return rows.mapInArrow(run, f"id {kind}, h long, node long, size long, fp long, hashes array<long>")
 
 
-def _common(docs: DataFrame, id_col: str, text_col: str, words: int) -> tuple[np.ndarray, np.ndarray]:
+def _common(named: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles of two sampled texts or more and their counts: it orders the shingles and decides no link."""
-    n = docs.count()
-    some = docs.where(F.pmod(F.xxhash64(text_col), F.lit(max(1, n // SAMPLE_TEXTS))) == 0).limit(2 * SAMPLE_TEXTS)
-    counted = _sets(some, id_col, text_col, words).dropDuplicates(["node"]).select(F.explode("hashes").alias("h")).groupBy("h").count().where("count > 1")
+    n = named.count()
+    some = named.where(F.pmod("h", F.lit(max(1, n // SAMPLE_TEXTS))) == 0).limit(2 * SAMPLE_TEXTS)
+    counted = _sets(some, words).dropDuplicates(["node"]).select(F.explode("hashes").alias("h")).groupBy("h").count().where("count > 1")
     rows = counted.orderBy(F.desc("count"), "h").limit(SAMPLE_SHINGLES).collect()
     h, c = np.array([r["h"] for r in rows], dtype=np.int64).view(np.uint64), np.array([r["count"] for r in rows], dtype=np.int64)
     order = np.argsort(h)
@@ -100,27 +115,74 @@ def possible(pairs: DataFrame, like: float) -> DataFrame:
     )
 
 
-def all_pairs(rows: DataFrame, most: int = GROUP) -> DataFrame:
-    """(a, b, na, nb), a < b: each two rows (key, node, size, root, n) of a key and different roots; n is the key's number of rows."""
+def uniform_pairs(root: np.ndarray, alo, ahi, blo, bhi) -> np.ndarray:
+    """Which pairs of ranges [alo, ahi) and [blo, bhi) hold one root only."""
+    turns = np.concatenate(([0], np.cumsum(root[1:] != root[:-1])))
+    return (turns[alo] == turns[ahi - 1]) & (turns[blo] == turns[bhi - 1]) & (root[alo] == root[blo])
+
+
+def trie_pairs(rows: DataFrame, most: int = GROUP, bits: int = BITS) -> DataFrame:
+    """(a, b, na, nb), a < b: the pairs of rows (key, node, size, fp, root, n) of a key, within `bits` bits and of different roots.
+
+    n is the key's number of rows. Each pair comes once for each key that it shares.
+    """
     parts = F.ceil(F.col("n") / F.lit(most))
     dealt = rows.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")))
-    left = dealt.select("key", F.col("node").alias("u"), F.col("size").alias("nu"), F.col("root").alias("ru"), F.col("part").alias("i"), F.explode(F.sequence(F.col("part"), F.col("parts") - 1)).alias("j"))
-    right = dealt.select("key", F.col("node").alias("v"), F.col("size").alias("nv"), F.col("root").alias("rv"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("part"))).alias("i"), F.col("part").alias("j"))
-    met = left.join(right.hint("merge"), ["key", "i", "j"]).where("ru <> rv and (i < j or u < v)")
-    low = F.col("u") < F.col("v")
-    return met.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"), F.when(low, F.col("nu")).otherwise(F.col("nv")).alias("na"), F.when(low, F.col("nv")).otherwise(F.col("nu")).alias("nb"))
-
+    # Part i meets every part j from i up: its rows go to the tries (i, j) and (j, i), j the larger one.
+    met = dealt.select("key", "node", "size", "fp", "root", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
+    tries = met.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "fp", "node", "size", "root")
+
+    def settle(x):
+        key, i, j, part, fp, node, size, root = x
+        fps = fp.view(np.uint64)
+        order = np.lexsort((root, fps, j, i, key))
+        key, i, j, part, fps, node, size, root = (c[order] for c in (key, i, j, part, fps, node, size, root))
+        new = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
+        end = np.concatenate((new[1:], [len(key)]))
+        many = (end - new > 1) & ~uniform_pairs(root, new, end, new, end)
+        new, end = new[many], end[many]
+        cost, at = np.cumsum((end - new) ** 2), 0
+        while at < len(new):
+            stop = max(at + 1, int(np.searchsorted(cost, (cost[at - 1] if at else 0) + 500_000, side="right")))
+            lo, hi = int(new[at]), int(end[stop - 1])
+            own = root[lo:hi]
+            a, b = walk(fps[lo:hi], new[at:stop] - lo, end[at:stop] - lo, bits, lambda *r, own=own: uniform_pairs(own, *r))
+            a, b = a + lo, b + lo
+            good = (root[a] != root[b]) & ((i[a] == j[a]) | (part[a] != part[b]))
+            a, b = a[good], b[good]
+            swap = node[a] > node[b]
+            a, b = np.where(swap, b, a), np.where(swap, a, b)
+            for cut in range(0, len(a), 100_000):
+                u, v = a[cut : cut + 100_000], b[cut : cut + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (node[u], node[v], size[u], size[v])], names=["a", "b", "na", "nb"])
+            at = stop
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, like: float) -> DataFrame:
-    """The pairs (a, b) whose whole sets have a Jaccard similarity of `like` or more."""
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            held.append([batch.column(k).to_numpy() for k in range(8)])
+            n += batch.num_rows
+            if n >= 200_000:
+                x = [np.concatenate(c) for c in zip(*held, strict=True)]
+                # The rows come sorted by trie; the last trie may go on in the next batch.
+                full = np.flatnonzero((x[0] != x[0][-1]) | (x[1] != x[1][-1]) | (x[2] != x[2][-1]))
+                cut = int(full[-1]) + 1 if len(full) else 0
+                if cut:
+                    yield from settle([c[:cut] for c in x])
+                held, n = [[c[cut:] for c in x]], len(x[0]) - cut
+        if n:
+            yield from settle([np.concatenate(c) for c in zip(*held, strict=True)])
+
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return tries.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long, na long, nb long")
+
+
+def verified(pairs: DataFrame, classes: DataFrame, named: DataFrame, words: int, like: float) -> DataFrame:
+    """The pairs (a, b) whose whole sets have a Jaccard similarity of `like` or more; one text of each class is read again."""
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = reliable(classes.select("node", "least").join(nodes.hint("merge"), "node", "left_semi"))
-    ids = wanted.where("least is not null").select(F.col("least").alias("_id")).distinct()
-    rows = docs.select(id_col, text_col).where(F.col(id_col).isNotNull()).join(ids.hint("merge"), F.col(id_col) == F.col("_id"), "left_semi")
-    if not wanted.where("least is null").isEmpty():  # classes of rows without an id
-        rows = rows.unionByName(docs.select(id_col, text_col).where(F.col(id_col).isNull()))
-    sets = _sets(rows, id_col, text_col, words).join(wanted.hint("merge"), "node", "left_semi").dropDuplicates(["node"])
-    sets = reliable(sets.select("node", "hashes"))
+    wanted = classes.select("node", "least").join(nodes.hint("merge"), "node", "left_semi").select(F.col("least.id").alias("_id"), F.col("least.h").alias("_h"))
+    rows = named.join(reliable(wanted).hint("merge"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left_semi")
+    sets = reliable(_sets(rows, words).dropDuplicates(["node"]).select("node", "hashes"))
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
     counted = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("shared"), (F.size("x") + F.size("y")).alias("total"))
     return counted.where(F.col("shared") >= (F.col("total") - F.col("shared")) * F.lit(like) - TINY).select("a", "b")
@@ -145,9 +207,9 @@ def _joined(rows: DataFrame, keys: DataFrame, most: int) -> DataFrame:
 
 
 def _open(rows: DataFrame, found: DataFrame, most: int) -> DataFrame:
-    """rows (key, node, size) with n and root, of the keys whose classes are not all in one component of found."""
+    """rows (key, node, size, fp) with n and root, of the keys whose classes are not all in one component of found."""
     roots = _fresh(components(_fresh(found))).withColumnRenamed("node", "at")
-    rooted = reliable(rows.join(roots.hint("merge"), F.col("node") == F.col("at"), "left").select("key", "node", "size", F.coalesce("root", "node").alias("root")))
+    rooted = reliable(rows.join(roots.hint("merge"), F.col("node") == F.col("at"), "left").select("key", "node", "size", "fp", F.coalesce("root", "node").alias("root")))
     keys = rooted.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key", "n")
     return reliable(_joined(rooted, reliable(keys), most))
 
@@ -163,49 +225,66 @@ def _stars(rows: DataFrame, turn: int, most: int) -> DataFrame:
     )
 
 
-def links(classes: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, like: float = LIKE, most: int = GROUP) -> DataFrame:
-    """(a, b): links whose components are those of all pairs of `like` or more, of classes (node, least, size, hashes)."""
-    check = lambda pairs: reliable(verified(pairs, classes, docs, id_col, text_col, words, like))
-    rows = classes.select("node", "size", F.explode("hashes").alias("key"))
-    tried = reliable(possible(_stars(rows.withColumn("root", F.col("node")), 0, most), like))
+def near_prints(classes: DataFrame) -> DataFrame:
+    """(a, b): the first class of each fingerprint with its other classes, and with the first classes of linked fingerprints."""
+    heads = reliable(classes.groupBy("fp").agg(F.min("node").alias("head")))
+    equal = classes.join(heads.hint("merge"), "fp").where("node <> head").select("node", "head")
+    found = link(heads.select("fp"))
+    left, right = (heads.select(F.col("fp").alias(c), F.col("head").alias(n)) for c, n in (("a", "x"), ("b", "y")))
+    linked = found.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("x", "y")
+    return equal.unionByName(linked.toDF("node", "head")).select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
+
+
+def links(classes: DataFrame, named: DataFrame, words: int = WORDS, like: float = LIKE, most: int = GROUP) -> DataFrame:
+    """(a, b): links whose components are those of all pairs of `like` or more, of classes (node, least, size, fp, hashes)."""
+    check = lambda pairs: reliable(verified(pairs, classes, named, words, like))
+    rows = classes.select("node", "size", "fp", F.explode("hashes").alias("key"))
+    tried = reliable(_flat(near_prints(classes)))
     found = check(tried)
-    rows = _open(rows, found, most)
-    # Turns of stars over the hot keys only save comparisons: what they leave open is compared in full.
-    for turn in range(1, TURNS):
-        hot = rows.where(F.col("n") > most)
+    # Turns of stars only save comparisons: what they leave open is compared in full.
+    for turn in range(TURNS):
+        rows = _open(rows.select("key", "node", "size", "fp"), found, most)
+        hot = rows if not turn else rows.where(F.col("n") > most)
         if hot.isEmpty():
             break
         new = reliable(possible(_stars(hot, turn, most), like).join(tried.hint("merge"), ["a", "b"], "left_anti"))
         got = check(new)
-        if got.isEmpty():
-            break
         tried, found = reliable(_flat(tried.unionByName(new))), reliable(_flat(found.unionByName(got)))
-        rows = _open(rows.select("key", "node", "size"), found, most)
-    left = reliable(possible(all_pairs(rows, most), like).join(tried.hint("merge"), ["a", "b"], "left_anti"))
+    rows = _open(rows.select("key", "node", "size", "fp"), found, most)
+    left = reliable(possible(trie_pairs(rows, most), like).join(tried.hint("merge"), ["a", "b"], "left_anti"))
     return _flat(found.unionByName(check(left)))
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, like: float = LIKE, most: int = GROUP) -> DataFrame:
-    """(id, first): the least id of each document's group, for every row."""
-    common, counts = _common(docs, id_col, text_col, words)
-    sets = reliable(_sets(docs, id_col, text_col, words, lambda h: prefix(h, common, counts, like)))
-    rows = sets.select("id", "node")
-    classes = reliable(sets.groupBy("node").agg(F.min("id").alias("least"), F.min("size").alias("size"), F.min("hashes").alias("hashes")))
-    found = _fresh(components(_fresh(links(classes, docs, id_col, text_col, words, like, most))))
+    """(id, h, first, first_h): the key of each row (id and hash of the text), and that of the row of its group that stays."""
+    named = _named(docs, id_col, text_col)
+    common, counts = _common(named, words)
+    sets = reliable(_sets(named, words, lambda h: prefix(h, common, counts, like)))
+    rows = sets.select("id", "h", "node")
+    # Rows without an id come last.
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "h")
+    classes = reliable(sets.groupBy("node").agg(F.min(order).alias("least"), F.min("size").alias("size"), F.min("fp").alias("fp"), F.min("hashes").alias("hashes")))
+    found = _fresh(components(_fresh(links(classes, named, words, like, most))))
     linked = classes.select("node", "least").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     firsts = linked.groupBy("root").agg(F.min("least").alias("first")).withColumnRenamed("root", "top")
     first = linked.join(firsts, F.bitwise_not("root") == F.bitwise_not("top")).select(F.col("node").alias("other"), "first")
-    return rows.join(first, F.bitwise_not("node") == F.bitwise_not("other")).select("id", "first")
+    return rows.join(first, F.bitwise_not("node") == F.bitwise_not("other")).select("id", "h", F.col("first.id").alias("first"), F.col("first.h").alias("first_h"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, like: float = LIKE) -> DataFrame:
-    """docs without the near copies of a document of smaller id; all columns as they are."""
+    """docs without the near copies of another row; all columns as they are."""
     found = reliable(groups(docs, id_col, text_col, words, like))
-    gone = reliable(found.where("id <> first").select(F.col("id").alias("_gone")).distinct())
-    # The list grows with the input, so the same join at every size.
-    kept = docs.join(gone.hint("merge"), docs[id_col] == F.col("_gone"), "left_anti")
-    unique = found.where("id is not null").groupBy("id").count().where("count > 1").isEmpty()
-    if unique:
+    keys = found.groupBy("id", "h").agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.col("id").eqNullSafe(F.col("first")) & (F.col("h") == F.col("first_h"))).alias("stays"))
+    keys = reliable(keys.where("n > 1 or not stays"))
+    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    row = row.select("row", F.col(f"row.`{id_col}`").alias("id"), F.xxhash64(F.col(f"row.`{text_col}`")).alias("h"))
+
+    def match(some):  # the list grows with the input, so the same join at every size
+        some = some.select(F.col("id").alias("_id"), F.col("h").alias("_h")).hint("merge")
+        return some, F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))
+
+    kept = row.join(*match(keys), "left_anti").select("row.*")
+    again = keys.where("stays and n > 1")  # rows of equal id and text: one of them
+    if again.isEmpty():
         return kept
-    named = kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
-    return named.unionByName(kept.where(F.col(id_col).isNull()))
+    return kept.unionByName(row.join(*match(again), "left_semi").dropDuplicates(["id", "h"]).select("row.*"))

@@ -118,6 +118,40 @@ def test_near_copies_are_those_of_all_pairs(spark):
         assert got == want
 
 
+def test_near_copies_are_told_by_row_and_not_by_id(spark):
+    a, b, c = words(1, 60), words(2, 60), words(3, 60)
+    rows = [(1, a, 0), (1, b, 1), (2, c, 2), (3, a, 3), (None, b, 4), (None, words(4, 60), 5), (2, c, 6), (4, "", 7), (5, None, 8), (4, a + " more", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _gone int").withColumnRenamed("_gone", "_id")
+    got = similar.keep_one(docs.withColumn("_gone", docs["_id"])).collect()
+    assert sorted((r["doc_id"] or 0, (r["text"] or "")[:20]) for r in got) == sorted([(1, a[:20]), (1, b[:20]), (2, c[:20]), (0, words(4, 60)[:20]), (4, "")])
+    assert got[0]["_gone"] == got[0]["_id"]
+
+
+def test_trie_pairs_are_all_pairs_of_different_roots(spark):
+    r = np.random.default_rng(1)
+    base = r.integers(0, 2**63, 6, dtype=np.uint64)
+    rows = []
+    for k in range(3):
+        n = 40 + 30 * k
+        fps = base[r.integers(0, 6, n)] ^ (np.uint64(1) << r.integers(0, 64, n).astype(np.uint64))
+        rows += [(k, 1000 * k + i, 50, int(fps.view(np.int64)[i]), 1000 * k + i % 7, n) for i in range(n)]
+    df = spark.createDataFrame(rows, "key long, node long, size long, fp long, root long, n long")
+    want = {(a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and a[4] != b[4] and bin((a[3] ^ b[3]) & simhash.MASK).count("1") <= 9}
+    for most in (256, 16):
+        got = [(x["a"], x["b"]) for x in similar.trie_pairs(df, most, 9).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_the_budget_of_the_tries_spares_pairs_of_the_limit():
+    r = np.random.default_rng(2)
+    for n in (4, 5, 8, 20, 100):
+        for _ in range(400):
+            shared = r.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) + r.integers(0, 2, n, dtype=np.uint64)
+            more = r.integers(0, 2**63, n // 4, dtype=np.uint64)
+            a, b = simhash.simhash(shared), simhash.simhash(np.concatenate((shared, more)))
+            assert bin(a ^ b).count("1") <= similar.BITS
+
+
 def base_spans(t):
     found = []
     for m in re.finditer(r"""(?ia)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t):
