@@ -12,7 +12,7 @@ pattern, 3**11 at most.
 
 Defined cases: a null or empty text gets no vote and is kept unless most documents are bad; a
 long text is read whole; rows that repeat are judged alike; an empty table gives an empty
-result; without labels the list is empty and its two labellers are silent. Only the named
+result; without labels the list is empty and its two labellers are silent; any label above 0 is toxic. Only the named
 columns are read; the filter returns the columns of its input untouched, whatever their names.
 """
 
@@ -36,7 +36,10 @@ LABELLED, LEXICON, SAMPLE = 20_000, 5_000, 2_500
 BUCKETS = 1 << 18
 #: A listed word or stem is in so many toxic documents and such a share of them at least, and so many times as often there as elsewhere.
 LEXICON_DOCS, LEXICON_SHARE, LEXICON_ODDS = 3, 0.01, 30.0
-STEM = 4
+#: Lengths of the stems of a word that the list may hold.
+STEMS = range(4, 9)
+#: Words whose terms a process remembers.
+MEMORY = 500_000
 
 #: Sketches that tell near copies among the labelled documents.
 SKETCHES = 3
@@ -49,9 +52,27 @@ _EDGE = ".,;:!?\"'()[]#$%&*|"
 
 
 def terms(word: str) -> tuple[str, ...]:
-    """What of a word the list may hold: the word and its stem."""
+    """What of a word the list may hold: the word and its stems."""
     w = word.strip(_EDGE).lower()
-    return (w, w[:STEM] + "+") if len(w) > STEM else (w,) if len(w) > 2 else ()
+    return (w, *(w[:k] + "+" for k in STEMS if k < len(w))) if len(w) > 2 else ()
+
+
+class Lexicon:
+    """A set of terms; tells whether it holds a term of a word."""
+
+    def __init__(self, listed: frozenset[str]):
+        self.listed, self.known = listed, {}
+        self.lengths = sorted({len(t) - 1 for t in listed if t[-1] == "+"})
+
+    def holds(self, word: str) -> bool:
+        got = self.known.get(word)
+        if got is None:
+            w = word.strip(_EDGE).lower()
+            got = len(w) > 2 and (w in self.listed or any(k < len(w) and w[:k] + "+" in self.listed for k in self.lengths))
+            if len(self.known) >= MEMORY:
+                self.known.clear()
+            self.known[word] = got
+        return got
 
 
 def sketches(text: str) -> list[int]:
@@ -61,7 +82,7 @@ def sketches(text: str) -> list[int]:
     return [min(xxhash.xxh64_intdigest(p, seed) for p in pairs) >> 1 for seed in range(SKETCHES)]
 
 
-def votes(text: str, listed: frozenset[str]) -> tuple[list[int], Counter]:
+def votes(text: str, lexicon: Lexicon) -> tuple[list[int], Counter]:
     """One vote for each of LABELLERS, and the counts of the text's words."""
     words = text.split()
     n, counts = len(words), Counter(words)
@@ -73,7 +94,7 @@ def votes(text: str, listed: frozenset[str]) -> tuple[list[int], Counter]:
     capitals = sum(c for w, c in counts.items() if len(w) > 2 and w.isupper()) / n
     stutter = sum(a == b for a, b in zip(words, words[1:], strict=False)) / n
     variety = len(counts) / n
-    toxic = sum(c for w, c in counts.items() if any(t in listed for t in terms(w))) if listed else 0
+    toxic = sum(c for w, c in counts.items() if lexicon.holds(w)) if lexicon.listed else 0
     out[0] = BAD if symbols > 0.05 else SILENT
     out[1] = BAD if bars > 0.05 else SILENT
     out[2] = BAD if exclamations > 0.05 else SILENT
@@ -166,7 +187,7 @@ def fit_scorer(rows: Iterable[tuple[np.ndarray, np.ndarray]], target: np.ndarray
 
 def learn_lexicon(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> frozenset[str]:
     """Words and stems that mark toxic documents, from the bounded labelled sample; LEXICON of them at most."""
-    few = labels.where("toxic is not null").groupBy(id_col).agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64(id_col), id_col).limit(LABELLED)
+    few = labels.where("toxic is not null").groupBy(id_col).agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic")).orderBy(F.xxhash64(id_col), id_col).limit(LABELLED)
     few = reliable(few.withColumnRenamed(id_col, "id"))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(few), "id")
 
@@ -212,8 +233,9 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id"
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def cast_votes(batches):
+        lexicon = Lexicon(listed)
         for b in batches:
-            out = [_code(votes(t, listed)[0]) for part in range(0, b.num_rows, 256) for t in b.slice(part, 256).column(1).to_pylist()]
+            out = [_code(votes(t, lexicon)[0]) for part in range(0, b.num_rows, 256) for t in b.slice(part, 256).column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.int64())], names=["h", "code"])
 
     cast = reliable(texts.select(F.xxhash64("text").alias("h"), "text").mapInArrow(cast_votes, "h long, code long"))
@@ -229,12 +251,12 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id"
             chosen[r["h"]] = posterior[r["code"]]
 
     def pick(batches):
-        given = set()
+        given, lexicon = set(), Lexicon(listed)
         for b in batches:
             hashes = b.column(0).to_pylist()
             take = [k for k, h in enumerate(hashes) if h in chosen and h not in given and not given.add(h)]
             if take:
-                rows = [hashed(*votes(t, listed)) for t in b.column(1).take(pa.array(take)).to_pylist()]
+                rows = [hashed(*votes(t, lexicon)) for t in b.column(1).take(pa.array(take)).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array([hashes[k] for k in take], pa.int64()), pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.list_(pa.float32()))], names=["h", "keys", "vals"])
 
     picked = texts.select(F.xxhash64("text").alias("h"), "text").mapInArrow(pick, "h long, keys array<int>, vals array<float>").dropDuplicates(["h"]).toArrow() if chosen else None
@@ -248,10 +270,10 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id"
 
 
 def _judge(model: dict):
-    listed, w, bias, posterior, start = model["listed"], model["weights"], model["bias"], model["posterior"], model["bad_share"]
+    lexicon, w, bias, posterior, start = Lexicon(model["listed"]), model["weights"], model["bias"], model["posterior"], model["bad_share"]
 
     def one(text: str | None) -> tuple[int, float, float]:
-        cast, counts = votes(text or "", listed)
+        cast, counts = votes(text or "", lexicon)
         code = _code(cast)
         if not counts:
             return code, posterior.get(code, start), start
