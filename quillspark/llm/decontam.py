@@ -5,16 +5,18 @@ text within k edits of a passage of n characters shares n - q + 1 - k * q of its
 q-grams at least, all on neighbouring diagonals. Shared q-grams are counted in overlapping
 bands of diagonals, regions that reach the bound are kept, and a banded alignment decides.
 
-Passages longer than LONG characters are cut into overlapping windows, so that a long part of
-one is found too. Passages go through in blocks of BLOCK characters at most, so what a task
-holds is bounded; every block is matched against all texts.
+Passages longer than WINDOW characters are cut into overlapping windows, so that a part of one
+of WINDOW + STEP characters is found too, whatever the length of the passage. Passages go
+through in blocks of BLOCK characters at most, so what a task holds is bounded; every block is
+matched against all texts, and one block or many give the same hits.
 
 Defined cases: a null or empty text or passage matches nothing; a passage of fewer than q
 folded characters cannot be told from chance and matches nothing; a passage so short that the
-bound would be empty is matched with as many edits as leave one q-gram; repeated passages
-are each reported; repeated rows are judged alike, row by row; empty tables give empty results
-or no matches. Only the named columns are read; the filter returns its input's columns
-untouched, whatever their names.
+bound would be empty is matched with as many edits as leave one q-gram; a passage under
+several ids is reported under each, a repeated row of benchmark once; ids may have any type;
+repeated rows are judged alike, row by row; empty tables give empty results or no matches.
+Only the named columns are read; the filter returns its input's columns untouched, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -29,8 +31,8 @@ from pyspark.sql import functions as F
 Q = 12
 #: Edits for each character of a passage.
 EDITS = 0.05
-#: Passages over LONG folded characters become windows of WINDOW, one each STEP.
-LONG, WINDOW, STEP = 600, 300, 150
+#: Passages over WINDOW folded characters become windows of WINDOW, one each STEP.
+WINDOW, STEP = 240, 80
 #: Folded characters of a block of passages, and characters of texts that are looked up at once.
 BLOCK, TEXTS = 1_000_000, 1_000_000
 
@@ -182,7 +184,7 @@ class Index:
             found = align(p, x[start:stop], low - k - start, high + k - start, k)
             if found and (piece not in best or found[0] < best[piece][0]):
                 best[piece] = (found[0], start + found[1], start + found[2])
-        return [(self.pieces[p][0], self.pieces[p][1], a, b, d) for p, (d, a, b) in sorted(best.items())]
+        return sorted({(self.pieces[p][0], self.pieces[p][1], a, b, d) for p, (d, a, b) in best.items()}, key=lambda h: (h[0] is not None, h))
 
 
 def align(p: np.ndarray, x: np.ndarray, low: int, high: int, most: int) -> tuple[int, int, int] | None:
@@ -221,7 +223,7 @@ def align(p: np.ndarray, x: np.ndarray, low: int, high: int, most: int) -> tuple
 
 def pieces_of(item: int, text: str | None) -> list[tuple[int, int, np.ndarray]]:
     x = fold_text(text)
-    if len(x) <= LONG:
+    if len(x) <= WINDOW:
         return [(item, 0, x)]
     starts = [*range(0, len(x) - WINDOW, STEP), len(x) - WINDOW]
     return [(item, s, x[s : s + WINDOW]) for s in starts]
@@ -270,63 +272,66 @@ def _texts_matches(index: Index, texts: list[str | None]):
         at = stop
 
 
-_HIT = "struct<item:long,offset:int,start:int,end:int,edits:int>"
+def _hit(benchmark: DataFrame, id_col: str) -> str:
+    return f"struct<item:{benchmark.schema[id_col].dataType.simpleString()},offset:int,start:int,end:int,edits:int>"
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _hits(found: list[tuple]) -> list[dict]:
+    return [dict(zip(("item", "offset", "start", "end", "edits"), h, strict=True)) for h in found]
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """(id_col, contaminated, item_ids, hits) for every row of docs.
 
     hits: (item, offset of the window in the passage, start, end, edits), places in folded
     characters of the text.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind, hit = docs.schema[id_col].dataType.simpleString(), _hit(benchmark, item_col)
+    item_type = to_arrow_type(benchmark.schema[item_col].dataType)
+    one = pa.struct([("item", item_type), *((n, pa.int32()) for n in ("offset", "start", "end", "edits"))])
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
 
     def report(pieces):
         def run(batches):
             index = Index(pieces)
             for b in batches:
-                found = list(_texts_matches(index, b.column(1).to_pylist()))
-                hits = pa.array([[dict(zip(("item", "offset", "start", "end", "edits"), h, strict=True)) for h in f] for f in found], pa.list_(pa.struct([("item", pa.int64()), *((n, pa.int32()) for n in ("offset", "start", "end", "edits"))])))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), hits] if keep_text else [b.column(0), hits], names=["id", "text", "hits"] if keep_text else ["id", "hits"])
+                hits = pa.array([_hits(f) for f in _texts_matches(index, b.column(1).to_pylist())], pa.list_(one))
+                yield pa.RecordBatch.from_arrays([b.column(0), hits], names=["id", "hits"])
 
         return run
 
-    done, keep_text = None, False
-    for pieces in blocks(benchmark):
-        if done is None:
-            first, done = pieces, rows.mapInArrow(report(pieces), f"id {kind}, hits array<{_HIT}>")
+    def sparse(pieces):
+        """(h, hit) of the texts that match a block."""
+
+        def run(batches):
+            index = Index(pieces)
+            for b in batches:
+                keys, hits = [], []
+                for h, found in zip(b.column(0).to_pylist(), _texts_matches(index, b.column(1).to_pylist()), strict=True):
+                    keys += [h] * len(found)
+                    hits += _hits(found)
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(hits, one)], names=["h", "hit"])
+
+        return rows.select(F.xxhash64("text").alias("h"), "text").mapInArrow(run, f"h long, hit {hit}")
+
+    first, union, n = None, None, 0
+    for pieces in blocks(benchmark, item_col):
+        n += 1
+        if n == 1:
+            first = pieces
             continue
         # Further blocks: by text, as only its hits are moved.
-        more = rows.withColumn("h", F.xxhash64("text"))
-        if not keep_text:
-            keep_text = True
-            parts = [_sparse(more, first)]
-        parts.append(_sparse(more, pieces))
-    if keep_text:
-        union = parts[0]
-        for p in parts[1:]:
-            union = union.unionByName(p)
+        union = (sparse(first) if union is None else union).unionByName(sparse(pieces))
+    if union is None:
+        done = rows.mapInArrow(report(first), f"id {kind}, hits array<{hit}>")
+    else:
         grouped = union.groupBy("h").agg(F.sort_array(F.collect_set("hit")).alias("hits"))
-        done = rows.select("id", F.xxhash64("text").alias("h")).join(grouped, "h", "left").select("id", F.coalesce("hits", F.expr(f"cast(array() as array<{_HIT}>)")).alias("hits"))
+        done = rows.select("id", F.xxhash64("text").alias("h")).join(grouped, "h", "left").select("id", F.coalesce("hits", F.expr(f"cast(array() as array<{hit}>)")).alias("hits"))
     return done.select(F.col("id").alias(id_col), (F.size("hits") > 0).alias("contaminated"), F.expr("array_sort(array_distinct(transform(hits, h -> h.item)))").alias("item_ids"), "hits")
 
 
-def _sparse(rows: DataFrame, pieces: list) -> DataFrame:
-    """(h, hit) of the texts that match a block."""
-
-    def run(batches):
-        index = Index(pieces)
-        for b in batches:
-            keys, hits = [], []
-            for h, found in zip(b.column(0).to_pylist(), _texts_matches(index, b.column(1).to_pylist()), strict=True):
-                keys += [h] * len(found)
-                hits += [dict(zip(("item", "offset", "start", "end", "edits"), f, strict=True)) for f in found]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(hits, pa.struct([("item", pa.int64()), *((n, pa.int32()) for n in ("offset", "start", "end", "edits"))]))], names=["h", "hit"])
-
-    return rows.select("h", "text").mapInArrow(run, f"h long, hit {_HIT}")
-
-
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of docs that match no passage, all columns as they are; nothing is shuffled."""
     at, schema = docs.columns.index(text_col), docs.schema
