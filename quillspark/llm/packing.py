@@ -1,28 +1,30 @@
 """Packing of documents into fixed-length rows of token ids, by best-fit decreasing.
 
-Texts are tokenised where they lie and packed in groups of bounded size, so nothing is
-shuffled. Documents longer than a row are split without loss. A segment tree over the free
-capacities 0..length finds the fullest row that still takes a piece.
+Texts are tokenised where they lie; their token ids are dealt into groups of about GROUP_DOCS
+documents by a hash of id and text, and every group is packed by itself: the fit is best within
+a group. Groups, and so the rows, do not depend on the partitions of the input. Documents
+longer than a row are split without loss. A segment tree over the free capacities 0..length
+finds the fullest row that still takes a piece.
 
 Defined cases: a null or empty text is the end-of-document id alone; a text of any length is
-kept whole, as several pieces; pieces of equal length are placed in the order of the rows;
-repeated rows are packed once each; an empty table gives no row. Only the named columns are
-read.
+kept whole, as several pieces; pieces of equal length are placed in the order of their
+documents' hashes; repeated rows are packed once each; a group of over GROUP_TOKENS tokens is
+packed in parts; an empty table gives no row; a length over 65,536 is an error, as its
+positions need more than 16 bits. Only the named columns are read.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.tokens import EOD, VOCABULARY, encoder
 
 LENGTH = 2048
-#: A group is packed when it holds so many documents or tokens.
-GROUP_DOCS, GROUP_TOKENS = 4096, 4_000_000
+#: Documents of a group on average, and tokens of a group that are packed at once.
+GROUP_DOCS, GROUP_TOKENS = 1024, 4_000_000
 
 
 class Capacities:
@@ -78,23 +80,41 @@ def best_fit_decreasing(sizes: list[int], length: int) -> list[list[int]]:
     return rows
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, vocabulary: str = VOCABULARY) -> DataFrame:
+def tokenised(docs: DataFrame, id_col: str, text_col: str, vocabulary: str) -> DataFrame:
+    """(id, h, ids): the 16-bit token ids of every whole text, with the end-of-document id; h is a hash of id and text."""
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def write(batches):
+        encode, end = encoder(vocabulary).encode, np.asarray([EOD], dtype="<u2").tobytes()
+        for b in batches:
+            for start in range(0, b.num_rows, 256):
+                cut = b.slice(start, 256)
+                yield pa.RecordBatch.from_arrays([cut.column(0), cut.column(1), pa.array([encode(t or "") + end for t in cut.column(2).to_pylist()], pa.binary())], names=["id", "h", "ids"])
+
+    key, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    return docs.select(key.alias("id"), F.xxhash64(key, text).alias("h"), text.alias("text")).mapInArrow(write, f"id {kind}, h long, ids binary")
+
+
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, vocabulary: str = VOCABULARY, group_docs: int = GROUP_DOCS) -> DataFrame:
     """One row for each packed sequence.
 
-    part, row: its place; ids: `length` 16-bit ids, filled up with the end-of-document id;
-    position_ids: `length` 16-bit positions that start again at every segment; cu_seqlens: the
-    cumulative lengths of its segments, from 0; doc_ids and doc_offsets: the document of each
-    segment and where in its tokens the segment starts; n_tokens: without the filling.
+    part, row: its group and its place there; ids: `length` 16-bit ids, filled up with the
+    end-of-document id; position_ids: `length` 16-bit positions that start again at every
+    segment; cu_seqlens: the cumulative lengths of its segments, from 0; doc_ids and
+    doc_offsets: the document of each segment and where in its tokens the segment starts;
+    n_tokens: without the filling.
     """
+    if not 0 < length <= 1 << 16:
+        raise ValueError("length must be from 1 to 65536")
     kind = docs.schema[id_col].dataType.simpleString()
+    groups = max(1, -(-docs.count() // group_docs))
 
     def write(batches):
-        encode, part, n = encoder(vocabulary).encode, TaskContext.get().partitionId(), 0
         end = np.asarray([EOD], dtype="<u2").tobytes()
         count_up = np.arange(length, dtype="<u2").tobytes()
         id_type = pa.int64()
         pieces: list[tuple] = []  # (document, offset, bytes)
-        held_docs = held = 0
+        part, n, held = None, 0, 0
 
         def flush():
             nonlocal n
@@ -117,22 +137,25 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["part", "row", "ids", "position_ids", "cu_seqlens", "doc_ids", "doc_offsets", "n_tokens"])
 
         for b in batches:
-            id_type = b.schema[0].type
-            for start in range(0, b.num_rows, 256):
-                cut = b.slice(start, 256)
-                for key, text in zip(cut.column(0).to_pylist(), cut.column(1).to_pylist(), strict=True):
-                    ids = encode(text or "") + end
-                    for k in range(0, len(ids), 2 * length):
-                        pieces.append((key, k // 2, ids[k : k + 2 * length]))
-                    held_docs, held = held_docs + 1, held + len(ids) // 2
-                    if held_docs >= GROUP_DOCS or held >= GROUP_TOKENS:
+            id_type = b.schema[1].type
+            for at, key, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3), strict=True):
+                if at != part or held >= GROUP_TOKENS:
+                    if pieces:
                         yield from flush()
-                        pieces, held_docs, held = [], 0, 0
+                    pieces, held, n = [], 0, n if at == part else 0
+                    part = at
+                data = ids.as_buffer().to_pybytes()
+                held += len(data) // 2
+                for k in range(0, len(data), 2 * length):
+                    pieces.append((key, k // 2, data[k : k + 2 * length]))
         if pieces:
             yield from flush()
 
     schema = f"part int, row long, ids binary, position_ids binary, cu_seqlens array<int>, doc_ids array<{kind}>, doc_offsets array<long>, n_tokens int"
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(write, schema)
+    tokens = tokenised(docs, id_col, text_col, vocabulary)
+    dealt = tokens.select(F.pmod("h", F.lit(groups)).cast("int").alias("part"), "id", "h", "ids")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(n, "part").sortWithinPartitions("part", "h", "id").mapInArrow(write, schema)
 
 
 def matrix(rows: list) -> tuple[np.ndarray, np.ndarray]:
