@@ -6,7 +6,9 @@ byte range in the file. The writer makes one mono track of unsigned 8-bit sample
 
 Defined cases: a null text is empty; a payload is never empty (64 zero bytes at least); equal
 texts give equal files; parsing null bytes gives no packet; a truncated file gives the packets
-that lie whole inside it. Repeated rows give repeated results. Only the named columns are read.
+that lie whole inside it; elements that make no sense are passed over, so no bytes are an
+error; times beyond 64 bits become the largest number. Repeated rows give repeated results.
+Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -36,6 +38,7 @@ UNIT = 64
 RATE = 8000
 #: Samples of a packet, packets laced in a block, blocks of a cluster.
 PACKET, LACE, BLOCKS = 512, 8, 32
+LATEST = (1 << 63) - 1
 
 
 def vint(n: int, length: int = 0) -> bytes:
@@ -115,8 +118,12 @@ class Media:
     cues: list = field(default_factory=list)  # (time in ns, track, absolute position of the cluster)
 
 
+#: What reading past the end of damaged bytes raises.
+DAMAGE = (EOFError, IndexError, struct.error)
+
+
 def _children(data: bytes, at: int, end: int) -> Iterator[tuple[int, int, int, bool]]:
-    """(identifier, body start, body end, open): an element of unknown size is open and ends where its parent does."""
+    """(identifier, body start, body end as stated, open): an element of unknown size is open and ends where its parent does."""
     while at < end:
         try:
             identifier, at, _ = read_vint(data, at, keep_marker=True)
@@ -124,72 +131,97 @@ def _children(data: bytes, at: int, end: int) -> Iterator[tuple[int, int, int, b
         except EOFError:
             return
         stop = end if n < 0 else at + n
-        yield identifier, at, min(stop, end), n < 0
+        yield identifier, at, stop, n < 0
         at = stop
 
 
-def _block(data: bytes, at: int, end: int, simple: bool, cluster_time: int, cluster: int, media: Media, duration: int | None) -> None:
-    track, at, _ = read_vint(data, at)
-    (offset,) = struct.unpack_from(">h", data, at)
-    flags, at = data[at + 2], at + 3
-    kind, sizes = flags >> 1 & 3, None
-    if kind:
-        n, at = data[at] + 1, at + 1
+def _parts(data: bytes, at: int, end: int) -> dict[int, tuple[int, int]]:
+    """The children by identifier; those that lie whole inside, and blocks in any case."""
+    end = min(end, len(data))
+    return {k: (a, b) for k, a, b, _ in _children(data, at, end) if b <= end or k == BLOCK}
+
+
+def _lace(data: bytes, at: int, end: int, kind: int) -> tuple[list[int], int]:
+    """(sizes of the packets, where the first one starts) of a block's body from `at` on."""
+    if not kind:
+        return [end - at], at
+    n, at = data[at] + 1, at + 1
+    if kind == 2:
+        return [(end - at) // n] * n, at
+    sizes: list[int] = []
+    for k in range(n - 1):
         if kind == 1:
-            sizes = []
-            for _ in range(n - 1):
-                size = 0
-                while True:
-                    byte, at = data[at], at + 1
-                    size += byte
-                    if byte != 255:
-                        break
-                sizes.append(size)
-            sizes.append(end - at - sum(sizes))
-        elif kind == 3:
-            sizes, d = [], 0
-            for k in range(n - 1):
-                v, at, length = read_vint(data, at)
-                d = v if k == 0 else d + v - ((1 << (7 * length - 1)) - 1)
-                sizes.append(d)
-            sizes.append(end - at - sum(sizes))
+            size = 0
+            while data[at] == 255:
+                size, at = size + 255, at + 1
+            size, at = size + data[at], at + 1
         else:
-            sizes = [(end - at) // n] * n
-    else:
-        sizes = [end - at]
-    time = cluster_time + offset
-    for k, size in enumerate(sizes):
-        if size < 0 or at + size > end:
+            v, at, length = read_vint(data, at)
+            size = v if k == 0 else sizes[-1] + v - ((1 << (7 * length - 1)) - 1)
+        sizes.append(size)
+    return [*sizes, end - at - sum(sizes)], at
+
+
+def _block(data: bytes, at: int, end: int, simple: bool, cluster_time: int, cluster: int, media: Media, duration: int | None) -> None:
+    try:
+        track, at, _ = read_vint(data, at)
+        (offset,) = struct.unpack_from(">h", data, at)
+        flags = data[at + 2]
+        kind = flags >> 1 & 3
+        sizes, at = _lace(data, at + 3, end, kind)
+    except DAMAGE:
+        return
+    # Packets of a lace share the block's timestamp unless the samples or a duration tell more.
+    codec, _, rate, width = media.tracks.get(track, ("", 0, 0, 0))
+    time = (cluster_time + offset) * media.scale
+    for size in sizes:
+        if size < 0 or at + size > min(end, len(data)):
             return
-        # Packets of a lace share the block's timestamp unless the samples tell more.
-        bits = media.tracks.get(track, ("", 0, 0, 0))
-        step = size * 1_000_000_000 // (bits[2] * bits[3]) if bits[0].startswith("A_PCM") and bits[2] and bits[3] else (duration or 0) * media.scale // len(sizes)
-        base = time * media.scale if k == 0 else base + before  # noqa: F821
-        before = step
-        media.packets.append((track, base, at, at + size, bool(flags & 0x80) if simple else True, cluster, kind))
+        media.packets.append((track, min(time, LATEST), at, at + size, bool(flags & 0x80) if simple else True, cluster, kind))
+        time += size * 1_000_000_000 // (rate * width) if codec.startswith("A_PCM") and rate * width > 0 else (duration or 0) * media.scale // len(sizes)
         at += size
 
 
 def parse(data: bytes) -> Media:
     """All packets, tracks and cues of a file."""
     media = Media()
-    number = lambda a, b: int.from_bytes(data[a:b], "big")
-    real = lambda a, b: struct.unpack(">d" if b - a == 8 else ">f", data[a:b])[0]
 
-    def cluster_body(start: int, end: int, is_open: bool, position: int) -> int:
+    def number(span: tuple[int, int] | None, default: int = 0) -> int:
+        return int.from_bytes(data[slice(*span)], "big") if span else default
+
+    def real(span: tuple[int, int] | None) -> int:
+        raw = data[slice(*span)] if span else b""
+        x = struct.unpack(">d" if len(raw) == 8 else ">f", raw)[0] if len(raw) in (4, 8) else 0.0
+        return int(x) if 0 <= x < 2**31 else 0
+
+    def cluster_body(start: int, end: int, is_open: bool, position: int) -> None:
         time = 0
         for k, a, b, _ in _children(data, start, end):
             if is_open and k in TOP_LEVEL:
-                return a
-            if k == CLUSTER_TIMESTAMP:
-                time = number(a, b)
+                return
+            if k == CLUSTER_TIMESTAMP and b <= end:
+                time = number((a, b))
             elif k == SIMPLE_BLOCK:
                 _block(data, a, b, True, time, position, media, None)
             elif k == BLOCK_GROUP:
-                parts = {i: (x, y) for i, x, y, _ in _children(data, a, b)}
+                parts = _parts(data, a, b)
                 if BLOCK in parts:
-                    _block(data, *parts[BLOCK], False, time, position, media, number(*parts[BLOCK_DURATION]) if BLOCK_DURATION in parts else None)
-        return end
+                    _block(data, *parts[BLOCK], False, time, position, media, number(parts.get(BLOCK_DURATION)))
+
+    def track_entry(a: int, b: int) -> None:
+        parts = _parts(data, a, b)
+        if TRACK_NUMBER in parts:
+            sound = _parts(data, *parts[AUDIO]) if AUDIO in parts else {}
+            width = number(sound.get(BIT_DEPTH)) // 8 * number(sound.get(CHANNELS), 1)
+            codec = data[slice(*parts[CODEC_ID])].decode("ascii", "replace") if CODEC_ID in parts else ""
+            media.tracks[number(parts[TRACK_NUMBER])] = (codec, number(parts.get(TRACK_TYPE)), real(sound.get(SAMPLING_FREQUENCY)), width)
+
+    def cue_point(a: int, b: int, start: int) -> None:
+        time = number(_parts(data, a, b).get(CUE_TIME))
+        for j, x, y, _ in _children(data, a, min(b, len(data))):
+            parts = _parts(data, x, y) if j == CUE_TRACK_POSITIONS else {}
+            if CUE_TRACK in parts and CUE_CLUSTER_POSITION in parts:
+                media.cues.append((min(time * media.scale, LATEST), min(number(parts[CUE_TRACK]), LATEST), min(start + number(parts[CUE_CLUSTER_POSITION]), LATEST)))
 
     def segment(start: int, end: int) -> None:
         at = start
@@ -202,36 +234,22 @@ def parse(data: bytes) -> Media:
                 return
             stop = end if n < 0 else min(at + n, end)
             if k == INFO:
-                for i, a, b, _ in _children(data, at, stop):
-                    if i == TIMESTAMP_SCALE:
-                        media.scale = number(a, b)
-            elif k == TRACKS:
-                for i, a, b, _ in _children(data, at, stop):
-                    if i == TRACK_ENTRY:
-                        parts = {j: (x, y) for j, x, y, _ in _children(data, a, b)}
-                        sound = {j: (x, y) for j, x, y, _ in _children(data, *parts[AUDIO])} if AUDIO in parts else {}
-                        rate = int(real(*sound[SAMPLING_FREQUENCY])) if SAMPLING_FREQUENCY in sound else 0
-                        width = (number(*sound[BIT_DEPTH]) // 8 if BIT_DEPTH in sound else 0) * (number(*sound[CHANNELS]) if CHANNELS in sound else 1)
-                        media.tracks[number(*parts[TRACK_NUMBER])] = (data[slice(*parts[CODEC_ID])].decode("ascii", "replace") if CODEC_ID in parts else "", number(*parts[TRACK_TYPE]) if TRACK_TYPE in parts else 0, rate, width)
+                media.scale = number(_parts(data, at, stop).get(TIMESTAMP_SCALE), media.scale)
             elif k == CLUSTER:
                 if n < 0:
                     stop = _end_of_open(data, at, end)
                 cluster_body(at, stop, n < 0, position)
-            elif k == CUES:
+            elif k in (TRACKS, CUES):
                 for i, a, b, _ in _children(data, at, stop):
-                    if i == CUE_POINT:
-                        time = 0
-                        for j, x, y, _ in _children(data, a, b):
-                            if j == CUE_TIME:
-                                time = number(x, y)
-                            elif j == CUE_TRACK_POSITIONS:
-                                parts = {m: (v, w) for m, v, w, _ in _children(data, x, y)}
-                                media.cues.append((time * media.scale, number(*parts[CUE_TRACK]), start + number(*parts[CUE_CLUSTER_POSITION])))
+                    if i == TRACK_ENTRY:
+                        track_entry(a, min(b, stop))
+                    elif i == CUE_POINT:
+                        cue_point(a, min(b, stop), start)
             at = stop
 
     for k, a, b, _ in _children(data, 0, len(data)):
         if k == SEGMENT:
-            segment(a, b)
+            segment(a, min(b, len(data)))
     return media
 
 
@@ -274,6 +292,9 @@ def packets(media: DataFrame, id_col: str, media_col: str) -> DataFrame:
     )
 
 
+PACKET_FIELDS, CUE_FIELDS = ("track", "timestamp_ns", "start", "end", "cluster"), ("timestamp_ns", "track", "cluster")
+
+
 def payload_of(text: bytes) -> bytes:
     return text + bytes(-len(text) % UNIT if text else UNIT)
 
@@ -289,9 +310,16 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Store every text as a Matroska file, read it back, and describe what was read.
 
     (id_col, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256,
-    feature, n_packets, n_cues, duration_ns), and the file itself in `media` if asked for.
+    feature, n_packets, n_cues, duration_ns, packets, cues), and the file itself in `media` if
+    asked for. packets is the file's packet table (track, timestamp_ns, start, end, cluster), and
+    cues its cue table (timestamp_ns, track, cluster), as they were read back.
     """
-    names = ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_packets", "n_cues", "duration_ns"] + ["media"] * keep_media
+    names = ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_packets", "n_cues", "duration_ns", "packets", "cues"] + ["media"] * keep_media
+
+    def nested(rows: list[list[tuple]], fields: tuple[str, ...]) -> pa.Array:
+        flat = list(zip(*(r for own in rows for r in own), strict=True)) or [()] * len(fields)
+        structs = pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in flat], names=list(fields))
+        return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(own) for own in rows]))), pa.int32()), structs)
 
     def read(batches):
         for b in batches:
@@ -303,12 +331,16 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     stored = mux(payload_of(raw))
                     m = parse(stored)
                     back = b"".join(stored[p[2] : p[3]] for p in m.packets)
-                    values = [None, len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(stored), hashlib.sha256(stored).hexdigest(), describe(back, len(m.packets)), len(m.packets), len(m.cues), len(back) * 1_000_000_000 // RATE]
+                    values = [None, len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(stored), hashlib.sha256(stored).hexdigest(), describe(back, len(m.packets)), len(m.packets), len(m.cues), len(back) * 1_000_000_000 // RATE, [(*p[:4], p[5]) for p in m.packets], m.cues]
                     for c, v in zip(rows, values + [stored] * keep_media, strict=True):
                         c.append(v)
-                kinds = [None, *[pa.int64()] * 2, pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), *[pa.int64()] * 3] + [pa.binary()] * keep_media
-                yield pa.RecordBatch.from_arrays([cut.column(0), *(pa.array(r, t) for r, t in zip(rows[1:], kinds[1:], strict=True))], names=names)
+                kinds = [*[pa.int64()] * 2, pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), *[pa.int64()] * 3]
+                columns = [cut.column(0), *(pa.array(r, t) for r, t in zip(rows[1:11], kinds, strict=True)), nested(rows[11], PACKET_FIELDS), nested(rows[12], CUE_FIELDS)]
+                yield pa.RecordBatch.from_arrays(columns + [pa.array(r, pa.binary()) for r in rows[13:]], names=names)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_packets long, n_cues long, duration_ns long" + ", media binary" * keep_media
+    schema = f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_packets long, n_cues long, duration_ns long, " + ", ".join(
+        f"{name} array<struct<{','.join(f'{f}:long' for f in fields)}>>" for name, fields in (("packets", PACKET_FIELDS), ("cues", CUE_FIELDS))
+    )
+    schema += ", media binary" * keep_media
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(read, schema).withColumnRenamed("id", id_col)
