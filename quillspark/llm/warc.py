@@ -8,8 +8,8 @@ names the conversion record. Identifiers are name-based, so a repeated run gives
 
 Defined cases: a null page or URL counts as empty; bytes that are no WARC record give no
 derivative and are reported in read_records() with kind "invalid"; a body that is not UTF-8
-is read with replacement characters; text of any length is kept whole; repeated rows give
-repeated records; an empty table gives an empty result. Only the named columns are read.
+is read with replacement characters; text of any length is kept whole and read in linear time,
+whatever its markup; repeated rows give repeated records; an empty table gives an empty result. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ import html
 import json
 import re
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,22 +28,71 @@ from pyspark.sql import functions as F
 
 DATE = "2020-01-01T00:00:00Z"
 
-_DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.I | re.S)
-_BREAK = re.compile(r"</?(?:p|div|br|li|ul|ol|table|tr|h[1-6]|article|section|nav|header|footer|title|blockquote|pre|hr|dd|dt|dl|form|main|aside)\b[^>]*>", re.I)
-_TAG = re.compile(r"</?[A-Za-z!][^>]*>")
-_LINK = re.compile(r"""<(a|img|link|script|iframe|form)\b[^>]*?\b(href|src|action)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title", re.I | re.S)
+#: Elements whose content is no text, and elements that end a line.
+HIDDEN = {"script", "style", "noscript", "template"}
+BREAKING = set("p div br li ul ol table tr h1 h2 h3 h4 h5 h6 article section nav header footer title blockquote pre hr dd dt dl form main aside".split())
+LINKING = {"a", "img", "link", "script", "iframe", "form"}
+
+_NAME = re.compile(r"</?([A-Za-z!][^\s/>]*)")
+_CLOSE = {k: re.compile(rf"</{k}\s*>", re.I) for k in HIDDEN}
+_ATTRIBUTE = re.compile(r"""\b(href|src|action)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+
+
+def markup(page: str) -> Iterator[tuple[str, str, str]]:
+    """(text before, name, tag) of each tag in turn, and of the end with an empty name; every character is read once.
+
+    A tag goes from "<" and a letter to the next ">"; without one the rest is text. Comments
+    ("!--") and the content of HIDDEN elements belong to their tag; without an end they go on
+    to the page's end.
+    """
+    at = look = 0
+    while (i := page.find("<", look)) >= 0:
+        if page.startswith("<!--", i):
+            j = page.find("-->", i + 4)
+            end = j + 3 if j >= 0 else len(page)
+            yield page[at:i], "!--", ""
+        elif not (m := _NAME.match(page, i)):
+            look = i + 1
+            continue
+        else:
+            j = page.find(">", m.end())
+            if j < 0:
+                break
+            name, end = m[1].lower(), j + 1
+            if name in HIDDEN and page[i + 1] != "/":
+                close = _CLOSE[name].search(page, end)
+                end = close.end() if close else len(page)
+            yield page[at:i], name, page[i : j + 1]
+        at = look = end
+    yield page[at:], "", ""
 
 
 def plain_text(page: str) -> str:
     """The visible text: a line for each block element, white space within a line as one space."""
-    text = html.unescape(_TAG.sub("", _BREAK.sub("\n", _DROP.sub(" ", page))))
-    lines = (" ".join(line.split()) for line in text.split("\n"))
+    out = []
+    for text, name, _ in markup(page):
+        out += (text, "\n" if name in BREAKING else " " if name in HIDDEN or name == "!--" else "")
+    lines = (" ".join(line.split()) for line in html.unescape("".join(out)).split("\n"))
     return "\n".join(line for line in lines if line)
 
 
 def links(page: str) -> list[dict]:
-    return [{"path": f"{m[1].upper()}@/{m[2].lower()}", "url": html.unescape(m[3] or m[4] or m[5] or "")} for m in _LINK.finditer(page)]
+    """The first target of each tag outside comments and hidden content."""
+    found = ((name, _ATTRIBUTE.search(tag)) for _, name, tag in markup(page) if name in LINKING and tag[1] != "/")
+    return [{"path": f"{name.upper()}@/{m[1].lower()}", "url": html.unescape(m[2] or m[3] or m[4] or "")} for name, m in found if m]
+
+
+def title_of(page: str) -> str | None:
+    """The text of the first title element that ends."""
+    held = None
+    for text, name, tag in markup(page):
+        if held is not None:
+            held.append(text)
+            if name == "title":
+                return " ".join(html.unescape("".join(held)).split())
+        elif name == "title" and tag[1] != "/":
+            held = []
+    return None
 
 
 def digest(block: bytes) -> str:
@@ -69,14 +119,20 @@ def _header_lines(raw: bytes) -> list[list[str]]:
     return out
 
 
-def read_record(data: bytes) -> tuple[list[list[str]], bytes] | None:
-    """(headers, block) of the record at the start of data; None if there is none."""
-    head, gap, rest = data.partition(b"\r\n\r\n")
-    if not gap or not head.startswith(b"WARC/"):
+def read_record(data: bytes, at: int = 0) -> tuple[list[list[str]], bytes] | None:
+    """(headers, block) of the record at a place of data; None if there is none."""
+    found = find_record(data, at)
+    return (found[0], data[found[1] : found[2]]) if found else None
+
+
+def find_record(data: bytes, at: int) -> tuple[list[list[str]], int, int] | None:
+    """(headers, start and end of the block) of the record at a place of data, of which nothing but the headers is copied."""
+    gap = data.find(b"\r\n\r\n", at)
+    if gap < 0 or not data.startswith(b"WARC/", at):
         return None
-    headers = _header_lines(head.partition(b"\r\n")[2])
+    headers = _header_lines(data[at:gap].partition(b"\r\n")[2])
     size = next((v for k, v in headers if k.lower() == "content-length"), "")
-    return (headers, rest[: int(size)]) if size.isdigit() else None
+    return (headers, gap + 4, min(gap + 4 + int(size), len(data))) if size.isascii() and size.isdigit() and len(size) < 19 else None
 
 
 def response_record(key, url: str, page: str, date: str = DATE) -> bytes:
@@ -111,11 +167,10 @@ def derive(record: bytes) -> list[tuple[str, str, str, str, str, bytes]]:
         page = body.decode("utf-8", "replace")
     text = plain_text(page).encode("utf-8", "replace")
     conversion, metadata = identifier("conversion", source), identifier("metadata", source)
-    title = _TITLE.search(page)
     about = {
         "source": {"record-id": source, "headers": headers, "block-digest": get("warc-block-digest"), "payload-digest": get("warc-payload-digest"), "computed-payload-digest": digest(body)},
         "http": {"status": status.decode("latin-1"), "headers": http},
-        "html": {"title": " ".join(html.unescape(title[1]).split()) if title else None, "links": links(page)},
+        "html": {"title": title_of(page), "links": links(page)},
         "conversion": conversion,
     }
     described = json.dumps(about, ensure_ascii=False, separators=(",", ":")).encode("utf-8", "replace")
@@ -166,12 +221,12 @@ def read_records(files: DataFrame, content_col: str = "content") -> DataFrame:
             for data in b.column(0).to_pylist():
                 data, at, rows = data or b"", 0, []
                 while at < len(data):
-                    parsed = read_record(data[at:])
+                    parsed = find_record(data, at)
                     if parsed is None:
                         rows.append(("invalid", "", "", at, len(data), data[at:]))
                         break
-                    headers, block = parsed
-                    end = min(data.index(b"\r\n\r\n", at) + 4 + len(block) + 4, len(data))
+                    headers, _, end = parsed
+                    end = min(end + 4, len(data))
                     get = lambda name, found=headers: next((v for k, v in found if k.lower() == name), "")
                     rows.append((get("warc-type"), get("warc-record-id"), get("warc-target-uri"), at, end, data[at:end]))
                     at = end
