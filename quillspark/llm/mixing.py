@@ -33,8 +33,6 @@ STEPS, ROUNDS = 15, 8
 #: A table of sources up to so many rows is broadcast (under 1 MB).
 BROADCAST_SOURCES = 10_000
 
-NULL_SOURCE = "\u0000null"
-
 
 def source_totals(docs: DataFrame) -> DataFrame:
     """(source, docs, tokens) from rows of (source, n_tokens): partial sums before the shuffle."""
@@ -128,7 +126,9 @@ def order_of(seed: int, epoch: Column) -> Column:
 
 
 def _keyed(docs: DataFrame, id_col: str, source_col: str) -> list[Column]:
-    return [F.col(id_col).alias("id"), F.coalesce(F.col(source_col).cast("string"), F.lit(NULL_SOURCE)).alias("source")]
+    """id, and source as a text that no null and no other source shares."""
+    source = F.col(f"`{source_col}`")
+    return [F.col(f"`{id_col}`").alias("id"), F.when(source.isNull(), "").otherwise(F.concat(F.lit("="), source.cast("string"))).alias("source")]
 
 
 def _draw(rows: DataFrame, shares: DataFrame, seed: int, small: bool) -> DataFrame:
@@ -155,17 +155,16 @@ def mix(docs: DataFrame, n_tokens: Column | None = None, id_col: str = "doc_id",
     (id_col, source_col, n_tokens, epoch, block, block_rank, slot, weight, passes). An epoch of
     a source is read in the order of (block_rank, slot).
     """
-    tokens = word_count(F.col(text_col)) if n_tokens is None else n_tokens
-    rows = reliable(docs.select(*_keyed(docs, id_col, source_col), tokens.alias("n_tokens")))  # the texts are read once
+    tokens = word_count(F.col(f"`{text_col}`")) if n_tokens is None else n_tokens
+    rows = reliable(docs.select(*_keyed(docs, id_col, source_col), F.col(f"`{source_col}`").alias("given"), tokens.alias("n_tokens")))  # the texts are read once
     shares, small = _shares(rows, repetition, entropy, budget, seed, block_docs)
     drawn = _draw(rows, shares, seed, small)
-    source = F.when(F.col("source") == NULL_SOURCE, F.lit(None)).otherwise(F.col("source"))
-    return drawn.select(F.col("id").alias(id_col), source.alias(source_col), "n_tokens", "epoch", "block", "block_rank", "slot", "weight", "passes")
+    return drawn.select(F.col("id").alias(id_col), F.col("given").alias(source_col), "n_tokens", "epoch", "block", "block_rank", "slot", "weight", "passes")
 
 
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", repetition: float | None = REPETITION, entropy: float | None = None, budget: int | None = None, seed: int = SEED, block_docs: int = BLOCK_DOCS) -> DataFrame:
     """All columns of docs, a row for each time that a document is drawn; the texts stay where they lie."""
-    rows = reliable(docs.select(*_keyed(docs, id_col, source_col), word_count(F.col(text_col)).alias("n_tokens")))
+    rows = reliable(docs.select(*_keyed(docs, id_col, source_col), word_count(F.col(f"`{text_col}`")).alias("n_tokens")))
     shares, small = _shares(rows, repetition, entropy, budget, seed, block_docs)
     packed = docs.select(*_keyed(docs, id_col, source_col), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     return _draw(packed, shares, seed, small).select("row.*")
