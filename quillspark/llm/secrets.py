@@ -3,7 +3,7 @@
 Two first-order character Markov models, one of random strings and one of ordinary
 identifiers, are trained from labelled samples. A run of key characters is reported when the
 log-likelihood ratio per transition is above a threshold. Everything runs as JVM expressions
-over one pass of the texts; nothing is shuffled but the counts of the training sample.
+over one pass of the texts; nothing is shuffled but hashes and counts of the training sample.
 
 Defined cases: a null or empty text has no spans; a very long text is scanned whole; repeated
 rows give repeated results; an empty table gives an empty result; a model trained on an empty
@@ -82,15 +82,25 @@ def train(samples: DataFrame, smoothing: float = 0.5) -> list[float]:
     return out
 
 
-def _spans(kind: int, matches: str, pieces: str) -> str:
-    """SQL of the spans of the matches that stand between the pieces, in code points."""
+#: Spans whose lengths are added up together.
+STRIDE = 64
+
+
+def _starts(kind: int) -> str:
+    """SQL of the places of the matches m{kind} between the pieces p{kind}: sums of lengths in two levels, so no array is grown."""
+    lengths = f"zip_with(p{kind}, m{kind}, (p, m) -> length(p) + coalesce(length(m), 0))"
+    sums = f"transform(sequence(0, (size(m{kind}) - 1) div {STRIDE}), c -> aggregate(slice(x, c * {STRIDE} + 1, {STRIDE}), 0, (s, v) -> s + v))"
+    before = "transform(y, (v, c) -> aggregate(slice(y, 1, c), 0, (s, w) -> s + w))"
+    place = f"transform(m{kind}, (m, i) -> z[i div {STRIDE}] + aggregate(slice(x, i - i % {STRIDE} + 1, i % {STRIDE}), 0, (s, v) -> s + v) + length(p{kind}[i]))"
+    bind = lambda name, value, body: f"element_at(transform(array({value}), {name} -> {body}), 1)"
+    return bind("x", lengths, bind("y", sums, bind("z", before, place)))
+
+
+def _spans(kind: int) -> str:
+    """SQL of the spans of the matches m{kind}, in code points."""
     empty = f"cast(array() as array<{_SPAN}>)"
-    return f"""if(size({matches}) = 0, {empty}, aggregate(sequence(0, size({matches}) - 1),
-        named_struct('at', 0, 'out', {empty}),
-        (acc, i) -> named_struct('at', acc.at + length({pieces}[i]) + length({matches}[i]),
-            'out', concat(acc.out, array(named_struct('kind', {kind}, 'start', acc.at + length({pieces}[i]),
-                'end', acc.at + length({pieces}[i]) + length({matches}[i]), 'score', cast(null as double))))),
-        acc -> acc.out))"""
+    return f"""if(size(m{kind}) = 0, {empty}, zip_with({_starts(kind)}, m{kind},
+        (a, m) -> named_struct('kind', {kind}, 'start', a, 'end', a + length(m), 'score', cast(null as double))))"""
 
 
 def find_secrets(docs: DataFrame, model: list[float], id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -117,17 +127,16 @@ def find_secrets(docs: DataFrame, model: list[float], id_col: str = "doc_id", te
         F.when(F.size("m0") > 0, F.regexp_extract_all(t, F.lit(ASSIGN), F.lit(2))).otherwise(none).alias("v0"),
         between(0, ASSIGN), between(1, ACCESS), between(2, HEX), between(3, RUN),
     )
-    placed = cut.select("id", "v0", "m3", *(F.expr(_spans(k, f"m{k}", f"p{k}")).alias(f"s{k}") for k in range(4)))
-    base = placed.select(
-        "id", "m3", "s3",
-        F.concat(F.expr(f"filter(s0, (s, i) -> length(v0[i]) >= {ASSIGN_VALUE_LEAST})"), "s1", "s2").alias("base"),
-    )
+    placed = cut.select("id", "v0", "m3", *(F.expr(_spans(k)).alias(f"s{k}") for k in range(4)))
+    base = placed.select("id", "m3", "s3", F.expr(f"filter(s0, (s, i) -> length(v0[i]) >= {ASSIGN_VALUE_LEAST})").alias("a0"), "s1", "s2")
+    base = base.select("id", "m3", "s3", "a0", F.concat("a0", "s1", "s2").alias("base"))
     ratios = ",".join(f"{x:.5g}" for x in model)
     score = f"""transform(m3, w -> aggregate(transform(array(transform(filter(split(w, ''), c -> c <> ''), c -> instr('{ALPHABET}', c))),
         x -> aggregate(zip_with(slice(x, 1, size(x) - 1), slice(x, 2, size(x)), (a, b) -> split('{ratios}', ',')[a * {n} + b]), 0D, (s, v) -> s + cast(v as double)) / (size(x) - 1)), 0D, (s, v) -> s + v))"""
-    scored = base.select("id", "base", "s3", F.when(F.size("m3") > 0, F.expr(score)).otherwise(F.expr("cast(array() as array<double>)")).alias("z"))
+    scored = base.select("id", "base", "a0", "m3", "s3", F.when(F.size("m3") > 0, F.expr(score)).otherwise(F.expr("cast(array() as array<double>)")).alias("z"))
+    # An access or hex span lies inside one run, so the run itself tells; assign spans may reach beyond.
     free = f"""filter(transform(s3, (s, i) -> named_struct('kind', 3, 'start', s.start, 'end', s.end, 'score', z[i])),
-        s -> s.score > {threshold} and not exists(base, b -> b.start < s.end and b.end > s.start))"""
+        (s, i) -> s.score > {threshold} and not m3[i] rlike '{ACCESS}|{HEX}' and not exists(a0, b -> b.start < s.end and b.end > s.start))"""
     order = """array_sort(concat(base, {}), (a, b) -> case when a.start < b.start then -1 when a.start > b.start then 1
         when a.kind < b.kind then -1 when a.kind > b.kind then 1 else 0 end)"""
     return scored.select(F.col("id").alias(id_col), F.expr(order.format(free)).alias("spans"))
