@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from quillspark.llm.common import reliable
 from quillspark.llm.tokens import EOD, VOCABULARY, encoder
@@ -68,7 +69,11 @@ def write_flat(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def cut_blocks(files: DataFrame, file_col: str = "path", content_col: str = "content", block: int = BLOCK) -> DataFrame:
-    """(file, block, ids) of token files read whole, as by Spark's binaryFile source."""
+    """(file, block, ids) of token files read whole, as by Spark's binaryFile source.
+
+    A row holds 2 GB at most, so a larger file must lie in several rows: parts of one name are
+    not joined, give each a name of its own.
+    """
 
     def cut(batches):
         for b in batches:
@@ -80,8 +85,8 @@ def cut_blocks(files: DataFrame, file_col: str = "path", content_col: str = "con
 
 
 def find_separators(blocks: DataFrame, eod: int = EOD) -> DataFrame:
-    """All columns of blocks but ids, with n_tokens and the separators' positions in the block."""
-    kept = [c for c in blocks.columns if c != "ids"]
+    """All columns of blocks but ids, with n_tokens and the separators' positions in the block (columns of these names are replaced)."""
+    kept = [c for c in blocks.columns if c not in ("ids", "n_tokens", "separators")]
 
     def search(batches):
         for b in batches:
@@ -92,8 +97,8 @@ def find_separators(blocks: DataFrame, eod: int = EOD) -> DataFrame:
                 sizes.append(len(x))
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in kept), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int32()))], names=[*kept, "n_tokens", "separators"])
 
-    schema = ", ".join(f"{c} {blocks.schema[c].dataType.simpleString()}" for c in kept)
-    return blocks.mapInArrow(search, f"{schema}, n_tokens long, separators array<int>")
+    schema = StructType([blocks.schema[c] for c in kept] + [StructField("n_tokens", LongType()), StructField("separators", ArrayType(IntegerType()))])
+    return blocks.mapInArrow(search, schema)
 
 
 def stitch(scanned: DataFrame) -> DataFrame:
