@@ -19,12 +19,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def reliable(df: DataFrame) -> DataFrame:
     """Cut the lineage at a checkpoint in the folder that spark.checkpoint.dir names.
 
-    Its files outlive the executors. Only a session without that setting (a test on one
-    machine) gets a folder of its own.
+    Its files outlive the executors. Only a session on one machine may be without that setting
+    (a test): it gets a folder of its own.
     """
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillspark-")
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="quillspark-")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
