@@ -41,3 +41,31 @@ def ascii_lower(column):
 def word_count(column):
     """Words between ASCII white space; null counts as empty."""
     return F.regexp_count(F.coalesce(column, F.lit("")), F.lit(WORD)).cast("long")
+
+
+#: Bits of the largest sketch (16 MB), and of one of its rows as Spark's bitmap functions lay them out.
+SKETCH_BITS, SKETCH_ROW = 1 << 27, 32_768
+
+
+def sketch(keys: DataFrame, key) -> tuple[DataFrame, int]:
+    """(bitmap rows, number of bits) of all values of key, a long: a filter of bounded size that misses none.
+
+    Sixteen bits a key up to SKETCH_BITS in all; beyond that it lets more strangers through, so
+    an exact join has to follow.
+    """
+    n, bits = keys.count(), SKETCH_ROW
+    while bits < min(16 * n, SKETCH_BITS):
+        bits *= 2
+    at = keys.select(F.pmod(key, F.lit(bits)).alias("at"))
+    rows = at.groupBy(F.expr(f"at div {SKETCH_ROW}").alias("_row")).agg(F.expr(f"bitmap_construct_agg(at % {SKETCH_ROW})").alias("_bits"))
+    return reliable(rows), bits
+
+
+def maybe(rows: DataFrame, key, sketched: tuple[DataFrame, int], also: bool = True) -> DataFrame:
+    """rows whose key may be in the sketch; with also=False, those whose key is surely not. Nothing is shuffled."""
+    bitmap, bits = sketched
+    packed = rows.select(F.struct("*").alias("_given"), F.pmod(key, F.lit(bits)).alias("_at"))
+    met = packed.join(F.broadcast(bitmap), F.expr(f"_at div {SKETCH_ROW} = _row"), "left")
+    byte = f"cast(conv(hex(substring(_bits, cast(_at % {SKETCH_ROW} div 8 as int) + 1, 1)), 16, 10) as int)"
+    hit = F.expr(f"_bits is not null and shiftright({byte}, cast(_at % 8 as int)) % 2 = 1")
+    return met.where(hit if also else ~hit).select("_given.*")

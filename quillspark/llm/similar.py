@@ -17,8 +17,8 @@ shingles and similarity t share at least ceil(t * max(n, m)) of them, so the fir
 n - ceil(t * n) + 1 of one set and the first m - ceil(t * m) + 1 of the other meet. Any order
 does; rare shingles come first here, as counted on a bounded sample of texts, which keeps the
 groups of one shingle small and has no say in the result. BITS is so wide that a pair of 0.8
-is dropped with a chance of about one in a million: of 64 bits 9.7 differ on average (12, for
-sets of four and five shingles). A shingle of many classes is dealt into parts of GROUP
+is dropped with a chance of 2 in 10 million, or 13 in a million for sets of four and five
+shingles: of 64 bits 9.7 differ on average there, or 12. A shingle of many classes is dealt into parts of GROUP
 classes, and every part meets every other.
 
 Defined cases: texts without words are one class; texts of fewer words than a shingle are one
@@ -35,12 +35,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import reliable
+from quillspark.llm.common import maybe, reliable, sketch
 from quillspark.llm.simhash import BROADCAST_ROWS, components, link, shingle_hashes, simhash, walk
 
 WORDS, LIKE = 5, 0.8
 #: Most differing bits of two fingerprints of a trie in step 3.
-BITS = 28
+BITS = 26
 #: Classes of one part of a hot shingle; texts and shingles of the sample that orders the shingles.
 GROUP, SAMPLE_TEXTS, SAMPLE_SHINGLES = 256, 4_000, 200_000
 #: Most turns of stars before the rest is compared in full.
@@ -121,8 +121,8 @@ def uniform_pairs(root: np.ndarray, alo, ahi, blo, bhi) -> np.ndarray:
     return (turns[alo] == turns[ahi - 1]) & (turns[blo] == turns[bhi - 1]) & (root[alo] == root[blo])
 
 
-def trie_pairs(rows: DataFrame, most: int = GROUP, bits: int = BITS) -> DataFrame:
-    """(a, b, na, nb), a < b: the pairs of rows (key, node, size, fp, root, n) of a key, within `bits` bits and of different roots.
+def trie_pairs(rows: DataFrame, most: int = GROUP, bits: int = BITS, like: float = LIKE) -> DataFrame:
+    """(a, b, na, nb), a < b: the pairs of rows (key, node, size, fp, root, n) of a key, within `bits` bits, of different roots and of sizes that `like` allows.
 
     n is the key's number of rows. Each pair comes once for each key that it shares.
     """
@@ -143,12 +143,12 @@ def trie_pairs(rows: DataFrame, most: int = GROUP, bits: int = BITS) -> DataFram
         new, end = new[many], end[many]
         cost, at = np.cumsum((end - new) ** 2), 0
         while at < len(new):
-            stop = max(at + 1, int(np.searchsorted(cost, (cost[at - 1] if at else 0) + 500_000, side="right")))
+            stop = max(at + 1, int(np.searchsorted(cost, (cost[at - 1] if at else 0) + 200_000, side="right")))
             lo, hi = int(new[at]), int(end[stop - 1])
             own = root[lo:hi]
             a, b = walk(fps[lo:hi], new[at:stop] - lo, end[at:stop] - lo, bits, lambda *r, own=own: uniform_pairs(own, *r))
             a, b = a + lo, b + lo
-            good = (root[a] != root[b]) & ((i[a] == j[a]) | (part[a] != part[b]))
+            good = (root[a] != root[b]) & ((i[a] == j[a]) | (part[a] != part[b])) & (np.minimum(size[a], size[b]) >= like * np.maximum(size[a], size[b]) - TINY)
             a, b = a[good], b[good]
             swap = node[a] > node[b]
             a, b = np.where(swap, b, a), np.where(swap, a, b)
@@ -162,7 +162,7 @@ def trie_pairs(rows: DataFrame, most: int = GROUP, bits: int = BITS) -> DataFram
         for batch in batches:
             held.append([batch.column(k).to_numpy() for k in range(8)])
             n += batch.num_rows
-            if n >= 200_000:
+            if n >= 100_000:
                 x = [np.concatenate(c) for c in zip(*held, strict=True)]
                 # The rows come sorted by trie; the last trie may go on in the next batch.
                 full = np.flatnonzero((x[0] != x[0][-1]) | (x[1] != x[1][-1]) | (x[2] != x[2][-1]))
@@ -177,12 +177,19 @@ def trie_pairs(rows: DataFrame, most: int = GROUP, bits: int = BITS) -> DataFram
     return tries.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long, na long, nb long")
 
 
+def _row_key(key="id", h="h"):
+    return F.xxhash64(key, h)
+
+
 def verified(pairs: DataFrame, classes: DataFrame, named: DataFrame, words: int, like: float) -> DataFrame:
-    """The pairs (a, b) whose whole sets have a Jaccard similarity of `like` or more; one text of each class is read again."""
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = classes.select("node", "least").join(nodes.hint("merge"), "node", "left_semi").select(F.col("least.id").alias("_id"), F.col("least.h").alias("_h"))
-    rows = named.join(reliable(wanted).hint("merge"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left_semi")
-    sets = reliable(_sets(rows, words).dropDuplicates(["node"]).select("node", "hashes"))
+    """The pairs (a, b) whose whole sets have a Jaccard similarity of `like` or more.
+
+    One text of each class is read again; it is picked where it lies, so only sets are moved.
+    """
+    nodes = reliable(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+    wanted = classes.select("node", "least").join(nodes.hint("merge"), "node", "left_semi")
+    some = maybe(named, _row_key(), sketch(wanted.select(_row_key("least.id", "least.h").alias("k")), F.col("k")))
+    sets = reliable(_sets(some, words).select("node", "hashes").join(nodes.hint("merge"), "node", "left_semi").dropDuplicates(["node"]))
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
     counted = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("shared"), (F.size("x") + F.size("y")).alias("total"))
     return counted.where(F.col("shared") >= (F.col("total") - F.col("shared")) * F.lit(like) - TINY).select("a", "b")
@@ -206,10 +213,11 @@ def _joined(rows: DataFrame, keys: DataFrame, most: int) -> DataFrame:
     return _flat(cold.join(keys.hint("merge"), "key").unionByName(rows.join(F.broadcast(hot), "key")))
 
 
-def _open(rows: DataFrame, found: DataFrame, most: int) -> DataFrame:
-    """rows (key, node, size, fp) with n and root, of the keys whose classes are not all in one component of found."""
+def _open(rows: DataFrame, classes: DataFrame, found: DataFrame, most: int) -> DataFrame:
+    """rows (key, node) with size, fp, root and n, of the keys whose classes are not all in one component of found."""
     roots = _fresh(components(_fresh(found))).withColumnRenamed("node", "at")
-    rooted = reliable(rows.join(roots.hint("merge"), F.col("node") == F.col("at"), "left").select("key", "node", "size", "fp", F.coalesce("root", "node").alias("root")))
+    about = classes.select("node", "size", "fp").join(roots.hint("merge"), F.col("node") == F.col("at"), "left").select("node", "size", "fp", F.coalesce("root", "node").alias("root"))
+    rooted = reliable(rows.join(about.hint("merge"), "node").select("key", "node", "size", "fp", "root"))
     keys = rooted.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key", "n")
     return reliable(_joined(rooted, reliable(keys), most))
 
@@ -225,6 +233,13 @@ def _stars(rows: DataFrame, turn: int, most: int) -> DataFrame:
     )
 
 
+def shared_keys(classes: DataFrame, most: int) -> DataFrame:
+    """(key, node): the prefix shingles that two classes share at least, which are few of all."""
+    rows = classes.select(F.explode("hashes").alias("key"), "node")
+    keys = reliable(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    return reliable(_joined(maybe(rows, F.col("key"), sketch(keys, F.col("key"))), keys, most).select("key", "node"))
+
+
 def near_prints(classes: DataFrame) -> DataFrame:
     """(a, b): the first class of each fingerprint with its other classes, and with the first classes of linked fingerprints."""
     heads = reliable(classes.groupBy("fp").agg(F.min("node").alias("head")))
@@ -237,22 +252,30 @@ def near_prints(classes: DataFrame) -> DataFrame:
 
 def links(classes: DataFrame, named: DataFrame, words: int = WORDS, like: float = LIKE, most: int = GROUP) -> DataFrame:
     """(a, b): links whose components are those of all pairs of `like` or more, of classes (node, least, size, fp, hashes)."""
-    check = lambda pairs: reliable(verified(pairs, classes, named, words, like))
-    rows = classes.select("node", "size", "fp", F.explode("hashes").alias("key"))
-    tried = reliable(_flat(near_prints(classes)))
-    found = check(tried)
-    # Turns of stars only save comparisons: what they leave open is compared in full.
-    for turn in range(TURNS):
-        rows = _open(rows.select("key", "node", "size", "fp"), found, most)
-        hot = rows if not turn else rows.where(F.col("n") > most)
+    tried = found = None
+
+    def settle(pairs):
+        nonlocal tried, found
+        if tried is not None:
+            pairs = pairs.join(tried.hint("merge"), ["a", "b"], "left_anti")
+        pairs = reliable(_flat(pairs))
+        got = reliable(_flat(verified(pairs, classes, named, words, like)))
+        tried = pairs if tried is None else _flat(tried.unionByName(pairs))
+        found = got if found is None else _flat(found.unionByName(got))
+
+    rows = shared_keys(classes, most)
+    about = rows.join(classes.select("node", "size", F.col("node").alias("root")).hint("merge"), "node")
+    settle(near_prints(classes).unionByName(possible(_stars(reliable(about.select("key", "node", "size", "root")), 0, most), like)).distinct())
+    rows = _open(rows, classes, found, most)
+    # More turns of stars over the hot keys only save comparisons: what they leave open is compared in full.
+    for turn in range(1, TURNS):
+        hot = rows.where(F.col("n") > most)
         if hot.isEmpty():
             break
-        new = reliable(possible(_stars(hot, turn, most), like).join(tried.hint("merge"), ["a", "b"], "left_anti"))
-        got = check(new)
-        tried, found = reliable(_flat(tried.unionByName(new))), reliable(_flat(found.unionByName(got)))
-    rows = _open(rows.select("key", "node", "size", "fp"), found, most)
-    left = reliable(possible(trie_pairs(rows, most), like).join(tried.hint("merge"), ["a", "b"], "left_anti"))
-    return _flat(found.unionByName(check(left)))
+        settle(possible(_stars(hot, turn, most), like))
+        rows = _open(rows.select("key", "node"), classes, found, most)
+    settle(possible(trie_pairs(rows, most, like=like), like))
+    return found
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, like: float = LIKE, most: int = GROUP) -> DataFrame:
@@ -283,8 +306,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
         some = some.select(F.col("id").alias("_id"), F.col("h").alias("_h")).hint("merge")
         return some, F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))
 
-    kept = row.join(*match(keys), "left_anti").select("row.*")
+    # Only rows that the sketch cannot clear are moved.
+    key = _row_key()
+    sketched = sketch(keys, key)
+    kept = maybe(row, key, sketched, also=False).unionByName(maybe(row, key, sketched).join(*match(keys), "left_anti")).select("row.*")
     again = keys.where("stays and n > 1")  # rows of equal id and text: one of them
     if again.isEmpty():
         return kept
-    return kept.unionByName(row.join(*match(again), "left_semi").dropDuplicates(["id", "h"]).select("row.*"))
+    return kept.unionByName(maybe(row, key, sketched).join(*match(again), "left_semi").dropDuplicates(["id", "h"]).select("row.*"))
