@@ -34,7 +34,7 @@ EDITS = 0.05
 #: Passages over WINDOW folded characters become windows of WINDOW, one each STEP.
 WINDOW, STEP = 240, 80
 #: Folded characters of a block of passages, and characters of texts that are looked up at once.
-BLOCK, TEXTS = 1_000_000, 1_000_000
+BLOCK, TEXTS = 1_000_000, 300_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 

@@ -39,7 +39,7 @@ LEXICON_DOCS, LEXICON_SHARE, LEXICON_ODDS = 3, 0.01, 30.0
 #: Lengths of the stems of a word that the list may hold.
 STEMS = range(4, 9)
 #: Words whose terms a process remembers.
-MEMORY = 500_000
+MEMORY = 50_000
 
 #: Sketches that tell near copies among the labelled documents.
 SKETCHES = 3
@@ -189,7 +189,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """Words and stems that mark toxic documents, from the bounded labelled sample; LEXICON of them at most."""
     few = labels.where("toxic is not null").groupBy(id_col).agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic")).orderBy(F.xxhash64(id_col), id_col).limit(LABELLED)
     few = reliable(few.withColumnRenamed(id_col, "id"))
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(few), "id")
+    texts = reliable(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(few), "id"))
 
     def sketch(batches):
         for b in batches:
@@ -203,18 +203,29 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
         alone = alone.groupBy(f"k{j}").agg(F.min(F.struct("id", *(f"k{i}" for i in range(j + 1, SKETCHES)))).alias("first")).select("first.*")
     texts = texts.join(F.broadcast(reliable(alone.select("id").distinct())), "id").select("toxic", "text")
 
-    def count(batches):
-        found: dict[str, list[int]] = {}
-        docs_seen = [0, 0]
-        for b in batches:
-            for toxic, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                docs_seen[toxic] += 1
-                for t in {t for w in set((text or "").split()) for t in terms(w)}:
-                    found.setdefault(t, [0, 0])[toxic] += 1
-        # Terms that no toxic document of this partition holds can only lower the odds elsewhere: they are needed too.
-        yield pa.RecordBatch.from_arrays([pa.array(["", *found], pa.string()), pa.array([docs_seen[0], *(v[0] for v in found.values())], pa.int64()), pa.array([docs_seen[1], *(v[1] for v in found.values())], pa.int64())], names=["term", "clean", "toxic"])
-
-    sums = reliable(texts.mapInArrow(count, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where(f"term = '' or toxic >= {LEXICON_DOCS}"))
+    def count(among: frozenset[str] | None):
+        """Counts documents (of the empty term) and documents of each term; only terms of `among`, if given."""
+
+        def run(batches):
+            found, seen = Counter(), 0
+            for b in batches:
+                for part in range(0, b.num_rows, 256):
+                    for text in b.slice(part, 256).column(0).to_pylist():
+                        seen += 1
+                        own = {t for w in set((text or "").split()) for t in terms(w)}
+                        found.update(own if among is None else own & among)
+            yield pa.RecordBatch.from_arrays([pa.array(["", *found], pa.string()), pa.array([seen, *found.values()], pa.int64())], names=["term", "n"])
+
+        return run
+
+    def counted(toxic: int, among: frozenset[str] | None) -> DataFrame:
+        rows = texts.where(f"toxic = {toxic}").select("text").mapInArrow(count(among), "term string, n long")
+        return rows.groupBy("term").agg(F.sum("n").alias("n"))
+
+    # The terms of toxic documents first: only these are looked for in the others.
+    toxic = reliable(counted(1, None).where(f"term = '' or n >= {LEXICON_DOCS}").withColumnRenamed("n", "toxic"))
+    among = frozenset(r["term"] for r in toxic.where("term <> ''").collect())  # of LABELLED documents at most
+    sums = reliable(toxic.join(counted(0, among).withColumnRenamed("n", "clean"), "term", "left").na.fill(0, ["clean"]))
     totals = sums.where("term = ''").first()
     if not totals or not totals["toxic"]:
         return frozenset()
