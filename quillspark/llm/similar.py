@@ -43,8 +43,10 @@ WORDS, LIKE = 5, 0.8
 BITS = 26
 #: Classes of one part of a hot shingle; texts and shingles of the sample that orders the shingles.
 GROUP, SAMPLE_TEXTS, SAMPLE_SHINGLES = 256, 4_000, 200_000
-#: Most turns of stars before the rest is compared in full.
-TURNS = 3
+#: Most turns of stars before the rest is compared in full, and classes of a hot shingle that are stars in one turn.
+TURNS, CENTRES = 4, 12
+#: Links for each comparison of a turn that make another turn worth while.
+WORTH = 0.05
 #: Below any difference of two fractions of set sizes, above the rounding of a product.
 TINY = 1e-9
 
@@ -222,10 +224,13 @@ def _open(rows: DataFrame, classes: DataFrame, found: DataFrame, most: int) -> D
     return reliable(_joined(rooted, reliable(keys), most))
 
 
-def _stars(rows: DataFrame, turn: int, most: int) -> DataFrame:
-    """(a, b, na, nb): the pairs of each key's first class, in the order of this turn, with the others of the key in other components."""
-    keys = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "size", "root")).alias("top")).where("n > 1")
-    met = _joined(rows.select("key", "node", "size", "root"), reliable(keys), most).where("root <> top.root")
+def _stars(rows: DataFrame, turn: int, most: int, centres: int = 1) -> DataFrame:
+    """(a, b, na, nb): the pairs of some classes of each key, the least by hashes of this turn, with the others of the key in other components."""
+    one = lambda k: F.min(F.struct(F.xxhash64("node", F.lit(turn * CENTRES + k)).alias("h"), "node", "size", "root"))
+    keys = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *(one(k).alias(f"t{k}") for k in range(centres))).where("n > 1")
+    tops = F.array_distinct(F.array(*(F.struct(f"t{k}.node", f"t{k}.size", f"t{k}.root") for k in range(centres))))
+    met = _joined(rows.select("key", "node", "size", "root"), reliable(keys.select("key", "n", tops.alias("tops"))), most)
+    met = met.select("key", "node", "size", "root", F.explode("tops").alias("top")).where("root <> top.root")
     low = F.col("node") < F.col("top.node")
     return met.select(
         F.least("node", "top.node").alias("a"), F.greatest("node", "top.node").alias("b"),
@@ -260,8 +265,10 @@ def links(classes: DataFrame, named: DataFrame, words: int = WORDS, like: float
             pairs = pairs.join(tried.hint("merge"), ["a", "b"], "left_anti")
         pairs = reliable(_flat(pairs))
         got = reliable(_flat(verified(pairs, classes, named, words, like)))
+        share = got.count() / max(pairs.count(), 1)
         tried = pairs if tried is None else _flat(tried.unionByName(pairs))
         found = got if found is None else _flat(found.unionByName(got))
+        return share
 
     rows = shared_keys(classes, most)
     about = rows.join(classes.select("node", "size", F.col("node").alias("root")).hint("merge"), "node")
@@ -269,11 +276,13 @@ def links(classes: DataFrame, named: DataFrame, words: int = WORDS, like: float
     rows = _open(rows, classes, found, most)
     # More turns of stars over the hot keys only save comparisons: what they leave open is compared in full.
     for turn in range(1, TURNS):
-        hot = rows.where(F.col("n") > most)
+        hot = rows.where(F.col("n") > most // 4)
         if hot.isEmpty():
             break
-        settle(possible(_stars(hot, turn, most), like))
+        share = settle(_stars(hot, turn, most, CENTRES).where(F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(like) - TINY).select("a", "b").distinct())
         rows = _open(rows.select("key", "node"), classes, found, most)
+        if share < WORTH:
+            break
     settle(possible(trie_pairs(rows, most, like=like), like))
     return found
 
