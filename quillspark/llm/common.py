@@ -33,6 +33,19 @@ def reliable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Narrow rows that one partition of a compact table holds.
+COMPACT_ROWS = 50_000
+
+
+def compact(df: DataFrame) -> DataFrame:
+    """reliable() of a table of narrow rows, in as few partitions as its number of rows needs.
+
+    A small table in many partitions costs each later shuffle a file for each pair of them.
+    """
+    kept = reliable(df)
+    return kept.coalesce(max(1, -(-kept.count() // COMPACT_ROWS)))
+
+
 def ascii_lower(column):
     """A-Z to a-z, all other characters as they are."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -58,7 +71,7 @@ def sketch(keys: DataFrame, key) -> tuple[DataFrame, int]:
         bits *= 2
     at = keys.select(F.pmod(key, F.lit(bits)).alias("at"))
     rows = at.groupBy(F.expr(f"at div {SKETCH_ROW}").alias("_row")).agg(F.expr(f"bitmap_construct_agg(at % {SKETCH_ROW})").alias("_bits"))
-    return reliable(rows), bits
+    return compact(rows), bits
 
 
 def maybe(rows: DataFrame, key, sketched: tuple[DataFrame, int], also: bool = True) -> DataFrame:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import reliable
+from quillspark.llm.common import compact, reliable
 
 #: Most fingerprints of one trie, and most pairs of a step of the walk over several tries.
 TRIE, STEP_PAIRS = 512, 2_000_000
@@ -160,7 +160,7 @@ def deal(fps: DataFrame, budget: int, most: int = TRIE) -> DataFrame:
     done = None
     while True:
         free = 64 - max(bin(m).count("1") for m in masks)
-        hot = reliable(rows.groupBy("mask", "value").count().where(F.col("count") > most).select("mask", "value")) if 2**free > most else None
+        hot = compact(rows.groupBy("mask", "value").count().where(F.col("count") > most).select("mask", "value")) if 2**free > most else None
         n_hot = hot.limit(BROADCAST_ROWS + 1).count() if hot is not None else 0
         if not n_hot:
             return rows if done is None else done.unionByName(rows)
@@ -232,27 +232,27 @@ def components(edges: DataFrame) -> DataFrame:
     A round points every node to its least neighbour, shortens the pointers to the roots, and
     relabels the edges; at least half of the nodes that still have edges go in a round.
     """
-    e = reliable(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    e = compact(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     found = None
     while not e.isEmpty():
-        up = reliable(e.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.col("b").alias("root")))
+        up = compact(e.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.col("b").alias("root")))
         while True:
             over = up.select(F.col("node").alias("root"), F.col("root").alias("top"))
-            up2 = reliable(up.join(over, "root", "left").select("node", F.coalesce("top", "root").alias("root"), F.col("top").isNotNull().alias("moved")))
+            up2 = compact(up.join(over, "root", "left").select("node", F.coalesce("top", "root").alias("root"), F.col("top").isNotNull().alias("moved")))
             up = up2.select("node", "root")
             if up2.where("moved").isEmpty():
                 break
         move = lambda df, c: df.join(up.select(F.col("node").alias(c), F.col("root").alias("to")), c, "left").withColumn(c, F.coalesce("to", c)).drop("to")  # noqa: B023, E731
         found = up if found is None else move(found, "root").select("node", "root").unionByName(up)
-        found = reliable(found)
-        e = reliable(move(move(e, "a"), "b").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        found = compact(found)
+        e = compact(move(move(e, "a"), "b").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     return found if found is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 def assign(rows: DataFrame, budget: int = 2, most: int = TRIE) -> DataFrame:
     """(id, fp, component_id) of rows (id, fp)."""
     rows = reliable(rows)
-    classes = reliable(rows.groupBy("fp").agg(F.min("id").alias("least")))
+    classes = compact(rows.groupBy("fp").agg(F.min("id").alias("least")))
     found = components(link(classes.select("fp"), budget, most))
     linked = classes.join(found.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = linked.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "top")

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import maybe, reliable, sketch
+from quillspark.llm.common import compact, maybe, reliable, sketch
 from quillspark.llm.simhash import BROADCAST_ROWS, components, link, shingle_hashes, simhash, walk
 
 WORDS, LIKE = 5, 0.8
@@ -188,7 +188,7 @@ def verified(pairs: DataFrame, classes: DataFrame, named: DataFrame, words: int,
 
     One text of each class is read again; it is picked where it lies, so only sets are moved.
     """
-    nodes = reliable(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+    nodes = compact(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
     wanted = classes.select("node", "least").join(nodes.hint("merge"), "node", "left_semi")
     some = maybe(named, _row_key(), sketch(wanted.select(_row_key("least.id", "least.h").alias("k")), F.col("k")))
     sets = reliable(_sets(some, words).select("node", "hashes").join(nodes.hint("merge"), "node", "left_semi").dropDuplicates(["node"]))
@@ -210,7 +210,7 @@ def _flat(df: DataFrame) -> DataFrame:
 
 def _joined(rows: DataFrame, keys: DataFrame, most: int) -> DataFrame:
     """rows (key, ...) joined to keys (key, n, ...); the rows of the largest keys stay where they are."""
-    hot = reliable(keys.where(F.col("n") > most).orderBy(F.desc("n"), "key").limit(BROADCAST_ROWS))
+    hot = compact(keys.where(F.col("n") > most).orderBy(F.desc("n"), "key").limit(BROADCAST_ROWS))
     cold = rows.join(F.broadcast(hot.select("key")), "key", "left_anti")
     return _flat(cold.join(keys.hint("merge"), "key").unionByName(rows.join(F.broadcast(hot), "key")))
 
@@ -219,9 +219,9 @@ def _open(rows: DataFrame, classes: DataFrame, found: DataFrame, most: int) -> D
     """rows (key, node) with size, fp, root and n, of the keys whose classes are not all in one component of found."""
     roots = _fresh(components(_fresh(found))).withColumnRenamed("node", "at")
     about = classes.select("node", "size", "fp").join(roots.hint("merge"), F.col("node") == F.col("at"), "left").select("node", "size", "fp", F.coalesce("root", "node").alias("root"))
-    rooted = reliable(rows.join(about.hint("merge"), "node").select("key", "node", "size", "fp", "root"))
+    rooted = compact(rows.join(about.hint("merge"), "node").select("key", "node", "size", "fp", "root"))
     keys = rooted.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key", "n")
-    return reliable(_joined(rooted, reliable(keys), most))
+    return compact(_joined(rooted, compact(keys), most))
 
 
 def _stars(rows: DataFrame, turn: int, most: int, centres: int = 1) -> DataFrame:
@@ -229,7 +229,7 @@ def _stars(rows: DataFrame, turn: int, most: int, centres: int = 1) -> DataFrame
     one = lambda k: F.min(F.struct(F.xxhash64("node", F.lit(turn * CENTRES + k)).alias("h"), "node", "size", "root"))
     keys = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *(one(k).alias(f"t{k}") for k in range(centres))).where("n > 1")
     tops = F.array_distinct(F.array(*(F.struct(f"t{k}.node", f"t{k}.size", f"t{k}.root") for k in range(centres))))
-    met = _joined(rows.select("key", "node", "size", "root"), reliable(keys.select("key", "n", tops.alias("tops"))), most)
+    met = _joined(rows.select("key", "node", "size", "root"), compact(keys.select("key", "n", tops.alias("tops"))), most)
     met = met.select("key", "node", "size", "root", F.explode("tops").alias("top")).where("root <> top.root")
     low = F.col("node") < F.col("top.node")
     return met.select(
@@ -241,13 +241,13 @@ def _stars(rows: DataFrame, turn: int, most: int, centres: int = 1) -> DataFrame
 def shared_keys(classes: DataFrame, most: int) -> DataFrame:
     """(key, node): the prefix shingles that two classes share at least, which are few of all."""
     rows = classes.select(F.explode("hashes").alias("key"), "node")
-    keys = reliable(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    return reliable(_joined(maybe(rows, F.col("key"), sketch(keys, F.col("key"))), keys, most).select("key", "node"))
+    keys = compact(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    return compact(_joined(maybe(rows, F.col("key"), sketch(keys, F.col("key"))), keys, most).select("key", "node"))
 
 
 def near_prints(classes: DataFrame) -> DataFrame:
     """(a, b): the first class of each fingerprint with its other classes, and with the first classes of linked fingerprints."""
-    heads = reliable(classes.groupBy("fp").agg(F.min("node").alias("head")))
+    heads = compact(classes.groupBy("fp").agg(F.min("node").alias("head")))
     equal = classes.join(heads.hint("merge"), "fp").where("node <> head").select("node", "head")
     found = link(heads.select("fp"))
     left, right = (heads.select(F.col("fp").alias(c), F.col("head").alias(n)) for c, n in (("a", "x"), ("b", "y")))
@@ -263,8 +263,8 @@ def links(classes: DataFrame, named: DataFrame, words: int = WORDS, like: float
         nonlocal tried, found
         if tried is not None:
             pairs = pairs.join(tried.hint("merge"), ["a", "b"], "left_anti")
-        pairs = reliable(_flat(pairs))
-        got = reliable(_flat(verified(pairs, classes, named, words, like)))
+        pairs = compact(_flat(pairs))
+        got = compact(_flat(verified(pairs, classes, named, words, like)))
         share = got.count() / max(pairs.count(), 1)
         tried = pairs if tried is None else _flat(tried.unionByName(pairs))
         found = got if found is None else _flat(found.unionByName(got))
@@ -272,7 +272,7 @@ def links(classes: DataFrame, named: DataFrame, words: int = WORDS, like: float
 
     rows = shared_keys(classes, most)
     about = rows.join(classes.select("node", "size", F.col("node").alias("root")).hint("merge"), "node")
-    settle(near_prints(classes).unionByName(possible(_stars(reliable(about.select("key", "node", "size", "root")), 0, most), like)).distinct())
+    settle(near_prints(classes).unionByName(possible(_stars(compact(about.select("key", "node", "size", "root")), 0, most), like)).distinct())
     rows = _open(rows, classes, found, most)
     # More turns of stars over the hot keys only save comparisons: what they leave open is compared in full.
     for turn in range(1, TURNS):
@@ -305,9 +305,9 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, like: float = LIKE) -> DataFrame:
     """docs without the near copies of another row; all columns as they are."""
-    found = reliable(groups(docs, id_col, text_col, words, like))
+    found = compact(groups(docs, id_col, text_col, words, like))
     keys = found.groupBy("id", "h").agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.col("id").eqNullSafe(F.col("first")) & (F.col("h") == F.col("first_h"))).alias("stays"))
-    keys = reliable(keys.where("n > 1 or not stays"))
+    keys = compact(keys.where("n > 1 or not stays"))
     row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     row = row.select("row", F.col(f"row.`{id_col}`").alias("id"), F.xxhash64(F.col(f"row.`{text_col}`")).alias("h"))
 
