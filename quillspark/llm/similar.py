@@ -123,60 +123,92 @@ def uniform_pairs(root: np.ndarray, alo, ahi, blo, bhi) -> np.ndarray:
     return (turns[alo] == turns[ahi - 1]) & (turns[blo] == turns[bhi - 1]) & (root[alo] == root[blo])
 
 
+def common_keys(keys: list[np.ndarray], key: int) -> tuple[np.ndarray, np.ndarray]:
+    """(number of keys that i and j share, whether one of them is less than `key`) for the nodes of a trie, by their sorted keys."""
+    flat = np.concatenate(keys)
+    own, code = np.unique(flat, return_inverse=True)
+    node = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+    often = np.flatnonzero(np.bincount(code) > 1)
+    place = np.full(len(own), -1)
+    place[often] = np.arange(len(often))
+    at, less = place[code], own[often] < key
+    shared, before = (np.zeros((len(keys), len(keys)), dtype=np.float32) for _ in range(2))
+    for first in range(0, len(often), 2048):  # so that the matrix of nodes and keys is of bounded size
+        here = (at >= first) & (at < first + 2048)
+        m = np.zeros((len(keys), min(2048, len(often) - first)), dtype=np.float32)
+        m[node[here], at[here] - first] = 1
+        shared += m @ m.T
+        low = m[:, less[first : first + 2048]]
+        before += low @ low.T
+    return shared, before > 0
+
+
 def trie_pairs(rows: DataFrame, most: int = GROUP, bits: int = BITS, like: float = LIKE) -> DataFrame:
-    """(a, b, na, nb), a < b: the pairs of rows (key, node, size, fp, root, n) of a key, within `bits` bits, of different roots and of sizes that `like` allows.
+    """(a, b), a < b: the pairs of rows (key, node, size, fp, root, n) of a key that may be links, each once.
 
-    n is the key's number of rows. Each pair comes once for each key that it shares.
+    Pairs within `bits` bits and of different roots, whose sizes and number of shared prefix
+    shingles allow a similarity of `like`: of the set whose prefix ends first, all shared
+    shingles of the prefix are in both prefixes, so the sets share at most these and the rest
+    of that set. A pair is reported by the least key that it shares. n is the key's number of
+    rows; the keys of a node are as many as its prefix at most.
     """
+    keys = rows.groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("keys"))
     parts = F.ceil(F.col("n") / F.lit(most))
-    dealt = rows.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")))
+    dealt = rows.join(keys.hint("merge"), "node").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")))
     # Part i meets every part j from i up: its rows go to the tries (i, j) and (j, i), j the larger one.
-    met = dealt.select("key", "node", "size", "fp", "root", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
-    tries = met.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "fp", "node", "size", "root")
-
-    def settle(x):
-        key, i, j, part, fp, node, size, root = x
-        fps = fp.view(np.uint64)
-        order = np.lexsort((root, fps, j, i, key))
-        key, i, j, part, fps, node, size, root = (c[order] for c in (key, i, j, part, fps, node, size, root))
-        new = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
-        end = np.concatenate((new[1:], [len(key)]))
-        many = (end - new > 1) & ~uniform_pairs(root, new, end, new, end)
-        new, end = new[many], end[many]
-        cost, at = np.cumsum((end - new) ** 2), 0
-        while at < len(new):
-            stop = max(at + 1, int(np.searchsorted(cost, (cost[at - 1] if at else 0) + 200_000, side="right")))
-            lo, hi = int(new[at]), int(end[stop - 1])
-            own = root[lo:hi]
-            a, b = walk(fps[lo:hi], new[at:stop] - lo, end[at:stop] - lo, bits, lambda *r, own=own: uniform_pairs(own, *r))
-            a, b = a + lo, b + lo
-            good = (root[a] != root[b]) & ((i[a] == j[a]) | (part[a] != part[b])) & (np.minimum(size[a], size[b]) >= like * np.maximum(size[a], size[b]) - TINY)
-            a, b = a[good], b[good]
-            swap = node[a] > node[b]
-            a, b = np.where(swap, b, a), np.where(swap, a, b)
-            for cut in range(0, len(a), 100_000):
-                u, v = a[cut : cut + 100_000], b[cut : cut + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (node[u], node[v], size[u], size[v])], names=["a", "b", "na", "nb"])
-            at = stop
+    met = dealt.select("key", "node", "size", "fp", "root", "part", "keys", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
+    tries = met.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "fp", "node", "size", "root", "keys")
+
+    def settle(x, lists):
+        """The pairs of one trie: columns key, i, j, part, fp, node, size, root of its rows, and their keys."""
+        order = np.lexsort((x[7], x[4].view(np.uint64)))
+        key, i, j, part, fp, node, size, root = (c[order] for c in x)
+        ends = (np.array([0]), np.array([len(key)]))
+        if uniform_pairs(root, *ends, *ends)[0]:
+            return None
+        a, b = walk(fp.view(np.uint64), *ends, bits, lambda *r: uniform_pairs(root, *r))
+        low, high = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
+        good = (root[a] != root[b]) & ((i[0] == j[0]) | (part[a] != part[b])) & (low >= like * high - TINY)
+        a, b = a[good], b[good]
+        if not len(a):
+            return None
+        shared, before = common_keys([lists[k] for k in order], key[0])
+        rest = np.ceil(np.maximum(size[a], size[b]) * like - TINY) - 1
+        good = ~before[a, b] & (shared[a, b] + rest >= (size[a] + size[b]) * like / (1 + like) - TINY)
+        u, v = node[a[good]], node[b[good]]
+        return np.minimum(u, v), np.maximum(u, v)
 
     def run(batches):
-        held, n = [], 0
+        held: list[pa.RecordBatch] = []
+        last = None
+
+        def flush():
+            table = pa.Table.from_batches(held)
+            lists = table.column(8).combine_chunks()
+            values, at = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+            got = settle([table.column(k).to_numpy() for k in range(8)], [values[p:q] for p, q in zip(at[:-1], at[1:], strict=True)]) if table.num_rows > 1 else None
+            if got:
+                for cut in range(0, len(got[0]), 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[cut : cut + 100_000]) for c in got], names=["a", "b"])
+
         for batch in batches:
-            held.append([batch.column(k).to_numpy() for k in range(8)])
-            n += batch.num_rows
-            if n >= 100_000:
-                x = [np.concatenate(c) for c in zip(*held, strict=True)]
-                # The rows come sorted by trie; the last trie may go on in the next batch.
-                full = np.flatnonzero((x[0] != x[0][-1]) | (x[1] != x[1][-1]) | (x[2] != x[2][-1]))
-                cut = int(full[-1]) + 1 if len(full) else 0
-                if cut:
-                    yield from settle([c[:cut] for c in x])
-                held, n = [[c[cut:] for c in x]], len(x[0]) - cut
-        if n:
-            yield from settle([np.concatenate(c) for c in zip(*held, strict=True)])
+            # The rows come sorted by trie, of which one is held at a time.
+            key, i, j = (batch.column(k).to_numpy() for k in range(3))
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1).tolist(), len(key)]
+            for p, q in zip(cuts[:-1], cuts[1:], strict=True):
+                if p == q:
+                    continue
+                own = (int(key[p]), int(i[p]), int(j[p]))
+                if own != last and held:
+                    yield from flush()
+                    held = []
+                held.append(batch.slice(p, q - p))
+                last = own
+        if held:
+            yield from flush()
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return tries.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long, na long, nb long")
+    return tries.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long")
 
 
 def _row_key(key="id", h="h"):
@@ -283,7 +315,7 @@ def links(classes: DataFrame, named: DataFrame, words: int = WORDS, like: float
         rows = _open(rows.select("key", "node"), classes, found, most)
         if share < WORTH:
             break
-    settle(possible(trie_pairs(rows, most, like=like), like))
+    settle(trie_pairs(rows, most, like=like))
     return found
 
 

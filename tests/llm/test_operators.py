@@ -134,7 +134,7 @@ def test_trie_pairs_are_all_pairs_of_different_roots(spark):
     for k in range(3):
         n = 40 + 30 * k
         fps = base[r.integers(0, 6, n)] ^ (np.uint64(1) << r.integers(0, 64, n).astype(np.uint64))
-        rows += [(k, 1000 * k + i, 50, int(fps.view(np.int64)[i]), 1000 * k + i % 7, n) for i in range(n)]
+        rows += [(k, 1000 * k + i, 4, int(fps.view(np.int64)[i]), 1000 * k + i % 7, n) for i in range(n)]
     df = spark.createDataFrame(rows, "key long, node long, size long, fp long, root long, n long")
     want = {(a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and a[4] != b[4] and bin((a[3] ^ b[3]) & simhash.MASK).count("1") <= 9}
     for most in (256, 16):
