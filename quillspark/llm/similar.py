@@ -43,6 +43,8 @@ WORDS, LIKE = 5, 0.8
 BITS = 26
 #: Classes of one part of a hot shingle; texts and shingles of the sample that orders the shingles.
 GROUP, SAMPLE_TEXTS, SAMPLE_SHINGLES = 256, 4_000, 200_000
+#: Fingerprints of a trie that are compared without descending it.
+FEW = 48
 #: Most turns of stars before the rest is compared in full, and classes of a hot shingle that are stars in one turn.
 TURNS, CENTRES = 4, 12
 #: Links for each comparison of a turn that make another turn worth while.
@@ -166,15 +168,24 @@ def trie_pairs(rows: DataFrame, most: int = GROUP, bits: int = BITS, like: float
         ends = (np.array([0]), np.array([len(key)]))
         if uniform_pairs(root, *ends, *ends)[0]:
             return None
-        a, b = walk(fp.view(np.uint64), *ends, bits, lambda *r: uniform_pairs(root, *r))
+        if len(key) <= FEW:  # not worth a walk
+            a, b = np.triu_indices(len(key), 1)
+            near = np.bitwise_count(fp[a].view(np.uint64) ^ fp[b].view(np.uint64)) <= bits
+            a, b = a[near], b[near]
+        else:
+            a, b = walk(fp.view(np.uint64), *ends, bits, lambda *r: uniform_pairs(root, *r))
         low, high = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
         good = (root[a] != root[b]) & ((i[0] == j[0]) | (part[a] != part[b])) & (low >= like * high - TINY)
         a, b = a[good], b[good]
         if not len(a):
             return None
-        shared, before = common_keys([lists[k] for k in order], key[0])
-        rest = np.ceil(np.maximum(size[a], size[b]) * like - TINY) - 1
-        good = ~before[a, b] & (shared[a, b] + rest >= (size[a] + size[b]) * like / (1 + like) - TINY)
+        if len(a) <= FEW:
+            both = [np.intersect1d(lists[order[p]], lists[order[q]], assume_unique=True) for p, q in zip(a, b, strict=True)]
+            shared, before = np.array([len(k) for k in both]), np.array([k[0] < key[0] for k in both])
+        else:
+            shared, before = (m[a, b] for m in common_keys([lists[k] for k in order], key[0]))
+        rest = np.ceil(high[good] * like - TINY) - 1
+        good = ~before & (shared + rest >= (size[a] + size[b]) * like / (1 + like) - TINY)
         u, v = node[a[good]], node[b[good]]
         return np.minimum(u, v), np.maximum(u, v)
 
