@@ -55,8 +55,9 @@ def contains_only(a, values): return F.forall(a, lambda x: x.isin(*values))
 def has_nan(a): return F.exists(a, lambda x: F.isnan(x.cast("double")))
 def norm1(a): return F.aggregate(a, F.lit(0.0), lambda s, x: s + F.abs(x))
 def norm2(a): return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x))
-def normalize1(a): return F.transform(a, lambda x: x / norm1(a))
-def normalize2(a): return F.transform(a, lambda x: x / norm2(a))
+def _over(a, norm): return F.element_at(F.transform(F.array(norm), lambda n: F.transform(a, lambda x: x / n)), 1)  # the norm is computed once
+def normalize1(a): return _over(a, norm1(a))
+def normalize2(a): return _over(a, norm2(a))
 def first_index_of(a, value): return (F.array_position(a, value) - 1).cast("int")
 def remove_value(a, value): return F.array_remove(a, value)
 def remove_element(a, at): return F.filter(a, lambda x, i: i != at)

@@ -89,3 +89,31 @@ def lattice(groups: DataFrame) -> DataFrame:
 
 
 def to_text(labels): return F.concat_ws("", F.transform(F.filter(labels, lambda c: c != 0), lambda c: F.chr(c)))
+
+
+def rescore(arcs: DataFrame, changes: DataFrame) -> DataFrame:
+    """arcs with the cost of (fst, src, dst, inp, out, new) for each arc named there; of several equal arcs the cheapest is changed."""
+    place = ["fst", "src", "dst", "inp", "out"]
+    ranked = arcs.withColumn("k", F.row_number().over(Window.partitionBy(*place).orderBy("cost")))
+    met = ranked.join(changes.select(*place, "new").dropDuplicates(place), place, "left")
+    return met.select(*place, F.when((F.col("k") == 1) & F.col("new").isNotNull(), F.col("new")).otherwise(F.col("cost")).alias("cost"))
+
+
+def optional_spaces(arcs: DataFrame, nodes: DataFrame, cost: float = 0.0) -> DataFrame:
+    """arcs with a loop for a space at every node: a truth whose spaces may be more than written."""
+    loop = nodes.select("fst", F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(32).alias("inp"), F.lit(32).alias("out"), F.lit(cost).alias("cost"))
+    return arcs.select(*ARC).unionByName(loop)
+
+
+def word_tree(words: DataFrame, word: str) -> DataFrame:
+    """(prefix, letter, ends): the edges of the letter tree of a word list; ends tells whether a word ends there."""
+    w = words.select(F.col(word).alias("w")).where("w <> ''").distinct()
+    steps = w.select("w", F.explode(F.sequence(F.lit(1), F.length("w"))).alias("k"))
+    edge = steps.select(F.expr("substring(w, 1, k - 1)").alias("prefix"), F.expr("substring(w, k, 1)").alias("letter"), (F.col("k") == F.length("w")).alias("ends"))
+    return edge.groupBy("prefix", "letter").agg(F.max("ends").alias("ends"))
+
+
+def segments_of_arcs(path: DataFrame) -> DataFrame:
+    """(fst, segment, place) from a best path's rows (fst, place, id): an id holds the first and last segment in its halves."""
+    first, last = F.shiftright("id", 16), F.col("id").bitwiseAND(F.lit(0xFFFF))
+    return path.where(last >= first).select("fst", F.explode(F.sequence(first, last)).alias("segment"), "place")

@@ -54,8 +54,8 @@ def overlap_counts(left: DataFrame, right: DataFrame, cell: int = 64) -> DataFra
 def nearest_right(df: DataFrame, band: int = 32) -> DataFrame:
     """For each box the nearest one that starts at or right of its end and overlaps it in y.
 
-    Boxes are listed in the horizontal bands that they cover; inside a band an as-of search is
-    a running minimum from the right, so a crowded band is sorted and not paired.
+    Boxes are listed in the horizontal bands that they cover, and the boxes of a band are
+    paired, so the work grows with the square of a band's boxes.
     """
     bands = F.sequence(F.floor(F.col("y0") / band), F.floor((F.col("y1") - 1) / band))
     a = df.select("img", "id", "x0", "y0", "x1", "y1", F.explode(bands).alias("band"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.plans import array_queries, evaluation_queries, image_queries, table_queries
+from quillspark.plans import array_queries, evaluation_queries, image_queries, layout_queries, table_queries
 from quillspark.plans.query import Query, table
 
 
@@ -20,7 +20,7 @@ def _flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FLAGSHIP = """SELECT l_returnflag, CAST(floor(l_extendedprice / 1000) AS BIGINT) AS bucket, count(*) AS n, max(l_quantity) AS max_qty
     FROM lineitem GROUP BY 1, 2"""
 
-QUERIES: dict[str, Query] = {"flagship_price_profile": Query(_flagship, _FLAGSHIP)} | array_queries.QUERIES | image_queries.QUERIES | table_queries.QUERIES | evaluation_queries.QUERIES
+QUERIES: dict[str, Query] = {"flagship_price_profile": Query(_flagship, _FLAGSHIP)} | array_queries.QUERIES | image_queries.QUERIES | table_queries.QUERIES | evaluation_queries.QUERIES | layout_queries.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

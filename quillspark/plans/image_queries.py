@@ -100,12 +100,9 @@ QUERIES = {
     "image_or_shifted": Query(_black(lambda p: I.pixel_or(p, p, 1, 0)), PX + "SELECT DISTINCT img, x, y, 255 AS v FROM (SELECT img, x, y FROM bw WHERE v <> 0 UNION ALL SELECT img, x + 1, y FROM bw WHERE v <> 0)"),
     "image_otsu": Query(_pixel(lambda p: S.otsu(S.histogram(p, F.col("v"), ["img"]), ["img"])), PX + ", h AS (SELECT img, v AS bucket, count(*) AS n FROM px GROUP BY img, v), c AS (SELECT *, CAST(sum(n) OVER u AS DOUBLE) AS w0, CAST(sum(bucket * n) OVER u AS DOUBLE) AS s0, CAST(sum(n) OVER p AS DOUBLE) AS w, CAST(sum(bucket * n) OVER p AS DOUBLE) AS s FROM h WINDOW u AS (PARTITION BY img ORDER BY bucket), p AS (PARTITION BY img)), f AS (SELECT img, bucket, round(w0 * (w - w0) * (s0 / w0 - (s - s0) / (w - w0)) * (s0 / w0 - (s - s0) / (w - w0)), 3) AS b FROM c WHERE w0 < w) SELECT img, CAST(arg_min(bucket, -b * 1000 + bucket * 0.00001) AS INTEGER) AS threshold FROM f GROUP BY img"),
     "image_peaks": Query(_gauss, PX + "SELECT img, y, CAST(sum(CASE WHEN l < v AND r < v THEN 1 WHEN l IS NULL OR r IS NULL THEN NULL ELSE 0 END) AS BIGINT) AS peaks, CAST(sum(CASE WHEN v <= low AND v <= l AND v < r AND v <= 60 THEN 1 ELSE 0 END) AS BIGINT) AS minima FROM (SELECT *, lag(v) OVER (PARTITION BY img, y ORDER BY x) AS l, lead(v) OVER (PARTITION BY img, y ORDER BY x) AS r, min(v) OVER (PARTITION BY img, y ORDER BY x RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS low FROM px) GROUP BY img, y"),
-    "image_distance_squared": Query(_black(lambda p: I.distance_transform(p, 3, "squared")), PX + "SELECT a.img, a.x, a.y, CAST(min((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS BIGINT) AS distance FROM bw a LEFT JOIN bw b ON a.img = b.img AND b.v <> 0 AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 9 GROUP BY a.img, a.x, a.y"),
-    "image_distance_l1": Query(_black(lambda p: I.distance_transform(p, 3, "l1")), PX + "SELECT a.img, a.x, a.y, CAST(min(abs(a.x - b.x) + abs(a.y - b.y)) AS BIGINT) AS distance FROM bw a LEFT JOIN bw b ON a.img = b.img AND b.v <> 0 AND abs(a.x - b.x) + abs(a.y - b.y) <= 3 GROUP BY a.img, a.x, a.y"),
-    "image_distance_max": Query(_black(lambda p: I.distance_transform(p, 3, "max")), PX + "SELECT a.img, a.x, a.y, CAST(min(greatest(abs(a.x - b.x), abs(a.y - b.y))) AS BIGINT) AS distance FROM bw a LEFT JOIN bw b ON a.img = b.img AND b.v <> 0 AND greatest(abs(a.x - b.x), abs(a.y - b.y)) <= 3 GROUP BY a.img, a.x, a.y"),
-    "image_distance_squared_whole": Query(_black(lambda p: I.whole_distance_transform(p, "squared")), PX + _NEAREST.format(size="(a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)")),
-    "image_distance_l1_whole": Query(_black(lambda p: I.whole_distance_transform(p, "l1")), PX + _NEAREST.format(size="abs(a.x - b.x) + abs(a.y - b.y)")),
-    "image_distance_max_whole": Query(_black(lambda p: I.whole_distance_transform(p, "max")), PX + _NEAREST.format(size="greatest(abs(a.x - b.x), abs(a.y - b.y))")),
+    "image_distance_squared": Query(_black(lambda p: I.whole_distance_transform(p, "squared")), PX + _NEAREST.format(size="(a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)")),
+    "image_distance_l1": Query(_black(lambda p: I.whole_distance_transform(p, "l1")), PX + _NEAREST.format(size="abs(a.x - b.x) + abs(a.y - b.y)")),
+    "image_distance_max": Query(_black(lambda p: I.whole_distance_transform(p, "max")), PX + _NEAREST.format(size="greatest(abs(a.x - b.x), abs(a.y - b.y))")),
     "image_components": Query(_black(lambda p: I.label_components(p).groupBy("img", "label").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("x0"), F.min("y").alias("y0")).drop("label")), PX.replace("WITH px", "WITH RECURSIVE px") + ", f AS (SELECT img, x, y, y * 40 + x AS id FROM bw WHERE v <> 0), c(img, x, y, id) AS (SELECT img, x, y, id FROM f UNION SELECT f.img, f.x, f.y, c.id FROM c JOIN f ON f.img = c.img AND abs(f.x - c.x) + abs(f.y - c.y) = 1 AND f.id >= 0), m AS (SELECT img, x, y, min(id) AS id FROM c GROUP BY img, x, y) SELECT img, count(*) AS n, min(x) AS x0, min(y) AS y0 FROM m GROUP BY img, id"),
     "image_profile_islands": Query(_profile),
     "runs_of_lines": Query(run_table, RUNS + 'SELECT img, line, start, "end" FROM r'),

@@ -22,8 +22,7 @@ from quillspark.streaming import frames
 H = "WITH h AS (SELECT l_returnflag, CAST(l_quantity AS INTEGER) AS bucket, count(*) AS n FROM lineitem GROUP BY 1, 2) "
 C = "WITH h AS (SELECT l_returnflag, CAST(l_quantity AS INTEGER) AS bucket, count(*) AS n FROM lineitem GROUP BY 1, 2), c AS (SELECT *, CAST(sum(n) OVER (PARTITION BY l_returnflag ORDER BY bucket) AS BIGINT) AS upto, CAST(sum(n) OVER (PARTITION BY l_returnflag) AS BIGINT) AS total FROM h) "
 BOX = "WITH bx AS (SELECT p_partkey % 8 AS img, p_partkey AS id, CAST((p_partkey * 37) % 500 AS INTEGER) AS x0, CAST((p_partkey * 91) % 700 AS INTEGER) AS y0, p_size FROM part), a AS (SELECT img, id, x0, y0, x0 + p_size + 1 AS x1, y0 + p_size % 17 + 3 AS y1 FROM bx), b AS (SELECT img, id, (x0 * 3) % 480 AS x0, (y0 * 7) % 690 AS y0, (x0 * 3) % 480 + 20 AS x1, (y0 * 7) % 690 + 12 AS y1 FROM bx) "
-LINES = "WITH t AS (SELECT item_id, substr(regexp_replace(text, '[^\\x20-\\x7F]', '', 'g'), 1, 120) AS truth FROM benchmark), l AS (SELECT item_id, truth, replace(replace(truth, 'th', 'tn'), 'er', 'e') AS predicted FROM t) "
-LINES_WHOLE = LINES.replace("substr(", "(", 1).replace(", 1, 120) AS truth", ") AS truth")
+LINES = "WITH t AS (SELECT item_id, regexp_replace(text, '[^\\x20-\\x7F]', '', 'g') AS truth FROM benchmark), l AS (SELECT item_id, truth, replace(replace(truth, 'th', 'tn'), 'er', 'e') AS predicted FROM t) "
 ARCS = "WITH RECURSIVE arcs AS (SELECT l_suppkey % 20 AS fst, l_linenumber - 1 AS src, l_linenumber AS dst, CAST(97 + l_partkey % 26 AS INTEGER) AS lab, l_quantity AS cost FROM lineitem UNION ALL SELECT l_suppkey % 20, l_linenumber - 1, l_linenumber + 1, 0, l_quantity + 3 FROM lineitem WHERE l_linenumber < 7), best AS (SELECT fst, src, dst, min(cost) AS cost FROM arcs GROUP BY fst, src, dst) "
 KNN = "WITH v AS (SELECT vec_id AS id, label AS cls, list_transform(embedding, lambda x: round(CAST(x AS DOUBLE) * 100)) AS a FROM embeddings), d AS (SELECT q.id, r.id AS other, q.cls AS own, r.cls AS cls, list_inner_product(q.a, q.a) + list_inner_product(r.a, r.a) - 2 * list_inner_product(q.a, r.a) AS distance FROM v q JOIN v r ON q.id <> r.id), k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, other) AS rank FROM d) "
 
@@ -40,12 +39,7 @@ def boxes(s, d):
 
 
 def lines(s, d):
-    """Texts cut to 120 characters, as LINES cuts them; whole_lines() has all of them."""
-    t = table(s, d, "benchmark").select("item_id", F.substring(F.regexp_replace("text", r"[^\x20-\x7F]", ""), 1, 120).alias("truth"))
-    return t.withColumn("predicted", F.replace(F.replace("truth", F.lit("th"), F.lit("tn")), F.lit("er"), F.lit("e")))
-
-
-def whole_lines(s, d):
+    """Whole texts of printable ASCII characters, and the same with two systematic errors."""
     t = table(s, d, "benchmark").select("item_id", F.regexp_replace("text", r"[^\x20-\x7F]", "").alias("truth"))
     return t.withColumn("predicted", F.replace(F.replace("truth", F.lit("th"), F.lit("tn")), F.lit("er"), F.lit("e")))
 
@@ -94,8 +88,8 @@ def composed(s, d):
     return c.groupBy("fst", F.col("src.l").alias("l"), F.col("src.r").alias("r")).agg(F.count(F.lit(1)).alias("n"), F.min("cost").alias("least"))
 
 
-def text_lines(s, d, texts=lines):
-    arcs_, nodes_ = W.line(texts(s, d), "item_id", "truth")
+def text_lines(s, d):
+    arcs_, nodes_ = W.line(lines(s, d), "item_id", "truth")
     return W.best_paths(arcs_, nodes_).select("fst", "cost", F.md5(W.to_text(F.col("labels"))).alias("text_md5"))
 
 
@@ -157,13 +151,10 @@ QUERIES = {
     "event_sliding": Query(sliding, "SELECT event_id, min(value) OVER w AS lo, max(value) OVER w AS hi, round(avg(value) OVER w, 6) AS mean FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)"),
     "event_stream_windows": Query(streamed, "SELECT CAST(date_trunc('day', ts) AS TIMESTAMPTZ) AS start, event_type AS kind, count(*) AS n FROM events GROUP BY 1, 2"),
     "text_evaluate": Query(lambda s, d: S.evaluate_lines(lines(s, d), "truth", "predicted"), LINES + "SELECT CAST(sum(levenshtein(truth, predicted)) AS BIGINT) AS errors, CAST(sum(length(truth)) AS BIGINT) AS total, round(sum(levenshtein(truth, predicted)) / sum(length(truth)), 9) AS rate FROM l"),
-    "text_evaluate_whole": Query(lambda s, d: S.evaluate_lines(whole_lines(s, d), "truth", "predicted"), LINES_WHOLE + "SELECT CAST(sum(levenshtein(truth, predicted)) AS BIGINT) AS errors, CAST(sum(length(truth)) AS BIGINT) AS total, round(sum(levenshtein(truth, predicted)) / sum(length(truth)), 9) AS rate FROM l"),
     "text_edit_distance": Query(lambda s, d: lines(s, d).select("item_id", T.edit_distance(F.col("truth"), F.col("predicted")).cast("long").alias("distance")), LINES + "SELECT item_id, levenshtein(truth, predicted) AS distance FROM l"),
-    "text_edit_distance_whole": Query(lambda s, d: whole_lines(s, d).select("item_id", T.edit_distance(F.col("truth"), F.col("predicted")).cast("long").alias("distance")), LINES_WHOLE + "SELECT item_id, levenshtein(truth, predicted) AS distance FROM l"),
-    "text_confusions": Query(lambda s, d: T.confusions(whole_lines(s, d), "truth", "predicted")),
+    "text_confusions": Query(lambda s, d: T.confusions(lines(s, d), "truth", "predicted")),
     "text_find_confusion": Query(lambda s, d: lines(s, d).where(F.contains("truth", F.lit("th")) & F.contains("predicted", F.lit("tn"))).select("item_id"), LINES + "SELECT item_id FROM l WHERE contains(truth, 'th') AND contains(predicted, 'tn')"),
-    "text_find_confusion_whole": Query(lambda s, d: whole_lines(s, d).where(F.contains("truth", F.lit("th")) & F.contains("predicted", F.lit("tn"))).select("item_id"), LINES_WHOLE + "SELECT item_id FROM l WHERE contains(truth, 'th') AND contains(predicted, 'tn')"),
-    "text_block_moves": Query(lambda s, d: T.block_move_cost(whole_lines(s, d), "truth", "predicted").select("item_id", "cost")),
+    "text_block_moves": Query(lambda s, d: T.block_move_cost(lines(s, d), "truth", "predicted").select("item_id", "cost")),
     "text_cleanup": Query(lambda s, d: table(s, d, "benchmark").select("item_id", T.clean_for_evaluation(F.col("text")).alias("ascii"), T.clean_for_evaluation(F.col("text"), spaces=False, fold=True).alias("folded"), T.clean_for_evaluation(F.col("text"), alpha_only=True).alias("alpha"), T.clean_for_evaluation(F.col("text"), alnum_only=True).alias("alnum")), f"SELECT item_id, {_CLEAN} AS ascii, lower(replace({_CLEAN}, ' ', '')) AS folded, regexp_replace(text, '[^A-Za-z]', '', 'g') AS alpha, regexp_replace(text, '[^A-Za-z0-9]', '', 'g') AS alnum FROM benchmark"),
     "text_split": Query(lambda s, d: table(s, d, "benchmark").select("item_id", F.explode(T.split_string(F.col("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")), "SELECT word, count(*) AS n FROM (SELECT unnest(list_filter(regexp_split_to_array(text, '[ \\t\\n]'), lambda x: x <> '')) AS word FROM benchmark) GROUP BY 1"),
     "text_code_points": Query(lambda s, d: table(s, d, "benchmark").select("item_id", F.explode(T.code_points(F.col("text"))).alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("n")), "SELECT c, count(*) AS n FROM (SELECT unicode(unnest(string_split(text, ''))) AS c FROM benchmark) GROUP BY 1"),
@@ -179,7 +170,6 @@ QUERIES = {
     "fst_closure": Query(lambda s, d: (lambda a: W.closure(W.best_arcs_only(a), nodes(a)).groupBy("fst").agg(F.count(F.lit(1)).alias("n")))(arcs(s, d)), ARCS.replace("WITH RECURSIVE", "WITH") + "SELECT fst, count(*) + max(CASE WHEN dst = 7 THEN 1 ELSE 0 END) AS n FROM best GROUP BY fst"),
     "fst_compose": Query(composed),
     "fst_text_lines": Query(text_lines, LINES + "SELECT item_id AS fst, CAST(0 AS DOUBLE) AS cost, md5(truth) AS text_md5 FROM l"),
-    "fst_text_lines_whole": Query(lambda s, d: text_lines(s, d, whole_lines), LINES_WHOLE + "SELECT item_id AS fst, CAST(0 AS DOUBLE) AS cost, md5(truth) AS text_md5 FROM l"),
     "knn_neighbours": Query(lambda s, d: N.nearest(points(s, d), points(s, d), 3).select("id", "rank", "other", "distance"), KNN + "SELECT id, CAST(rank AS INTEGER) AS rank, other, distance FROM k WHERE rank <= 3"),
     "knn_posterior": Query(posteriors, KNN + "SELECT id, cls, count(*) / 5 AS share FROM k WHERE rank <= 5 GROUP BY 1, 2"),
     "knn_classify": Query(lambda s, d: N.knn_classify(posteriors(s, d)), KNN + ", s AS (SELECT id, cls, count(*) AS n FROM k WHERE rank <= 5 GROUP BY 1, 2) SELECT id, CAST(arg_max(cls, n * 1000 - cls) AS INTEGER) AS cls FROM s GROUP BY 1"),

@@ -25,7 +25,11 @@ def windowed_counts(frames: DataFrame, time: str, kind: str, width: str, late: s
 def drain(frames: DataFrame, mode: str = "complete") -> DataFrame:
     """Run a stream over what there is and return its result, kept as Parquet in the checkpoint folder."""
     spark = frames.sparkSession
-    root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillspark-")
+    root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="quillspark-")  # a test on one machine
     folder = f"{root}/stream-{uuid.uuid4().hex}"
 
     def keep(batch: DataFrame, number: int) -> None:

@@ -79,6 +79,6 @@ def test_text_queries_read_whole_texts(spark, tmp_path):
     run = lambda name: table_queries.QUERIES[name].run(spark, str(tmp_path)).collect()
     assert {(r["t"], r["p"]): r["n"] for r in run("text_confusions") if r["t"] != r["p"]} == {("h", "n"): 1, ("r", ""): 1}
     assert [r["cost"] for r in run("text_block_moves")] == [2.0]
-    assert [r["distance"] for r in run("text_edit_distance_whole")] == [2]
-    assert [(r["errors"], r["total"]) for r in run("text_evaluate_whole")] == [(2, 142)]
-    assert [r["item_id"] for r in run("text_find_confusion_whole")] == [1]
+    assert [r["distance"] for r in run("text_edit_distance")] == [2]
+    assert [(r["errors"], r["total"]) for r in run("text_evaluate")] == [(2, 142)]
+    assert [r["item_id"] for r in run("text_find_confusion")] == [1]
