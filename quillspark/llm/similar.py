@@ -106,7 +106,7 @@ def _common(named: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def possible(pairs: DataFrame, like: float) -> DataFrame:
-    """(a, b) of pairs (a, b, na, nb), one row for each shared prefix shingle, that the sizes and the number of rows allow.
+    """(a, b) of pairs (a, b, na, nb, shared), with numbers of shared prefix shingles that add up, that the sizes and this sum allow.
 
     Of the set whose prefix ends first, all shared shingles of the prefix are in both prefixes,
     so the sets share at most these and the rest of that set.
@@ -114,7 +114,7 @@ def possible(pairs: DataFrame, like: float) -> DataFrame:
     rest = F.ceil(F.greatest("na", "nb") * F.lit(like) - TINY) - 1
     return (
         pairs.where(F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(like) - TINY)
-        .groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("shared"))
+        .groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared"))
         .where(F.col("shared") + rest >= (F.col("na") + F.col("nb")) * F.lit(like / (1 + like)) - TINY).select("a", "b")
     )
 
@@ -146,23 +146,24 @@ def common_keys(keys: list[np.ndarray], key: int) -> tuple[np.ndarray, np.ndarra
 
 
 def trie_pairs(rows: DataFrame, most: int = GROUP, bits: int = BITS, like: float = LIKE) -> DataFrame:
-    """(a, b), a < b: the pairs of rows (key, node, size, fp, root, n) of a key that may be links, each once.
+    """(a, b, na, nb, shared), a < b: the pairs of rows (key, node, size, fp, root, n) within `bits` bits and of different roots.
 
-    Pairs within `bits` bits and of different roots, whose sizes and number of shared prefix
-    shingles allow a similarity of `like`: of the set whose prefix ends first, all shared
-    shingles of the prefix are in both prefixes, so the sets share at most these and the rest
-    of that set. A pair is reported by the least key that it shares. n is the key's number of
-    rows; the keys of a node are as many as its prefix at most.
+    n is the key's number of rows. A key of `most` rows at most reports each of its pairs, with
+    shared = 1. Larger keys would report the same pairs again and again, so their rows carry
+    the larger keys of their node (as many as its prefix has at most): a pair is reported by
+    the least larger key that it shares, with the number of these.
     """
-    keys = rows.groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("keys"))
+    keys = rows.where(F.col("n") > most).groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("keys"))
+    few = rows.where(F.col("n") <= most).withColumn("keys", F.expr("cast(array() as array<bigint>)"))
+    all_rows = few.unionByName(rows.where(F.col("n") > most).join(keys.hint("merge"), "node").select(*few.columns))
     parts = F.ceil(F.col("n") / F.lit(most))
-    dealt = rows.join(keys.hint("merge"), "node").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")))
+    dealt = all_rows.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")))
     # Part i meets every part j from i up: its rows go to the tries (i, j) and (j, i), j the larger one.
     met = dealt.select("key", "node", "size", "fp", "root", "part", "keys", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
     tries = met.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "fp", "node", "size", "root", "keys")
 
     def settle(x, lists):
-        """The pairs of one trie: columns key, i, j, part, fp, node, size, root of its rows, and their keys."""
+        """The pairs of one trie: columns key, i, j, part, fp, node, size, root of its rows, and their larger keys."""
         order = np.lexsort((x[7], x[4].view(np.uint64)))
         key, i, j, part, fp, node, size, root = (c[order] for c in x)
         ends = (np.array([0]), np.array([len(key)]))
@@ -179,15 +180,13 @@ def trie_pairs(rows: DataFrame, most: int = GROUP, bits: int = BITS, like: float
         a, b = a[good], b[good]
         if not len(a):
             return None
-        if len(a) <= FEW:
-            both = [np.intersect1d(lists[order[p]], lists[order[q]], assume_unique=True) for p, q in zip(a, b, strict=True)]
-            shared, before = np.array([len(k) for k in both]), np.array([k[0] < key[0] for k in both])
-        else:
-            shared, before = (m[a, b] for m in common_keys([lists[k] for k in order], key[0]))
-        rest = np.ceil(high[good] * like - TINY) - 1
-        good = ~before & (shared + rest >= (size[a] + size[b]) * like / (1 + like) - TINY)
-        u, v = node[a[good]], node[b[good]]
-        return np.minimum(u, v), np.maximum(u, v)
+        shared = np.ones(len(a), dtype=np.int64)
+        if len(lists[0]):
+            found, before = (m[a, b] for m in common_keys([lists[k] for k in order], key[0]))
+            a, b, shared = a[~before], b[~before], found[~before].astype(np.int64)
+        swap = node[a] > node[b]
+        a, b = np.where(swap, b, a), np.where(swap, a, b)
+        return node[a], node[b], size[a], size[b], shared
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -200,7 +199,7 @@ def trie_pairs(rows: DataFrame, most: int = GROUP, bits: int = BITS, like: float
             got = settle([table.column(k).to_numpy() for k in range(8)], [values[p:q] for p, q in zip(at[:-1], at[1:], strict=True)]) if table.num_rows > 1 else None
             if got:
                 for cut in range(0, len(got[0]), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c[cut : cut + 100_000]) for c in got], names=["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c[cut : cut + 100_000]) for c in got], names=["a", "b", "na", "nb", "shared"])
 
         for batch in batches:
             # The rows come sorted by trie, of which one is held at a time.
@@ -219,7 +218,7 @@ def trie_pairs(rows: DataFrame, most: int = GROUP, bits: int = BITS, like: float
             yield from flush()
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return tries.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long")
+    return tries.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long, na long, nb long, shared long")
 
 
 def _row_key(key="id", h="h"):
@@ -268,7 +267,7 @@ def _open(rows: DataFrame, classes: DataFrame, found: DataFrame, most: int) -> D
 
 
 def _stars(rows: DataFrame, turn: int, most: int, centres: int = 1) -> DataFrame:
-    """(a, b, na, nb): the pairs of some classes of each key, the least by hashes of this turn, with the others of the key in other components."""
+    """(a, b, na, nb, shared): the pairs of some classes of each key, the least by hashes of this turn, with the others of the key in other components."""
     one = lambda k: F.min(F.struct(F.xxhash64("node", F.lit(turn * CENTRES + k)).alias("h"), "node", "size", "root"))
     keys = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *(one(k).alias(f"t{k}") for k in range(centres))).where("n > 1")
     tops = F.array_distinct(F.array(*(F.struct(f"t{k}.node", f"t{k}.size", f"t{k}.root") for k in range(centres))))
@@ -277,7 +276,7 @@ def _stars(rows: DataFrame, turn: int, most: int, centres: int = 1) -> DataFrame
     low = F.col("node") < F.col("top.node")
     return met.select(
         F.least("node", "top.node").alias("a"), F.greatest("node", "top.node").alias("b"),
-        F.when(low, F.col("size")).otherwise(F.col("top.size")).alias("na"), F.when(low, F.col("top.size")).otherwise(F.col("size")).alias("nb"),
+        F.when(low, F.col("size")).otherwise(F.col("top.size")).alias("na"), F.when(low, F.col("top.size")).otherwise(F.col("size")).alias("nb"), F.lit(1).alias("shared"),
     )
 
 
@@ -326,7 +325,7 @@ def links(classes: DataFrame, named: DataFrame, words: int = WORDS, like: float
         rows = _open(rows.select("key", "node"), classes, found, most)
         if share < WORTH:
             break
-    settle(trie_pairs(rows, most, like=like))
+    settle(possible(trie_pairs(rows, most, like=like), like))
     return found
 
 
