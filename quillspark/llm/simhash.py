@@ -29,6 +29,8 @@ from quillspark.llm.common import compact, reliable
 
 #: Most fingerprints of one trie, and most pairs of a step of the walk over several tries.
 TRIE, STEP_PAIRS = 512, 2_000_000
+#: Edges that a task contracts at once.
+BLOCK_EDGES = 200_000
 #: Tables of so many rows at most are broadcast (16 bytes each).
 BROADCAST_ROWS = 10_000
 MASK = (1 << 64) - 1
@@ -226,13 +228,42 @@ def link(fps: DataFrame, budget: int = 2, most: int = TRIE) -> DataFrame:
     return tries.select("mask", "value", "fp").repartition(n, "mask", "value").sortWithinPartitions("mask", "value").mapInArrow(run, "a long, b long").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node of edges (a, b), by hooking to the least neighbour and contraction.
+def contract(edges: DataFrame, block: int = BLOCK_EDGES) -> DataFrame:
+    """(a, b), a > b: the edges of each block of a partition, as those from each node to the least node that it reaches in the block.
 
-    A round points every node to its least neighbour, shortens the pointers to the roots, and
-    relabels the edges; at least half of the nodes that still have edges go in a round.
+    Components stay as they are: each block's own are kept, and with them all that its edges join.
     """
-    e = compact(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+
+    def settle(held):
+        a, b = (np.concatenate([x.column(k).to_numpy() for x in held]) for k in range(2))
+        own, code = np.unique(np.concatenate((a, b)), return_inverse=True)
+        label = forest(len(own), code[: len(a)], code[len(a) :])
+        moved = np.flatnonzero(label != np.arange(len(own)))
+        return pa.RecordBatch.from_arrays([pa.array(own[moved]), pa.array(own[label[moved]])], names=["a", "b"])
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, block):
+                held.append(batch.slice(at, block))
+                n += held[-1].num_rows
+                if n >= block:
+                    yield settle(held)
+                    held, n = [], 0
+        if held:
+            yield settle(held)
+
+    return edges.select("a", "b").mapInArrow(run, "a long, b long")
+
+
+def components(edges: DataFrame, block: int = BLOCK_EDGES) -> DataFrame:
+    """(node, root) of every node of edges (a, b) but the roots, by hooking to the least neighbour and contraction.
+
+    Each block of edges is contracted to stars first, so chains and cycles within a block cost
+    no round. A round points every node to its least neighbour, shortens the pointers to the
+    roots, and relabels the edges; at least half of the nodes that still have edges go in a round.
+    """
+    e = reliable(contract(compact(edges.where("a <> b")), block))
     found = None
     while not e.isEmpty():
         up = compact(e.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.col("b").alias("root")))
@@ -246,7 +277,7 @@ def components(edges: DataFrame) -> DataFrame:
         found = up if found is None else move(found, "root").select("node", "root").unionByName(up)
         found = compact(found)
         e = compact(move(move(e, "a"), "b").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    return found if found is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    return found if found is not None else e.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 def assign(rows: DataFrame, budget: int = 2, most: int = TRIE) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quillspark.llm import decontam, matroska, mixing, packing, quality, secrets, separators, tokens, urls, warc
+from quillspark.llm import decontam, matroska, mixing, packing, quality, secrets, separators, simhash, tokens, urls, warc
 from tests.llm.test_operators import base_spans, frame, texts, words
 
 
@@ -275,3 +275,36 @@ def test_url_trees_on_urls_held_out(spark):
     other = urls.seed_labels(urls.split_urls(pages), [t for t in urls.SEED_TERMS if t != "casino"]).where("not contains(host, 'casino')")
     unseen = urls.score(rows.where("contains(host, 'casino')"), urls.fit(other)).toPandas()
     assert len(unseen) and unseen.score.ge(0.5).mean() >= 0.5
+
+
+@pytest.mark.parametrize(("parts", "block"), [(1, 200_000), (7, 200_000), (1, 3), (5, 11)])
+def test_components_do_not_hang_on_layout_or_block(spark, monkeypatch, parts, block):
+    monkeypatch.setattr("quillspark.llm.common.COMPACT_ROWS", 40)  # so that several partitions are left
+    rng = random.Random(parts * 1000 + block)
+    name = rng.sample(range(-(10**9), 10**9), 300)
+    chain = [(name[k], name[k + 1]) for k in range(99)]
+    ring = [(name[100 + k], name[100 + (k + 1) % 40]) for k in range(40)]
+    hub = [(name[140], name[k]) for k in range(141, 200)]
+    loose = [(rng.choice(name[200:]), rng.choice(name[200:])) for _ in range(70)]
+    edges = [e if rng.random() < 0.5 else e[::-1] for e in chain + ring + hub + loose + hub[:9]]
+    rng.shuffle(edges)
+    top = {n: n for e in edges for n in e}
+
+    def root(n):
+        while top[n] != n:
+            n = top[n]
+        return n
+
+    for a, b in edges:
+        x, y = sorted((root(a), root(b)))
+        top[y] = x
+    got = simhash.components(spark.createDataFrame(edges, "a long, b long").repartition(parts), block).collect()
+    found = {r["node"]: r["root"] for r in got}
+    assert len(found) == len(got)
+    assert all(found.get(n, n) == root(n) for n in top)
+
+
+def test_components_of_no_edges(spark):
+    none = spark.createDataFrame([], "a long, b long")
+    assert simhash.components(none).isEmpty()
+    assert simhash.components(spark.createDataFrame([(4, 4)], "a long, b long")).isEmpty()
