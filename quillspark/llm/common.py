@@ -46,6 +46,11 @@ def compact(df: DataFrame) -> DataFrame:
     return kept.coalesce(max(1, -(-kept.count() // COMPACT_ROWS)))
 
 
+def named(name: str):
+    """The column of exactly this name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def ascii_lower(column):
     """A-Z to a-z, all other characters as they are."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
