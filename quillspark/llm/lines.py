@@ -17,10 +17,12 @@ named columns are read, so other columns may have any name.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import WORD, ascii_lower, compact, maybe, named, sketch, word_count
+from quillspark.llm.common import WORD, compact, maybe, named, reliable, sketch
 
 # Fixed values of the contract.
 SYMBOLS = "#*$%&|<>"
@@ -35,44 +37,36 @@ SALT = 32
 
 
 def normal_line(line):
-    """A-Z lowered, digits to one 0, white space to one blank, none at the ends."""
-    one = F.regexp_replace(F.regexp_replace(ascii_lower(line), "[0-9]+", "0"), r"[\x20\x09-\x0D]+", " ")
+    """Lowered, digits to one 0, white space to one blank, none at the ends."""
+    one = F.regexp_replace(F.regexp_replace(F.lower(line), "[0-9]+", "0"), r"[\x20\x09-\x0D]+", " ")
     return F.trim(one)
 
 
-def repeated_words(words):
-    """Words in windows of three that occur twice or more in an array of words.
+def _normal_lines(text):
+    """All lines of a text that hold a word, normalised as normal_line() does."""
+    one = F.regexp_replace(F.regexp_replace(F.lower(text), "[0-9]+", "0"), r"[\x20\x09\x0B-\x0D]+", " ")
+    return F.filter(F.transform(F.split(one, "\n", -1), F.trim), lambda x: x != "")
+
+
+#: Repeated windows of one text that are looked up one by one; texts with more sort all their windows with their places.
+LOOKED_UP = 64
+
+
+def repeated_words(windows: str):
+    """Words in windows of three that occur twice or more in the array windows of a text, in order of place.
 
-    Windows are sorted by hash, then words, then place: equal ones become neighbours, and the
-    words they cover are counted by the distances of their places.
+    The windows that occur twice are the neighbours of a sort; the words that they cover are
+    counted by the distances of their places.
     """
-    w = "_w"
-    windows = f"""transform(sequence(0, size({w}) - 3), i -> named_struct(
-        'h', xxhash64({w}[i], {w}[i + 1], {w}[i + 2]), 'a', {w}[i], 'b', {w}[i + 1], 'c', {w}[i + 2], 'i', i))"""
-    same = "s[k{0}].h = e.h and s[k{0}].a = e.a and s[k{0}].b = e.b and s[k{0}].c = e.c"
-    found = f"filter(s, (e, k) -> (k > 0 and {same.format(' - 1')}) or (k < size(s) - 1 and {same.format(' + 1')}))"
-    count = f"""aggregate(sort_array(transform({found}, e -> e.i)), named_struct('n', 0, 'last', -3),
-        (t, i) -> named_struct('n', t.n + least(3, i - t.last), 'last', i), t -> t.n)"""
-    hashes = f"transform(sequence(0, size({w}) - 3), i -> xxhash64({w}[i], {w}[i + 1], {w}[i + 2]))"
-    any_twice = f"element_at(transform(array({hashes}), x -> size(array_distinct(x)) < size(x)), 1)"
-    sql = f"case when size({w}) < 3 then 0 when {any_twice} then element_at(transform(array(sort_array({windows})), s -> {count}), 1) else 0 end"
-    return F.expr(sql.replace(w, words)).cast("long")
-
-
-def base_rules(docs: DataFrame, keep: list, text_col: str = "text") -> DataFrame:
-    """The columns keep, then n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
-    text = F.coalesce(named(text_col), F.lit(""))
-    with_word = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD))
-    cut = docs.select(
-        F.struct(*keep).alias("_kept"),
-        F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("_words"),
-        F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]+", "")).cast("long").alias("word_chars"),
-        (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        F.transform(F.array(with_word), lambda x: F.size(x) - F.size(F.array_distinct(x)))[0].cast("long").alias("n_dup_lines"),
-    )
-    counted = cut.select("_kept.*", F.size("_words").cast("long").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", repeated_words("_words").alias("n_repeat_words"))
-    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    return counted.withColumn("base_failed", failed)
+    twice = "element_at(transform(array(sort_array(g)), s -> array_distinct(filter(s, (e, k) -> k > 0 and s[k - 1] = e))), 1)"
+    few = "filter(sequence(0, size(g) - 1), i -> array_contains(d, g[i]))"
+    same = "(k > 0 and s[k - 1].x = e.x) or (k < size(s) - 1 and s[k + 1].x = e.x)"
+    many = f"""sort_array(transform(element_at(transform(array(sort_array(transform(g, (x, i) -> named_struct('x', x, 'i', i)))),
+        s -> filter(s, (e, k) -> {same})), 1), e -> e.i))"""
+    count = "aggregate({}, named_struct('n', 0, 'last', -3), (t, i) -> named_struct('n', t.n + least(3, i - t.last), 'last', i), t -> t.n)"
+    chosen = f"element_at(transform(array({twice}), d -> case when size(d) <= {LOOKED_UP} then {count.format(few)} else {count.format(many)} end), 1)"
+    sql = f"case when size(array_distinct(g)) = size(g) then 0 else {chosen} end"
+    return F.expr(re.sub(r"\bg\b", windows, sql)).cast("long")
 
 
 def _keys(host_col: str, text_col: str) -> tuple:
@@ -81,22 +75,46 @@ def _keys(host_col: str, text_col: str) -> tuple:
     return host, F.xxhash64(named(host_col), F.lit("text"), F.coalesce(named(text_col), F.lit("")))
 
 
-def lines_of(docs: DataFrame, host_col: str = "source", text_col: str = "text") -> DataFrame:
-    """(row, host, text, line, words): each line with a word of each row; host, text and line are hashes, row tells the rows apart."""
+def read_texts(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text") -> DataFrame:
+    """One pass over the texts: row, id, host and text (hashes), lines (hash and words of each line with a word), and the base rules' columns."""
+    text = F.coalesce(named(text_col), F.lit(""))
     host, key = _keys(host_col, text_col)
-    given = docs.select(F.monotonically_increasing_id().alias("row"), named(host_col).alias("_host"), host.alias("host"), key.alias("text"), named(text_col).alias("_text"))
-    split = given.select("row", "host", "text", "_host", F.explode(F.split("_text", "\n", -1)).alias("_line"))
-    line = split.select("row", "host", "text", "_host", normal_line(F.col("_line")).alias("_line")).where("_line <> ''")
-    words = F.length("_line") - F.length(F.translate("_line", " ", "")) + 1
-    return line.select("row", "host", "text", F.xxhash64("_host", F.lit("line"), "_line").alias("line"), words.cast("long").alias("words"))
+    with_word = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD))
+    words = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1
+    line = lambda x: F.struct(F.xxhash64(named(host_col), F.lit("line"), x).alias("line"), words(x).alias("words"))
+    given = docs.select(
+        F.monotonically_increasing_id().alias("row"),
+        named(id_col).alias("id"),
+        host.alias("host"),
+        key.alias("text"),
+        F.transform(_normal_lines(text), line).alias("lines"),
+        F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
+        F.transform(F.array(with_word), lambda x: F.size(x) - F.size(F.array_distinct(x)))[0].cast("long").alias("n_dup_lines"),
+        F.trim(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " ")).alias("_plain"),
+    )
+    # A window starts at each word that two more follow.
+    windows = F.regexp_extract_all("_plain", F.lit(r"(?=([^ ]++ [^ ]++ [^ ]++))[^ ]++ "), F.lit(1))
+    first = ["row", "id", "host", "text", "lines", "n_symbols", "n_dup_lines"]
+    counted = given.select(
+        *first,
+        F.when(F.col("_plain") == "", 0).otherwise(words(F.col("_plain"))).cast("long").alias("n_words"),
+        F.length(F.replace("_plain", F.lit(" "), F.lit(""))).cast("long").alias("word_chars"),
+        windows.alias("_windows"),
+    )
+    ruled = counted.select(*first, "n_words", "word_chars", repeated_words("_windows").alias("n_repeat_words"))
+    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
+    return ruled.withColumn("base_failed", failed)
 
 
-def frequent_lines(docs: DataFrame, host_col: str = "source", text_col: str = "text", least: int = LEAST_DOCS, share: float = DOC_SHARE) -> DataFrame:
-    """(line, n_docs): lines that more than least documents of their host hold, and more than share of its documents."""
-    host, key = _keys(host_col, text_col)
-    counted = lines_of(docs, host_col, text_col).select("host", "line", "text").distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs"))
+def _lines_of(read: DataFrame) -> DataFrame:
+    return read.select("row", "host", "text", F.explode("lines").alias("_line")).select("row", "host", "text", "_line.line", "_line.words")
+
+
+def frequent_lines(read: DataFrame, least: int = LEAST_DOCS, share: float = DOC_SHARE) -> DataFrame:
+    """(line, n_docs) of read_texts(): lines that more than least documents of their host hold, and more than share of its documents."""
+    counted = _lines_of(read).select("host", "line", "text").distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs"))
     many = compact(counted.where(F.col("n_docs") > least))
-    sizes = docs.select(host.alias("host"), key.alias("text")).distinct().groupBy("host").agg(F.count(F.lit(1)).alias("_of"))
+    sizes = read.select("host", "text").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("_of"))
     return many.join(sizes, "host").where(F.col("n_docs") > share * F.col("_of")).select("line", "n_docs")
 
 
@@ -106,10 +124,10 @@ def _salted(many: DataFrame, few: DataFrame, key: str, spread, how: str) -> Data
     return many.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALT)).cast("int")).join(parts, [key, "_salt"], how).drop("_salt")
 
 
-def removed_lines(docs: DataFrame, host_col: str = "source", text_col: str = "text", least: int = LEAST_DOCS, share: float = DOC_SHARE) -> DataFrame:
-    """(text, lines, words): for each text of a host that holds frequent lines, these lines and their words."""
-    frequent = compact(frequent_lines(docs, host_col, text_col, least, share))
-    near = maybe(lines_of(docs, host_col, text_col), F.col("line"), sketch(frequent, F.col("line")))
+def removed_lines(read: DataFrame, least: int = LEAST_DOCS, share: float = DOC_SHARE) -> DataFrame:
+    """(text, lines, words) of read_texts(): for each text of a host that holds frequent lines, these lines and their words."""
+    frequent = compact(frequent_lines(read, least, share))
+    near = maybe(_lines_of(read), F.col("line"), sketch(frequent, F.col("line")))
     # A document's repetitions of a line add up; copies of the document, whose rows are equal, do not.
     each = near.groupBy("line", "text", "row").agg(F.sum("words").alias("words"))
     once = each.groupBy("line", "text").agg(F.max("words").alias("words"))
@@ -118,27 +136,27 @@ def removed_lines(docs: DataFrame, host_col: str = "source", text_col: str = "te
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", least: int = LEAST_DOCS, share: float = DOC_SHARE) -> DataFrame:
-    """id_col, the base rules' counts, n_removed (words in frequent lines), base_failed, kept: one row for each document."""
-    key = _keys(host_col, text_col)[1]
-    ruled = base_rules(docs, [named(id_col).alias("_id"), key.alias("text")], text_col)
-    lost = compact(removed_lines(docs, host_col, text_col, least, share).select("text", F.col("words").alias("_lost")))
-    met = _salted(ruled, lost, "text", F.col("_id"), "left").withColumn("n_removed", F.coalesce("_lost", F.lit(0)))
+    """id_col, the base rules' counts, base_failed, kept, n_removed (words in frequent lines): one row for each document."""
+    read = reliable(read_texts(docs, id_col, host_col, text_col))
+    lost = compact(removed_lines(read, least, share).select("text", F.col("words").alias("_lost")))
+    met = _salted(read.drop("lines"), lost, "text", F.col("row"), "left").withColumn("n_removed", F.coalesce("_lost", F.lit(0)).cast("long"))
     left = F.col("n_words") - F.col("n_removed")
     depleted = (F.col("n_removed") > 0) & ((left < KEPT_WORDS) | (left < KEPT_SHARE * F.col("n_words")))
     return met.select(
-        F.col("_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~depleted).alias("kept"), "n_removed"
+        F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~depleted).alias("kept"), "n_removed"
     )
 
 
 def clean(docs: DataFrame, host_col: str = "source", text_col: str = "text", least: int = LEAST_DOCS, share: float = DOC_SHARE) -> DataFrame:
     """docs with the frequent lines taken out of text_col; a null text stays null. All columns and rows stay."""
-    key, lost = _keys(host_col, text_col)[1], compact(removed_lines(docs, host_col, text_col, least, share).select("text", "lines"))
+    key, read = _keys(host_col, text_col)[1], reliable(read_texts(docs, text_col, host_col, text_col).drop("id"))
+    lost = compact(removed_lines(read, least, share).select("text", "lines"))
     # Texts without a frequent line are not moved.
     packed = docs.select(F.struct("*").alias("_given"), key.alias("text"))
     marks = sketch(lost, F.col("text"))
     hit = _salted(maybe(packed, F.col("text"), marks), lost, "text", F.col("_given"), "left")
     hit = hit.unionByName(maybe(packed, F.col("text"), marks, also=False).withColumn("lines", F.lit(None).cast("array<bigint>")))
-    host, text = (F.col("_given")[named_field] for named_field in (host_col, text_col))
+    host, text = (F.col("_given")[c] for c in (host_col, text_col))
     stays = lambda x: ~F.array_contains("lines", F.xxhash64(host, F.lit("line"), normal_line(x))) | (normal_line(x) == "")
     made = F.when(F.col("lines").isNull(), text).otherwise(F.array_join(F.filter(F.split(text, "\n", -1), stays), "\n"))
-    return hit.select(F.col("_given").withField(f"`{text_col}`", made).alias("_given")).select("_given.*")
+    return hit.select(F.col("_given").withField("`" + text_col.replace("`", "``") + "`", made).alias("_given")).select("_given.*")

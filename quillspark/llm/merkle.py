@@ -1,7 +1,7 @@
 """Merkle manifest of a dataset: DuckDB hashes blocks of leaves on the executors, Spark joins them.
 
 The leaves of a tree are numbered by a sort over range partitions, dealt into aligned blocks of
-FANOUT ** DEPTH consecutive ones, and every block goes to DuckDB as one Arrow table: level
+FANOUT ** depth consecutive ones, and every block goes to DuckDB as one Arrow table: level
 queries of an ordered string_agg and sha256 give the block's root. The block roots are the
 leaves of the next block level, until each tree has one root; the roots of the trees are the
 leaves of one more tree. On the way down each block meets the proof of its own root (a join by
@@ -17,6 +17,7 @@ empty string as the proof. Only the named columns are read, so other columns may
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import lru_cache
 
 import duckdb
@@ -33,7 +34,6 @@ TAMPERED_EACH = 3
 
 #: Levels that DuckDB hashes in one block: 4,096 leaves.
 DEPTH = 4
-BLOCK = FANOUT**DEPTH
 
 _HEX = 64
 _PATH = "array<struct<before:string,after:string>>"
@@ -47,20 +47,20 @@ def _engine() -> duckdb.DuckDBPyConnection:
     return con
 
 
-def _levels(block: pa.Table, n: int, with_paths: bool) -> tuple[str, str]:
+def _levels(block: pa.Table, depth: int, with_paths: bool) -> tuple[str, str]:
     """(root of the block, name of the table of its levels' proofs).
 
-    block has place (in the tree) and hash; n is the number of leaves of the whole tree. The
+    block has place (in the tree), hash and of, the number of leaves of the whole tree. The
     table _paths has place, level, before and after: the hashes of the node's siblings.
     """
-    con = _engine()
+    con, n = _engine(), block["of"][0].as_py()
     con.register("_given", block.select(["place", "hash"]))
     con.execute("CREATE OR REPLACE TEMP TABLE _nodes AS SELECT place, hash FROM _given")
     con.unregister("_given")
     con.execute("CREATE OR REPLACE TEMP TABLE _above AS SELECT place, place AS node FROM _nodes")
     con.execute("CREATE OR REPLACE TEMP TABLE _paths (place BIGINT, level INTEGER, before VARCHAR, after VARCHAR)")
     level = 0
-    while n > 1 and level < DEPTH:
+    while n > 1 and level < depth:
         con.execute(f"CREATE OR REPLACE TEMP TABLE _runs AS SELECT place // {FANOUT} AS run, string_agg(hash, '' ORDER BY place) AS all_of FROM _nodes GROUP BY 1")
         if with_paths:
             con.execute(
@@ -73,8 +73,8 @@ def _levels(block: pa.Table, n: int, with_paths: bool) -> tuple[str, str]:
     return con.execute("SELECT hash FROM _nodes").fetchall()[0][0], "_paths"
 
 
-def _block_root(block: pa.Table) -> pa.Table:
-    root, _ = _levels(block, block["of"][0].as_py(), False)
+def _block_root(depth: int, block: pa.Table) -> pa.Table:
+    root, _ = _levels(block, depth, False)
     return pa.table({"tree": block["tree"][:1], "place": block["block"][:1], "hash": pa.array([root], pa.string())})
 
 
@@ -82,10 +82,10 @@ def _outer(above: pa.Table) -> tuple[list[dict], str]:
     return above["path"][0].as_py(), above["root"][0].as_py()
 
 
-def _with_paths(block: pa.Table, above: pa.Table) -> pa.Table:
+def _with_paths(depth: int, block: pa.Table, above: pa.Table) -> pa.Table:
     """Each node of a block with its whole path: that within the block, then that of the block's root."""
     path, root = _outer(above)
-    _, paths = _levels(block, block["of"][0].as_py(), True)
+    _, paths = _levels(block, depth, True)
     made = _engine().execute(
         f"""SELECT g.place, coalesce(p.path, []) AS path FROM _above g
         LEFT JOIN (SELECT place, list(struct_pack(before := before, after := after) ORDER BY level) AS path FROM {paths} GROUP BY place) p ON p.place = g.place ORDER BY g.place"""
@@ -95,10 +95,10 @@ def _with_paths(block: pa.Table, above: pa.Table) -> pa.Table:
     return pa.table({"tree": pa.array([tree] * len(made), block["tree"].type), "place": pa.array([r[0] for r in made], pa.int64()), "path": pa.array([r[1] + path for r in made], kind), "root": pa.array([root] * len(made), pa.string())})
 
 
-def _proved(block: pa.Table, above: pa.Table) -> pa.Table:
+def _proved(depth: int, block: pa.Table, above: pa.Table) -> pa.Table:
     """The leaves of a block with the hash of their proofs, and the root that their (tampered) hashes fold up to."""
     con, (path, root) = _engine(), _outer(above)
-    _, paths = _levels(block, block["of"][0].as_py(), True)
+    _, paths = _levels(block, depth, True)
     con.register("_leaves", block.select(["place", "tampered"]))
     con.execute("CREATE OR REPLACE TEMP TABLE _fold AS SELECT place, tampered AS hash, '' AS proof FROM _leaves")
     con.unregister("_leaves")
@@ -110,7 +110,7 @@ def _proved(block: pa.Table, above: pa.Table) -> pa.Table:
     for step in path:  # beyond the block all leaves share their siblings
         con.execute("CREATE OR REPLACE TEMP TABLE _fold AS SELECT place, sha256(concat(?, hash, ?)) AS hash, proof FROM _fold", [step["before"], step["after"]])
     outer = "".join(s["before"] + s["after"] for s in path)
-    folded = con.execute("SELECT hash, sha256(concat(proof, ?)) AS proof FROM _fold ORDER BY place", [outer]).to_arrow_table()
+    folded = con.sql("SELECT hash, sha256(concat(proof, ?)) AS proof FROM _fold ORDER BY place", params=[outer]).to_arrow_table()
     leaves = block.sort_by("place")
     n = leaves.num_rows
     subroot = above["subroot"][0].as_py()
@@ -139,35 +139,42 @@ def numbered(nodes: DataFrame, tree: str, order: list[str]) -> DataFrame:
     return met.withColumn("place", F.col("_at") + F.col("_shift")).drop("_at", "_part", "_tree", "_in", "_shift")
 
 
-def _blocks(nodes: DataFrame) -> DataFrame:
-    return nodes.withColumn("block", F.expr(f"place div {BLOCK}"))
+def _blocks(nodes: DataFrame, depth: int) -> DataFrame:
+    return nodes.withColumn("block", F.expr(f"place div {FANOUT**depth}"))
 
 
-def _roots_of_blocks(nodes: DataFrame) -> DataFrame:
-    """(tree, place, hash, of): the nodes that stand DEPTH levels above."""
+def _by_block(run: Callable, depth: int) -> Callable:
+    """run for blocks of depth levels, with as many parameters as Spark looks for."""
+    if run is _block_root:
+        return lambda block: run(depth, block)
+    return lambda block, above: run(depth, block, above)
+
+
+def _roots_of_blocks(nodes: DataFrame, depth: int) -> DataFrame:
+    """(tree, place, hash, of): the nodes that stand depth levels above."""
     kind = nodes.schema["tree"].dataType.simpleString()
-    made = _blocks(nodes).select("tree", "block", "place", "hash", "of").groupBy("tree", "block").applyInArrow(_block_root, f"tree {kind}, place bigint, hash string")
-    sizes = nodes.groupBy("tree").agg(F.max("of").alias("_of")).select(F.col("tree").alias("_tree"), F.expr(f"(_of + {BLOCK - 1}) div {BLOCK}").alias("of"))
+    made = _blocks(nodes, depth).select("tree", "block", "place", "hash", "of").groupBy("tree", "block").applyInArrow(_by_block(_block_root, depth), f"tree {kind}, place bigint, hash string")
+    sizes = nodes.groupBy("tree").agg(F.max("of").alias("_of")).select(F.col("tree").alias("_tree"), F.expr(f"(_of + {FANOUT**depth - 1}) div {FANOUT**depth}").alias("of"))
     return reliable(made.join(sizes, F.col("tree").eqNullSafe(F.col("_tree"))).drop("_tree"))
 
 
-def climb(nodes: DataFrame) -> list[DataFrame]:
+def climb(nodes: DataFrame, depth: int = DEPTH) -> list[DataFrame]:
     """nodes (tree, place, hash, of), then the block roots above them, up to one root for each tree."""
     levels = [nodes]
     while True:
-        levels.append(_roots_of_blocks(levels[-1]))
+        levels.append(_roots_of_blocks(levels[-1], depth))
         if not levels[-1].where("of > 1").limit(1).count():
             return levels
 
 
-def descend(levels: list[DataFrame], top: DataFrame) -> DataFrame:
+def descend(levels: list[DataFrame], top: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(tree, place, path, root) of the nodes levels[1] from the paths of the roots of the trees, top (tree, path, root)."""
     at = levels[-1].select("tree", "place").join(top.withColumnRenamed("tree", "_tree"), F.col("tree").eqNullSafe(F.col("_tree"))).drop("_tree")
     for nodes in reversed(levels[1:-1]):
         kind = nodes.schema["tree"].dataType.simpleString()
-        groups = _blocks(nodes).select("tree", "block", "place", "hash", "of").groupBy("tree", "block")
+        groups = _blocks(nodes, depth).select("tree", "block", "place", "hash", "of").groupBy("tree", "block")
         met = groups.cogroup(at.withColumn("block", F.col("place")).groupBy("tree", "block"))
-        at = reliable(met.applyInArrow(_with_paths, f"tree {kind}, place bigint, path {_PATH}, root string"))
+        at = reliable(met.applyInArrow(_by_block(_with_paths, depth), f"tree {kind}, place bigint, path {_PATH}, root string"))
     return at
 
 
@@ -185,24 +192,24 @@ def leaves(docs: DataFrame, fields: tuple[str, ...] = FIELDS, id_col: str = "doc
     return docs.select(named(tree_col).alias("tree"), named(id_col).alias("id"), whole(named(text_col)).alias("hash"), whole(tampered).alias("tampered"))
 
 
-def manifest(docs: DataFrame, fields: tuple[str, ...] = FIELDS, id_col: str = "doc_id", tree_col: str = "lang", text_col: str = "text") -> DataFrame:
+def manifest(docs: DataFrame, fields: tuple[str, ...] = FIELDS, id_col: str = "doc_id", tree_col: str = "lang", text_col: str = "text", depth: int = DEPTH) -> DataFrame:
     """id_col, leaf, subroot, root, proof_sha256, folded_root, verified: one row for each row of docs."""
     # Kept narrow before the sort, whose sampling would read all texts again.
     placed = numbered(reliable(leaves(docs, fields, id_col, tree_col, text_col)), "tree", ["id", "hash"])
-    levels = climb(placed)
+    levels = climb(placed, depth)
     subroots = levels[-1].select(F.lit(0).alias("all"), F.col("tree").alias("name"), F.col("hash"))
     trees = reliable(numbered(subroots, "all", ["name"]).select(F.col("all").alias("tree"), "place", "hash", "of", "name"))
-    upper = climb(trees)
+    upper = climb(trees, depth)
     root = upper[-1].select("tree", F.col("hash").alias("root"), F.expr(f"cast(array() as {_PATH})").alias("path"))
     # The trees' own leaves are one level lower than what descend() returns.
-    above = descend([trees.select("tree", "place", "hash", "of"), *upper[1:]], root)
-    blocks = _blocks(trees).groupBy("tree", "block").cogroup(above.withColumn("block", F.col("place")).groupBy("tree", "block"))
-    paths = blocks.applyInArrow(_with_paths, f"tree int, place bigint, path {_PATH}, root string")
+    above = descend([trees.select("tree", "place", "hash", "of"), *upper[1:]], root, depth)
+    blocks = _blocks(trees, depth).groupBy("tree", "block").cogroup(above.withColumn("block", F.col("place")).groupBy("tree", "block"))
+    paths = blocks.applyInArrow(_by_block(_with_paths, depth), f"tree int, place bigint, path {_PATH}, root string")
     top = trees.select("place", "name", F.col("hash").alias("subroot")).join(paths.select("place", "path", "root"), "place").select(F.col("name").alias("tree"), "path", "root", "subroot")
-    outer = reliable(descend(levels, top.select("tree", "path", "root")))
+    outer = reliable(descend(levels, top.select("tree", "path", "root"), depth))
     named_roots = top.select(F.col("tree").alias("_tree"), "subroot")
     outer = outer.join(named_roots, F.col("tree").eqNullSafe(F.col("_tree"))).drop("_tree").withColumn("block", F.col("place"))
     kind = placed.schema["id"].dataType.simpleString()
-    met = _blocks(placed).groupBy("tree", "block").cogroup(outer.groupBy("tree", "block"))
-    proved = met.applyInArrow(_proved, f"id {kind}, leaf string, subroot string, root string, proof_sha256 string, folded_root string")
+    met = _blocks(placed, depth).groupBy("tree", "block").cogroup(outer.groupBy("tree", "block"))
+    proved = met.applyInArrow(_by_block(_proved, depth), f"id {kind}, leaf string, subroot string, root string, proof_sha256 string, folded_root string")
     return proved.select(F.col("id").alias(id_col), "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))

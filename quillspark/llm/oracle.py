@@ -16,7 +16,7 @@ LINES = rf"""WITH d AS (SELECT row_number() OVER () AS row, doc_id, source, coal
         length(text) - length(translate(text, '{lines.SYMBOLS}', '')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words
         FROM w LEFT JOIN r USING (row)),
     x AS (SELECT row, source, text, unnest(string_split(text, chr(10))) AS line FROM b),
-    y AS (SELECT row, source, text, trim(regexp_replace(regexp_replace({_LOWER.format('line')}, '[0-9]+', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS line FROM x),
+    y AS (SELECT row, source, text, trim(regexp_replace(regexp_replace(lower(line), '[0-9]+', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS line FROM x),
     n AS (SELECT source, line, count(DISTINCT text) AS n FROM y WHERE line <> '' GROUP BY ALL),
     h AS (SELECT source, count(DISTINCT text) AS n FROM b GROUP BY source),
     f AS (SELECT n.source, line FROM n JOIN h ON n.source IS NOT DISTINCT FROM h.source WHERE n.n > {lines.LEAST_DOCS} AND n.n > {lines.DOC_SHARE} * h.n),
