@@ -1,7 +1,6 @@
 """Weighted automata as tables: arcs (fst, src, dst, inp, out, cost) and nodes (fst, id, accept); 0 is epsilon.
 
-The start is node 0. Composition is an equi-join on label; best paths relax costs along arcs,
-one join and one aggregation to a round, so all automata of a table go on together.
+The start is node 0. Composition is an equi-join on label; the searches for best paths are in search.py.
 """
 
 from __future__ import annotations
@@ -9,6 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.operators import search
+from quillspark.operators.durable import cut
+
 ARC = ("fst", "src", "dst", "inp", "out", "cost")
 
 
@@ -54,32 +56,30 @@ def compose(a: DataFrame, b: DataFrame, a_nodes: DataFrame, b_nodes: DataFrame)
     return both.unionByName(left).unionByName(right)
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.cache()
-
-
-def best_paths(arcs: DataFrame, nodes: DataFrame, beam: int | None = None, rounds: int = 10_000, start=0) -> DataFrame:
+def best_paths(arcs: DataFrame, nodes: DataFrame, beam: int | None = None) -> DataFrame:
     """(fst, cost, labels): the least-cost accepted path of each automaton and its output labels.
 
-    Rounds relax only the states that improved; with a beam only the best states of a round go
-    on. Costs must not be negative.
+    The search settles blocks of states (see search.py). With a beam only the best states of a
+    step go on, and the result may miss the best path. Costs must not be negative.
     """
-    kind = dict(arcs.dtypes)["src"]
-    seed = F.struct(F.lit(start[0]).cast("long").alias("l"), F.lit(start[1]).cast("long").alias("r")) if isinstance(start, tuple) else F.lit(start).cast(kind)
-    best = arcs.select("fst").distinct().select("fst", seed.alias("id"), F.lit(0.0).alias("cost"), F.expr("cast(array() as array<int>)").alias("labels"))
-    front = best
-    for _ in range(rounds):
-        if beam:
-            front = front.withColumn("k", F.row_number().over(Window.partitionBy("fst").orderBy("cost", "id"))).where(F.col("k") <= beam).drop("k")
+    return search.best_labels((arcs, nodes)) if beam is None else _beam_paths(arcs, nodes, beam)
+
+
+def _beam_paths(arcs: DataFrame, nodes: DataFrame, beam: int) -> DataFrame:
+    """Step by step the beam best states that improved, until none does."""
+    best = nodes.select("fst").distinct().select("fst", F.lit(0).cast("long").alias("id"), F.lit(0.0).alias("cost"), F.expr("cast(array() as array<int>)").alias("labels"))
+    front = best = cut(best)
+    arcs = cut(arcs.select("fst", F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), "out", "cost"))
+    while front.limit(1).count():
+        few = front.withColumn("k", F.row_number().over(Window.partitionBy("fst").orderBy("cost", "id"))).where(F.col("k") <= beam).drop("k")
         out = F.when(F.col("e.out") == 0, F.col("f.labels")).otherwise(F.concat(F.col("f.labels"), F.array(F.col("e.out").cast("int"))))
-        step = front.alias("f").join(arcs.alias("e"), (F.col("f.fst") == F.col("e.fst")) & (F.col("f.id") == F.col("e.src"))).select("f.fst", F.col("e.dst").alias("id"), (F.col("f.cost") + F.col("e.cost")).alias("cost"), out.alias("labels"))
+        step = few.alias("f").join(arcs.alias("e"), (F.col("f.fst") == F.col("e.fst")) & (F.col("f.id") == F.col("e.src"))).select("f.fst", F.col("e.dst").alias("id"), (F.col("f.cost") + F.col("e.cost")).alias("cost"), out.alias("labels"))
         step = step.groupBy("fst", "id").agg(F.min(F.struct("cost", "labels")).alias("n"))
-        both = _cut(best.join(step, ["fst", "id"], "full").select("fst", "id", F.when(F.col("cost").isNull() | (F.col("n.cost") < F.col("cost")), F.col("n")).otherwise(F.struct("cost", "labels")).alias("m"), (F.col("n").isNotNull() & (F.col("cost").isNull() | (F.col("n.cost") < F.col("cost")))).alias("new")))
+        newer = F.col("n").isNotNull() & (F.col("cost").isNull() | (F.col("n.cost") < F.col("cost")))
+        both = cut(best.join(step, ["fst", "id"], "full").select("fst", "id", F.when(newer, F.col("n")).otherwise(F.struct("cost", "labels")).alias("m"), newer.alias("new")))
         best = both.select("fst", "id", "m.cost", "m.labels")
         front = both.where("new").select("fst", "id", "m.cost", "m.labels")
-        if front.limit(1).count() == 0:
-            break
-    ends = best.join(nodes.where("accept is not null").withColumn("id", F.col("id").cast(kind) if kind != "struct<l:bigint,r:bigint>" else F.col("id")), ["fst", "id"])
+    ends = best.join(nodes.where("accept is not null").select("fst", F.col("id").cast("long").alias("id"), "accept"), ["fst", "id"])
     return ends.groupBy("fst").agg(F.min(F.struct((F.col("cost") + F.col("accept")).alias("cost"), "labels")).alias("m")).select("fst", "m.cost", "m.labels")
 
 

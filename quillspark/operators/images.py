@@ -225,24 +225,6 @@ def label_components(df: DataFrame, eight: bool = False) -> DataFrame:
     return r.join(label, "id").select("img", F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("x"), F.col("line").alias("y"), "label")
 
 
-def whole_distance_transform(df: DataFrame, metric: str = "squared") -> DataFrame:
-    """(img, x, y, distance) to the nearest nonzero pixel at any distance: L1, chessboard or squared Euclidean.
-
-    Separable: first the nearest nonzero pixel of each column, then the best column for each
-    pixel of a row. Null only in images without a nonzero pixel.
-    """
-    seeds = df.where("v <> 0").select("img", "x", "y", F.col("y").alias("at")).distinct()
-    grid = seeds.select("img", "x").distinct().join(df.select("img", "y").distinct(), "img").join(seeds, list(XY), "left")
-    column = Window.partitionBy("img", "x").orderBy("y")
-    above = F.last("at", ignorenulls=True).over(column)
-    below = F.first("at", ignorenulls=True).over(column.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    up = grid.select("img", F.col("x").alias("from"), "y", F.least(F.col("y") - above, below - F.col("y")).cast("long").alias("b"))
-    a, b = F.abs(F.col("x") - F.col("from")).cast("long"), F.col("b")
-    size = {"l1": a + b, "max": F.greatest(a, b), "squared": a * a + b * b}[metric]
-    near = df.select(*XY).join(up, ["img", "y"]).groupBy(*XY).agg(F.min(size).alias("distance"))
-    return df.select(*XY).join(near, list(XY), "left")
-
-
 def distance_transform(df: DataFrame, most: int, metric: str = "squared") -> DataFrame:
     """(img, x, y, distance) to the nearest nonzero pixel within `most`: L1, chessboard or squared Euclidean."""
     size = {"l1": lambda a, b: abs(a) + abs(b), "max": lambda a, b: max(abs(a), abs(b)), "squared": lambda a, b: a * a + b * b}[metric]

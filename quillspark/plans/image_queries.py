@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillspark.operators import curves as C
 from quillspark.operators import images as I
+from quillspark.operators import nearest as N
 from quillspark.operators import stats as S
+from quillspark.operators import zones as Y
 from quillspark.plans.query import Query, table
 
 PX = "WITH px AS (SELECT p_partkey // 2000 AS img, CAST(p_partkey % 40 AS INTEGER) AS x, CAST((p_partkey % 2000) // 40 AS INTEGER) AS y, CAST(p_size * 5 AS INTEGER) AS v FROM part), e AS (SELECT *, min(x) OVER w AS x0, max(x) OVER w + 1 AS x1, min(y) OVER w AS y0, max(y) OVER w + 1 AS y1, min(v) OVER w AS lo, max(v) OVER w AS hi FROM px WINDOW w AS (PARTITION BY img)), bw AS (SELECT img, x, y, CASE WHEN v < 125 THEN 0 ELSE 255 END AS v FROM px) "
@@ -24,6 +27,34 @@ def _black(f): return lambda spark, d: f(black(spark, d))
 def _runs(f): return lambda spark, d: f(run_table(spark, d))
 
 
+def seeds(spark, d):
+    """Label images: some parts are seeds of 23 labels, some are undecided, the others are background."""
+    k = F.col("p_partkey")
+    p = table(spark, d, "part").select(F.expr("p_partkey div 2000").alias("img"), (k % 40).cast("int").alias("x"), F.expr("cast((p_partkey % 2000) div 40 as int)").alias("y"), k)
+    label = F.when(F.col("p_partkey") % 37 == 5, F.col("p_partkey") % 23 + 1).when(F.col("p_partkey") % 11 == 3, N.DONTCARE).otherwise(0)
+    return p.select("img", "x", "y", label.cast("int").alias("label"))
+
+
+SEEDS = f"WITH z AS (SELECT p_partkey // 2000 AS img, CAST(p_partkey % 40 AS INTEGER) AS x, CAST((p_partkey % 2000) // 40 AS INTEGER) AS y, CAST(CASE WHEN p_partkey % 37 = 5 THEN p_partkey % 23 + 1 WHEN p_partkey % 11 = 3 THEN {N.DONTCARE} ELSE 0 END AS INTEGER) AS label, p_size FROM part)"
+# Of equally near seeds that of least x, in it the nearer row, then the upper one.
+_NEAR_LABEL = "arg_min(z.label, CAST((z.x - a.x) * (z.x - a.x) + (z.y - a.y) * (z.y - a.y) AS BIGINT) * 100000000 + z.x * 10000 + abs(z.y - a.y) * 100 + z.y)"
+_SPREAD = ", n AS (SELECT a.img, a.x, a.y, " + _NEAR_LABEL + " AS near FROM z a JOIN z ON a.img = z.img WHERE {of} GROUP BY 1, 2, 3) SELECT z.img, z.x, z.y, CASE WHEN {to} THEN coalesce(near, z.label) ELSE z.label END AS label FROM z LEFT JOIN n ON z.img = n.img AND z.x = n.x AND z.y = n.y"
+_ONTO = ", n AS (SELECT a.img, a.x, a.y, " + _NEAR_LABEL + " AS near FROM z a JOIN z ON a.img = z.img WHERE z.label <> 0 GROUP BY 1, 2, 3) SELECT z.img, z.x, z.y, CASE WHEN p_size * 5 >= 125 THEN coalesce(near, 255) ELSE 0 END AS label FROM z LEFT JOIN n ON z.img = n.img AND z.x = n.x AND z.y = n.y"
+
+
+def page_ink(spark, d):
+    """Pages of sixty parts: two columns of five paragraphs of six lines, each line as long as its part's size."""
+    line = F.expr("cast((p_partkey % 30) div 6 * 10 + p_partkey % 6 as int)")
+    start = F.expr("cast((p_partkey % 60) div 30 * 60 as int)")
+    p = table(spark, d, "part").select(F.expr("p_partkey div 60").alias("img"), line.alias("y"), start.alias("_from"), "p_size")
+    return p.select("img", F.explode(F.sequence(F.col("_from"), F.col("_from") + F.col("p_size") - 1)).alias("x"), "y", F.lit(120).alias("width"), F.lit(50).alias("height"))
+
+
+def _skeleton(p):
+    """A whole image whose ink is the skeleton of p."""
+    return p.select("img", "x", "y").join(C.thin(p).withColumn("v", F.lit(255)), ["img", "x", "y"], "left").fillna(0, ["v"])
+
+
 def _boxes_of(spark, d):
     return spark.sql("SELECT 0L AS img, 3 AS x0, 1 AS y0, 9 AS x1, 4 AS y1 UNION ALL SELECT 0L, 20, 2, 25, 5")
 
@@ -100,9 +131,16 @@ QUERIES = {
     "image_or_shifted": Query(_black(lambda p: I.pixel_or(p, p, 1, 0)), PX + "SELECT DISTINCT img, x, y, 255 AS v FROM (SELECT img, x, y FROM bw WHERE v <> 0 UNION ALL SELECT img, x + 1, y FROM bw WHERE v <> 0)"),
     "image_otsu": Query(_pixel(lambda p: S.otsu(S.histogram(p, F.col("v"), ["img"]), ["img"])), PX + ", h AS (SELECT img, v AS bucket, count(*) AS n FROM px GROUP BY img, v), c AS (SELECT *, CAST(sum(n) OVER u AS DOUBLE) AS w0, CAST(sum(bucket * n) OVER u AS DOUBLE) AS s0, CAST(sum(n) OVER p AS DOUBLE) AS w, CAST(sum(bucket * n) OVER p AS DOUBLE) AS s FROM h WINDOW u AS (PARTITION BY img ORDER BY bucket), p AS (PARTITION BY img)), f AS (SELECT img, bucket, round(w0 * (w - w0) * (s0 / w0 - (s - s0) / (w - w0)) * (s0 / w0 - (s - s0) / (w - w0)), 3) AS b FROM c WHERE w0 < w) SELECT img, CAST(arg_min(bucket, -b * 1000 + bucket * 0.00001) AS INTEGER) AS threshold FROM f GROUP BY img"),
     "image_peaks": Query(_gauss, PX + "SELECT img, y, CAST(sum(CASE WHEN l < v AND r < v THEN 1 WHEN l IS NULL OR r IS NULL THEN NULL ELSE 0 END) AS BIGINT) AS peaks, CAST(sum(CASE WHEN v <= low AND v <= l AND v < r AND v <= 60 THEN 1 ELSE 0 END) AS BIGINT) AS minima FROM (SELECT *, lag(v) OVER (PARTITION BY img, y ORDER BY x) AS l, lead(v) OVER (PARTITION BY img, y ORDER BY x) AS r, min(v) OVER (PARTITION BY img, y ORDER BY x RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS low FROM px) GROUP BY img, y"),
-    "image_distance_squared": Query(_black(lambda p: I.whole_distance_transform(p, "squared")), PX + _NEAREST.format(size="(a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)")),
-    "image_distance_l1": Query(_black(lambda p: I.whole_distance_transform(p, "l1")), PX + _NEAREST.format(size="abs(a.x - b.x) + abs(a.y - b.y)")),
-    "image_distance_max": Query(_black(lambda p: I.whole_distance_transform(p, "max")), PX + _NEAREST.format(size="greatest(abs(a.x - b.x), abs(a.y - b.y))")),
+    "image_nearest_label": Query(lambda s, d: N.propagate_labels(seeds(s, d)), SEEDS + _SPREAD.format(of="z.label <> 0", to="z.label = 0")),
+    "image_nearest_label_onto": Query(lambda s, d: N.propagate_labels_to(black(s, d).withColumnRenamed("v", "label"), seeds(s, d)), SEEDS + _ONTO),
+    "image_remove_dontcares": Query(lambda s, d: N.remove_dontcares(seeds(s, d)), SEEDS + _SPREAD.format(of=f"z.label NOT IN (0, {N.DONTCARE})", to=f"z.label = {N.DONTCARE}")),
+    "page_zones": Query(lambda s, d: Y.xy_cut(page_ink(s, d), least_x=5, least_y=2).select("img", "x0", "y0", "x1", "y1"), "SELECT p_partkey // 60 AS img, CAST(min(col * 60) AS INTEGER) AS x0, CAST(min(line) AS INTEGER) AS y0, CAST(max(col * 60 + p_size) AS INTEGER) AS x1, CAST(max(line) + 1 AS INTEGER) AS y1 FROM (SELECT p_partkey, p_size, (p_partkey % 60) // 30 AS col, (p_partkey % 30) // 6 AS par, (p_partkey % 30) // 6 * 10 + p_partkey % 6 AS line FROM part) GROUP BY p_partkey // 60, col, par"),
+    "image_thin": Query(_black(C.thin)),
+    "image_chains": Query(_black(lambda p: C.trace_chains(_skeleton(p)))),
+    "image_polygons": Query(_black(lambda p: C.approximate(C.trace_chains(_skeleton(p)), ["img", "component", "nth"]))),
+    "image_distance_squared": Query(_black(lambda p: N.distance_transform(p, "squared")), PX + _NEAREST.format(size="(a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)")),
+    "image_distance_l1": Query(_black(lambda p: N.distance_transform(p, "l1")), PX + _NEAREST.format(size="abs(a.x - b.x) + abs(a.y - b.y)")),
+    "image_distance_max": Query(_black(lambda p: N.distance_transform(p, "max")), PX + _NEAREST.format(size="greatest(abs(a.x - b.x), abs(a.y - b.y))")),
     "image_components": Query(_black(lambda p: I.label_components(p).groupBy("img", "label").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("x0"), F.min("y").alias("y0")).drop("label")), PX.replace("WITH px", "WITH RECURSIVE px") + ", f AS (SELECT img, x, y, y * 40 + x AS id FROM bw WHERE v <> 0), c(img, x, y, id) AS (SELECT img, x, y, id FROM f UNION SELECT f.img, f.x, f.y, c.id FROM c JOIN f ON f.img = c.img AND abs(f.x - c.x) + abs(f.y - c.y) = 1 AND f.id >= 0), m AS (SELECT img, x, y, min(id) AS id FROM c GROUP BY img, x, y) SELECT img, count(*) AS n, min(x) AS x0, min(y) AS y0 FROM m GROUP BY img, id"),
     "image_profile_islands": Query(_profile),
     "runs_of_lines": Query(run_table, RUNS + 'SELECT img, line, start, "end" FROM r'),

@@ -12,6 +12,7 @@ from quillspark.operators import images as I
 from quillspark.operators import learning as N
 from quillspark.operators import profiles as P
 from quillspark.operators import relabel as R
+from quillspark.operators import search as Z
 from quillspark.operators import spatial as B
 from quillspark.operators import stats as S
 from quillspark.plans import components
@@ -88,6 +89,35 @@ def composed(s, d):
     return c.groupBy("fst", F.col("src.l").alias("l"), F.col("src.r").alias("r")).agg(F.count(F.lit(1)).alias("n"), F.min("cost").alias("least"))
 
 
+def composed_text(s, d):
+    """Orders as lattices of letters (two readings and a skip for each line), read under a letter model of their customers' nation."""
+    l = table(s, d, "lineitem")  # noqa: E741
+    n, k, price = F.col("l_linenumber"), F.col("l_orderkey").alias("fst"), F.col("l_extendedprice")
+    read = lambda letter, cost: l.select(k, (n - 1).alias("src"), n.alias("dst"), letter.cast("int").alias("inp"), letter.cast("int").alias("out"), cost.alias("cost"))
+    skip = l.select(k, (n - 1).alias("src"), n.alias("dst"), F.lit(0).alias("inp"), F.lit(0).alias("out"), (price * 3 + 1).alias("cost"))
+    lattice = read(97 + F.col("l_partkey") % 6, price).unionByName(read(97 + F.col("l_suppkey") % 6, price * 1.25)).unionByName(skip)
+    ends = l.groupBy(k).agg(F.max("l_linenumber").alias("n"))
+    lattice_nodes = ends.select("fst", F.explode(F.sequence(F.lit(0), "n")).alias("id"), "n").select("fst", "id", F.when(F.col("id") == F.col("n"), 0.0).alias("accept"))
+    # Two states: after a vowel and after a consonant; vowels after vowels cost more, and each order adds its own price.
+    moves = [(src, letter, letter in (97, 101)) for src in (0, 1) for letter in range(97, 103)]
+    values = lambda src, letter, vowel: {"src": src, "dst": int(vowel), "inp": letter, "out": letter - 32 * vowel, "w": 3.0 if src and vowel else 1.0}
+    rules = F.array(*(F.struct(*(F.lit(v).alias(c) for c, v in values(*m).items())) for m in moves))
+    orders = table(s, d, "orders").select(F.col("o_orderkey").alias("fst"), F.col("o_totalprice").alias("_p"))
+    model = orders.select("fst", "_p", F.explode(rules).alias("m")).select("fst", "m.src", "m.dst", "m.inp", "m.out", (F.col("m.w") * F.col("_p") / 100).alias("cost"))
+    model_nodes = orders.select("fst", F.explode(F.array(F.lit(0), F.lit(1))).alias("id"), F.lit(0.0).alias("accept"))
+    return Z.texts((lattice, lattice_nodes), (model, model_nodes)).select("fst", F.round("cost", 4).alias("cost"), "text")
+
+
+COMPOSED = """WITH RECURSIVE a AS (SELECT l_orderkey AS fst, l_linenumber AS dst, 97 + l_partkey % 6 AS lab, l_extendedprice AS cost FROM lineitem
+    UNION ALL SELECT l_orderkey, l_linenumber, 97 + l_suppkey % 6, l_extendedprice * 1.25 FROM lineitem UNION ALL SELECT l_orderkey, l_linenumber, 0, l_extendedprice * 3 + 1 FROM lineitem),
+    p(fst, at, vowel, cost, text) AS (SELECT DISTINCT l_orderkey, 0, false, CAST(0 AS DOUBLE), '' FROM lineitem
+    UNION ALL SELECT p.fst, a.dst, CASE WHEN lab = 0 THEN vowel ELSE lab IN (97, 101) END, p.cost + a.cost + CASE WHEN lab = 0 THEN 0 WHEN vowel AND lab IN (97, 101) THEN 3 * o_totalprice / 100 ELSE o_totalprice / 100 END,
+        text || CASE WHEN lab = 0 THEN '' WHEN lab IN (97, 101) THEN chr(CAST(lab - 32 AS INTEGER)) ELSE chr(CAST(lab AS INTEGER)) END
+        FROM p JOIN a ON a.fst = p.fst AND a.dst = p.at + 1 JOIN orders o ON o.o_orderkey = p.fst),
+    n AS (SELECT l_orderkey AS fst, max(l_linenumber) AS n FROM lineitem GROUP BY 1)
+    SELECT p.fst, round(min(cost), 4) AS cost, arg_min(text, cost) AS text FROM p JOIN n ON n.fst = p.fst AND p.at = n.n GROUP BY p.fst"""
+
+
 def text_lines(s, d):
     arcs_, nodes_ = W.line(lines(s, d), "item_id", "truth")
     return W.best_paths(arcs_, nodes_).select("fst", "cost", F.md5(W.to_text(F.col("labels"))).alias("text_md5"))
@@ -165,10 +195,12 @@ QUERIES = {
     "text_dictionary": Query(lambda s, d: table(s, d, "documents").select("doc_id", F.explode(F.array_distinct(T.split_string(F.lower("text")))).alias("word")).join(table(s, d, "benchmark").select(F.explode(T.split_string(F.lower("text"))).alias("word")).distinct(), "word", "left_semi").groupBy("doc_id").agg(F.count(F.lit(1)).alias("known")), "WITH b AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[ \\t\\n]')) AS word FROM benchmark), d AS (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(lower(text), '[ \\t\\n]')) AS word FROM documents) SELECT doc_id, count(*) AS known FROM d WHERE word <> '' AND word IN (SELECT word FROM b) GROUP BY 1"),
     "fst_best_arcs": Query(lambda s, d: W.best_arcs_only(arcs(s, d)).select("fst", "src", "dst", "cost"), ARCS.replace("WITH RECURSIVE", "WITH") + "SELECT * FROM best"),
     "fst_best_paths": Query(lambda s, d: (lambda a: W.best_paths(W.best_arcs_only(a), nodes(a)).select("fst", "cost"))(arcs(s, d)), ARCS + ", p(fst, id, cost) AS (SELECT DISTINCT fst, 0, CAST(0 AS DOUBLE) FROM best UNION SELECT p.fst, b.dst, p.cost + b.cost FROM p JOIN best b ON b.fst = p.fst AND b.src = p.id) SELECT fst, min(cost) AS cost FROM p WHERE id = 7 GROUP BY fst"),
+    "fst_cost_to_accept": Query(lambda s, d: (lambda a: Z.cost_to_accept(W.best_arcs_only(a), nodes(a)).select("fst", "id", "h"))(arcs(s, d)), ARCS + ", p(fst, id, cost) AS (SELECT DISTINCT fst, 7, CAST(0 AS DOUBLE) FROM best UNION SELECT p.fst, b.src, p.cost + b.cost FROM p JOIN best b ON b.fst = p.fst AND b.dst = p.id) SELECT fst, CAST(id AS BIGINT) AS id, min(cost) AS h FROM p GROUP BY ALL"),
+    "fst_composed_text": Query(composed_text, COMPOSED),
     "fst_beam_paths": Query(lambda s, d: (lambda a: W.best_paths(W.best_arcs_only(a), nodes(a), beam=3).select("fst", "cost"))(arcs(s, d))),
     "fst_reverse": Query(lambda s, d: (lambda a: W.reverse(W.best_arcs_only(a), nodes(a))[0].select("fst", "src", "dst", "cost"))(arcs(s, d)), ARCS.replace("WITH RECURSIVE", "WITH") + "SELECT fst, dst AS src, src AS dst, cost FROM best UNION ALL SELECT DISTINCT fst, -1, 7, CAST(0 AS DOUBLE) FROM arcs WHERE dst = 7"),
     "fst_closure": Query(lambda s, d: (lambda a: W.closure(W.best_arcs_only(a), nodes(a)).groupBy("fst").agg(F.count(F.lit(1)).alias("n")))(arcs(s, d)), ARCS.replace("WITH RECURSIVE", "WITH") + "SELECT fst, count(*) + max(CASE WHEN dst = 7 THEN 1 ELSE 0 END) AS n FROM best GROUP BY fst"),
-    "fst_compose": Query(composed),
+    "fst_compose": Query(composed, ARCS.replace("WITH RECURSIVE", "WITH") + ", b AS (SELECT fst, src, dst, cost, lab FROM (SELECT *, row_number() OVER (PARTITION BY fst, src, dst ORDER BY cost, lab) AS k FROM arcs) WHERE k = 1), n AS (SELECT fst, src AS id FROM b UNION SELECT fst, dst FROM b), c AS (SELECT x.fst, x.src AS l, y.src AS r, x.cost + y.cost AS cost FROM b x JOIN b y ON x.fst = y.fst AND x.lab = y.lab WHERE x.lab <> 0 UNION ALL SELECT b.fst, src, id, cost FROM b JOIN n ON b.fst = n.fst WHERE lab = 0 UNION ALL SELECT b.fst, id, src, cost FROM b JOIN n ON b.fst = n.fst WHERE lab = 0) SELECT fst, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, count(*) AS n, min(cost) AS least FROM c GROUP BY 1, 2, 3"),
     "fst_text_lines": Query(text_lines, LINES + "SELECT item_id AS fst, CAST(0 AS DOUBLE) AS cost, md5(truth) AS text_md5 FROM l"),
     "knn_neighbours": Query(lambda s, d: N.nearest(points(s, d), points(s, d), 3).select("id", "rank", "other", "distance"), KNN + "SELECT id, CAST(rank AS INTEGER) AS rank, other, distance FROM k WHERE rank <= 3"),
     "knn_posterior": Query(posteriors, KNN + "SELECT id, cls, count(*) / 5 AS share FROM k WHERE rank <= 5 GROUP BY 1, 2"),

@@ -5,6 +5,7 @@ import pytest
 from quillspark.operators import edges as G
 from quillspark.operators import evaluation as E
 from quillspark.operators import images as I
+from quillspark.operators import nearest
 from quillspark.operators import resample as M
 from quillspark.plans import image_queries, table_queries
 
@@ -58,7 +59,7 @@ def test_distance_reaches_any_pixel(spark):
     rows = [(0, x, y, float((x, y) in seeds)) for x in range(20) for y in range(15) if (x, y) != (9, 14)] + [(1, 0, 0, 0.0)]
     sizes = {"l1": lambda a, b: a + b, "max": max, "squared": lambda a, b: a * a + b * b}
     for metric, size in sizes.items():
-        got = {(r["img"], r["x"], r["y"]): r["distance"] for r in I.whole_distance_transform(pixel_table(spark, rows), metric).collect()}
+        got = {(r["img"], r["x"], r["y"]): r["distance"] for r in nearest.distance_transform(pixel_table(spark, rows), metric).collect()}
         assert got == {(i, x, y): None if i else min(size(abs(x - a), abs(y - b)) for a, b in seeds) for i, x, y, _ in rows}
 
 
