@@ -14,28 +14,41 @@ from quillspark.llm import decontam, mixing, packing, quality, similar
 from quillspark.llm.common import reliable, table
 
 
+#: Rows that Spark hands to a Python worker at a time; both sides hold them whole, so long texts come in few.
+BATCH_ROWS = 1_000
+
+
+def _few_rows(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject."""
+    _few_rows(spark)
     return quality.keep_good(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: that of the least id."""
+    _few_rows(spark)
     return similar.keep_one(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark passage."""
+    _few_rows(spark)
     return decontam.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document at least once, and more often as its source's weight asks."""
+    _few_rows(spark)
     return mixing.mix_documents(docs)
 
 
 def token_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packed rows of token ids."""
+    _few_rows(spark)
     return packing.pack(docs)
 
 
