@@ -25,7 +25,6 @@ _INK, _PAPER = [(0, 0), (1, 0)], [(-1, 0), (0, 1)]
 
 
 def line_boxes(s, d): return boxes(s, d)[0].withColumn("line", F.expr("cast(y0 div 100 as int)"))
-def few_lines(s, d): return boxes(s, d)[0].where("id % 5 = 0")
 def _words(s, d): return table(s, d, "benchmark").select("item_id", F.posexplode(T.split_string(F.col("text"))).alias("place", "word"))
 
 
@@ -101,13 +100,13 @@ QUERIES = {
     "image_endpoints": Query(lambda s, d: K.skeleton_points(black(s, d), lambda n: n == 1), _POINTS.format(test="n.n = 1")),
     "image_junctions": Query(lambda s, d: K.skeleton_points(black(s, d), lambda n: n > 2), _POINTS.format(test="n.n > 2")),
     "image_zero_crossings": Query(lambda s, d: K.zero_crossings(pixels(s, d).withColumn("v", F.col("v") - 125)), PX + ", s AS (SELECT img, x, y, sign(v - 125) AS s FROM px), z AS (SELECT a.img, a.x, a.y, bool_or(b.s <> a.s) AS z FROM s a LEFT JOIN s b ON a.img = b.img AND ((b.x = a.x + 1 AND b.y = a.y + 1) OR (b.x = a.x AND b.y = a.y + 1) OR (b.x = a.x + 1 AND b.y = a.y) OR (b.x = a.x - 1 AND b.y = a.y + 1)) GROUP BY 1, 2, 3) SELECT z.img, z.x, z.y, CASE WHEN z AND z.x > x0 AND z.x < x1 - 1 AND z.y > y0 AND z.y < y1 - 1 THEN 1 ELSE 0 END AS v FROM z JOIN e ON z.img = e.img AND z.x = e.x AND z.y = e.y"),
-    "line_precedence": Query(lambda s, d: L.precedence(few_lines(s, d)), BOX + ", l AS (SELECT * FROM a WHERE id % 5 = 0), p AS (SELECT a.img, a.id AS i, b.id AS j, a.x0 AS ax0, a.x1 AS ax1, a.y0 AS ay0, a.y1 AS ay1, b.x0 AS bx0, b.x1 AS bx1, b.y0 AS by0, b.y1 AS by1 FROM l a JOIN l b ON a.img = b.img AND a.id < b.id), q AS (SELECT *, ax1 >= bx0 AND bx1 >= ax0 AS o FROM p), r AS (SELECT img, i, j, CASE WHEN o THEN ay1 > by1 ELSE ax1 <= bx0 END AS f FROM q WHERE o OR NOT EXISTS (SELECT 1 FROM l s WHERE s.img = q.img AND s.x1 >= ax0 AND ax1 >= s.x0 AND s.x1 >= bx0 AND bx1 >= s.x0 AND s.y0 > least(ay0, by0) AND s.y0 < greatest(ay0, by0))) SELECT img, CASE WHEN f THEN i ELSE j END AS \"first\", CASE WHEN f THEN j ELSE i END AS \"then\" FROM r"),
+    "line_precedence": Query(lambda s, d: L.precedence(boxes(s, d)[0]), BOX + ", l AS (SELECT * FROM a), p AS (SELECT a.img, a.id AS i, b.id AS j, a.x0 AS ax0, a.x1 AS ax1, a.y0 AS ay0, a.y1 AS ay1, b.x0 AS bx0, b.x1 AS bx1, b.y0 AS by0, b.y1 AS by1 FROM l a JOIN l b ON a.img = b.img AND a.id < b.id), q AS (SELECT *, ax1 >= bx0 AND bx1 >= ax0 AS o FROM p), r AS (SELECT img, i, j, CASE WHEN o THEN ay1 > by1 ELSE ax1 <= bx0 END AS f FROM q WHERE o OR NOT EXISTS (SELECT 1 FROM l s WHERE s.img = q.img AND s.x1 >= ax0 AND ax1 >= s.x0 AND s.x1 >= bx0 AND bx1 >= s.x0 AND s.y0 > least(ay0, by0) AND s.y0 < greatest(ay0, by0))) SELECT img, CASE WHEN f THEN i ELSE j END AS \"first\", CASE WHEN f THEN j ELSE i END AS \"then\" FROM r"),
     "box_good_dimensions": Query(lambda s, d: L.good_dimensions(boxes(s, d)[0], (0.1, 20.0), 0.5, 8, 5).select("img", "id"), BOX + "SELECT img, id FROM a WHERE y1 > y0 AND (x1 - x0)::DOUBLE / (y1 - y0) BETWEEN 0.1 AND 20 AND abs(log2((x1 - x0)::DOUBLE / (y1 - y0))) >= 0.5 AND x1 - x0 >= 8 AND y1 - y0 >= 5"),
     "box_inside_page": Query(lambda s, d: L.inside_page(boxes(s, d)[0], 500, 700, 20).select("img", "id"), BOX + "SELECT img, id FROM a WHERE x1 - x0 < 500 AND y1 - y0 < 700 AND x0 >= 20 AND y0 >= 20 AND x1 <= 480 AND y1 <= 680"),
     "row_words": Query(lambda s, d: L.words_of_rows(line_boxes(s, d), 4), _ROWS + ", s AS (SELECT *, CASE WHEN b IS NULL OR x0 - b > 4 THEN 1 ELSE 0 END AS new FROM (SELECT *, max(x1) OVER (PARTITION BY img, line ORDER BY x0, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM t)), w AS (SELECT *, CAST(sum(new) OVER (PARTITION BY img, line ORDER BY x0, id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS word FROM s) SELECT img, line, word, min(x0) AS x0, max(x1) AS x1, count(*) AS n FROM w GROUP BY 1, 2, 3"),
     "row_gaps": Query(lambda s, d: L.row_spacing(line_boxes(s, d)).withColumn("mean_gap", F.round("mean_gap", 6)), _ROWS + ", g AS (SELECT img, line, x0 - lag(x1) OVER (PARTITION BY img, line ORDER BY x0, id) AS gap FROM t) SELECT img, line, count(*) AS n, round(avg(gap), 6) AS mean_gap, min(gap) AS narrowest, max(gap) AS widest FROM g WHERE gap IS NOT NULL GROUP BY 1, 2"),
     "row_height_mode": Query(lambda s, d: L.row_height_mode(line_boxes(s, d)), _ROWS + ", h AS (SELECT img, line, y1 - y0 AS height, count(*) AS n, row_number() OVER (PARTITION BY img, line ORDER BY count(*) DESC, y1 - y0) AS k FROM t GROUP BY img, line, y1 - y0) SELECT img, line, height, n FROM h WHERE k = 1"),
-    "line_paragraphs": Query(lambda s, d: L.paragraphs(few_lines(s, d), 60, 1.5), BOX + ", l AS (SELECT *, lag(id) OVER w AS b, lag(y0) OVER w AS y_before, lag(x0) OVER w AS x_before FROM a WHERE id % 5 = 0 WINDOW w AS (PARTITION BY img ORDER BY y1 DESC, id)) SELECT img, id, CAST(sum(CASE WHEN b IS NULL OR y_before - y1 > 1.5 * (y1 - y0) OR x0 - x_before >= 60 THEN 1 ELSE 0 END) OVER (PARTITION BY img ORDER BY y1 DESC, id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS paragraph FROM l"),
+    "line_paragraphs": Query(lambda s, d: L.paragraphs(boxes(s, d)[0], 60, 1.5), BOX + ", l AS (SELECT *, lag(id) OVER w AS b, lag(y0) OVER w AS y_before, lag(x0) OVER w AS x_before FROM a WINDOW w AS (PARTITION BY img ORDER BY y1 DESC, id)) SELECT img, id, CAST(sum(CASE WHEN b IS NULL OR y_before - y1 > 1.5 * (y1 - y0) OR x0 - x_before >= 60 THEN 1 ELSE 0 END) OVER (PARTITION BY img ORDER BY y1 DESC, id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS paragraph FROM l"),
     "sink_box_lines": Query(lambda s, d: boxes(s, d)[0].select("id", L.box_line(F.lit("x"), "x0", "y0", "x1", "y1").alias("box")), BOX + "SELECT id, 'x ' || x0 || ' ' || y0 || ' ' || x1 || ' ' || y1 AS box FROM a"),
     "sink_page_text": Query(lambda s, d: L.page_text(_words(s, d), "item_id", ["place"], "word"), "SELECT item_id, array_to_string(list_filter(regexp_split_to_array(text, '[ \\t\\n]'), lambda x: x <> ''), ' ') AS text FROM benchmark"),
     "word_certainties": Query(lambda s, d: L.uniform_certainties(table(s, d, "lineitem").withColumn("c", -F.col("l_quantity")), "l_orderkey", "c", 1.5, -2.0), "WITH c AS (SELECT l_orderkey, count(*) AS n, min(-l_quantity) AS worst, sum(-l_quantity) AS s, sum(l_quantity * l_quantity) AS q FROM lineitem GROUP BY 1), m AS (SELECT *, n - 1 AS k, s - worst AS t, q - worst * worst AS r FROM c) SELECT l_orderkey, CASE WHEN n < 3 THEN true ELSE worst >= least(t / k - 1.5 * sqrt(greatest(0, (k * r - t * t) / nullif(k * (k - 1), 0))), -2) END AS uniform FROM m"),

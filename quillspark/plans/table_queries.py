@@ -17,12 +17,13 @@ from quillspark.operators import spatial as B
 from quillspark.operators import stats as S
 from quillspark.plans import components
 from quillspark.plans.query import Query, table
+from quillspark.sources import automaton_files as Q
 from quillspark.sources import formats
 from quillspark.streaming import frames
 
 H = "WITH h AS (SELECT l_returnflag, CAST(l_quantity AS INTEGER) AS bucket, count(*) AS n FROM lineitem GROUP BY 1, 2) "
 C = "WITH h AS (SELECT l_returnflag, CAST(l_quantity AS INTEGER) AS bucket, count(*) AS n FROM lineitem GROUP BY 1, 2), c AS (SELECT *, CAST(sum(n) OVER (PARTITION BY l_returnflag ORDER BY bucket) AS BIGINT) AS upto, CAST(sum(n) OVER (PARTITION BY l_returnflag) AS BIGINT) AS total FROM h) "
-BOX = "WITH bx AS (SELECT p_partkey % 8 AS img, p_partkey AS id, CAST((p_partkey * 37) % 500 AS INTEGER) AS x0, CAST((p_partkey * 91) % 700 AS INTEGER) AS y0, p_size FROM part), a AS (SELECT img, id, x0, y0, x0 + p_size + 1 AS x1, y0 + p_size % 17 + 3 AS y1 FROM bx), b AS (SELECT img, id, (x0 * 3) % 480 AS x0, (y0 * 7) % 690 AS y0, (x0 * 3) % 480 + 20 AS x1, (y0 * 7) % 690 + 12 AS y1 FROM bx) "
+BOX = "WITH bx AS (SELECT p_partkey // 50 AS img, p_partkey AS id, CAST((p_partkey * 37) % 500 AS INTEGER) AS x0, CAST((p_partkey * 91) % 700 AS INTEGER) AS y0, p_size FROM part), a AS (SELECT img, id, x0, y0, x0 + p_size + 1 AS x1, y0 + p_size % 17 + 3 AS y1 FROM bx), b AS (SELECT img, id, (x0 * 3) % 480 AS x0, (y0 * 7) % 690 AS y0, (x0 * 3) % 480 + 20 AS x1, (y0 * 7) % 690 + 12 AS y1 FROM bx) "
 LINES = "WITH t AS (SELECT item_id, regexp_replace(text, '[^\\x20-\\x7F]', '', 'g') AS truth FROM benchmark), l AS (SELECT item_id, truth, replace(replace(truth, 'th', 'tn'), 'er', 'e') AS predicted FROM t) "
 ARCS = "WITH RECURSIVE arcs AS (SELECT l_suppkey % 20 AS fst, l_linenumber - 1 AS src, l_linenumber AS dst, CAST(97 + l_partkey % 26 AS INTEGER) AS lab, l_quantity AS cost FROM lineitem UNION ALL SELECT l_suppkey % 20, l_linenumber - 1, l_linenumber + 1, 0, l_quantity + 3 FROM lineitem WHERE l_linenumber < 7), best AS (SELECT fst, src, dst, min(cost) AS cost FROM arcs GROUP BY fst, src, dst) "
 KNN = "WITH v AS (SELECT vec_id AS id, label AS cls, list_transform(embedding, lambda x: round(CAST(x AS DOUBLE) * 100)) AS a FROM embeddings), d AS (SELECT q.id, r.id AS other, q.cls AS own, r.cls AS cls, list_inner_product(q.a, q.a) + list_inner_product(r.a, r.a) - 2 * list_inner_product(q.a, r.a) AS distance FROM v q JOIN v r ON q.id <> r.id), k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, other) AS rank FROM d) "
@@ -33,7 +34,7 @@ def hist(s, d, by=("l_returnflag",)): return S.histogram(table(s, d, "lineitem")
 
 def boxes(s, d):
     k = F.col("p_partkey")
-    p = table(s, d, "part").select((k % 8).alias("img"), k.alias("id"), ((k * 37) % 500).cast("int").alias("x0"), ((k * 91) % 700).cast("int").alias("y0"), "p_size")
+    p = table(s, d, "part").select(F.expr("p_partkey div 50").alias("img"), k.alias("id"), ((k * 37) % 500).cast("int").alias("x0"), ((k * 91) % 700).cast("int").alias("y0"), "p_size")
     a = p.select("img", "id", "x0", "y0", (F.col("x0") + F.col("p_size") + 1).alias("x1"), (F.col("y0") + F.col("p_size") % 17 + 3).alias("y1"))
     x, y = (F.col("x0") * 3) % 480, (F.col("y0") * 7) % 690
     return a, p.select("img", "id", x.alias("x0"), y.alias("y0"), (x + 20).alias("x1"), (y + 12).alias("y1"))
@@ -110,12 +111,12 @@ def composed_text(s, d):
 
 COMPOSED = """WITH RECURSIVE a AS (SELECT l_orderkey AS fst, l_linenumber AS dst, 97 + l_partkey % 6 AS lab, l_extendedprice AS cost FROM lineitem
     UNION ALL SELECT l_orderkey, l_linenumber, 97 + l_suppkey % 6, l_extendedprice * 1.25 FROM lineitem UNION ALL SELECT l_orderkey, l_linenumber, 0, l_extendedprice * 3 + 1 FROM lineitem),
-    p(fst, at, vowel, cost, text) AS (SELECT DISTINCT l_orderkey, 0, false, CAST(0 AS DOUBLE), '' FROM lineitem
+    p(fst, pos, vowel, cost, text) AS (SELECT DISTINCT l_orderkey, 0, false, CAST(0 AS DOUBLE), '' FROM lineitem
     UNION ALL SELECT p.fst, a.dst, CASE WHEN lab = 0 THEN vowel ELSE lab IN (97, 101) END, p.cost + a.cost + CASE WHEN lab = 0 THEN 0 WHEN vowel AND lab IN (97, 101) THEN 3 * o_totalprice / 100 ELSE o_totalprice / 100 END,
         text || CASE WHEN lab = 0 THEN '' WHEN lab IN (97, 101) THEN chr(CAST(lab - 32 AS INTEGER)) ELSE chr(CAST(lab AS INTEGER)) END
-        FROM p JOIN a ON a.fst = p.fst AND a.dst = p.at + 1 JOIN orders o ON o.o_orderkey = p.fst),
+        FROM p JOIN a ON a.fst = p.fst AND a.dst = p.pos + 1 JOIN orders o ON o.o_orderkey = p.fst),
     n AS (SELECT l_orderkey AS fst, max(l_linenumber) AS n FROM lineitem GROUP BY 1)
-    SELECT p.fst, round(min(cost), 4) AS cost, arg_min(text, cost) AS text FROM p JOIN n ON n.fst = p.fst AND p.at = n.n GROUP BY p.fst"""
+    SELECT p.fst, round(min(cost), 4) AS cost, arg_min(text, cost) AS text FROM p JOIN n ON n.fst = p.fst AND p.pos = n.n GROUP BY p.fst"""
 
 
 def text_lines(s, d):
@@ -196,6 +197,7 @@ QUERIES = {
     "fst_best_arcs": Query(lambda s, d: W.best_arcs_only(arcs(s, d)).select("fst", "src", "dst", "cost"), ARCS.replace("WITH RECURSIVE", "WITH") + "SELECT * FROM best"),
     "fst_best_paths": Query(lambda s, d: (lambda a: W.best_paths(W.best_arcs_only(a), nodes(a)).select("fst", "cost"))(arcs(s, d)), ARCS + ", p(fst, id, cost) AS (SELECT DISTINCT fst, 0, CAST(0 AS DOUBLE) FROM best UNION SELECT p.fst, b.dst, p.cost + b.cost FROM p JOIN best b ON b.fst = p.fst AND b.src = p.id) SELECT fst, min(cost) AS cost FROM p WHERE id = 7 GROUP BY fst"),
     "fst_cost_to_accept": Query(lambda s, d: (lambda a: Z.cost_to_accept(W.best_arcs_only(a), nodes(a)).select("fst", "id", "h"))(arcs(s, d)), ARCS + ", p(fst, id, cost) AS (SELECT DISTINCT fst, 7, CAST(0 AS DOUBLE) FROM best UNION SELECT p.fst, b.src, p.cost + b.cost FROM p JOIN best b ON b.fst = p.fst AND b.dst = p.id) SELECT fst, CAST(id AS BIGINT) AS id, min(cost) AS h FROM p GROUP BY ALL"),
+    "source_automaton_files": Query(lambda s, d: (lambda a: Q.read_automata(Q.write_automata(a, nodes(a)))[0].select(F.col("fst").cast("long").alias("fst"), "src", "dst", "cost"))(W.best_arcs_only(arcs(s, d))), ARCS.replace("WITH RECURSIVE", "WITH") + "SELECT fst, src, dst, cost FROM best"),
     "fst_composed_text": Query(composed_text, COMPOSED),
     "fst_beam_paths": Query(lambda s, d: (lambda a: W.best_paths(W.best_arcs_only(a), nodes(a), beam=3).select("fst", "cost"))(arcs(s, d))),
     "fst_reverse": Query(lambda s, d: (lambda a: W.reverse(W.best_arcs_only(a), nodes(a))[0].select("fst", "src", "dst", "cost"))(arcs(s, d)), ARCS.replace("WITH RECURSIVE", "WITH") + "SELECT fst, dst AS src, src AS dst, cost FROM best UNION ALL SELECT DISTINCT fst, -1, 7, CAST(0 AS DOUBLE) FROM arcs WHERE dst = 7"),
