@@ -18,6 +18,8 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.llm.common import named
+
 # Fixed values of the contract.
 KINDS = ("assign", "access", "hex", "markov")
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -30,47 +32,49 @@ RUN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 #: Nats per transition in favour of the random model.
 THRESHOLD = 0.35
-#: Documents that lend identifiers to the labelled sample, and words from each of them.
-SAMPLE_DOCS, SAMPLE_WORDS, RANDOM_STRINGS = 2000, 200, 4000
+#: The bounded labelled sample: documents whose whole texts lend ordinary identifiers, and counters whose digests are the random strings.
+SAMPLE_DOCS, RANDOM_STRINGS = 2000, 4000
 
 _SPAN = "struct<kind:int,start:int,end:int,score:double>"
 
 
 def labelled_samples(docs: DataFrame, text: str = "text", n_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """(value, random): ordinary identifiers from a bounded sample of documents, and digest strings.
+    """(value, random, n): ordinary identifiers from a bounded sample of documents, and digest strings; n counts a value's occurrences.
 
     The sample is the n_docs texts of the smallest hash, so it does not depend on the order of
-    the rows. Ordinary: their words, pairs of words joined by an underscore, slash or hyphen or
-    in camel case, and decimal numbers. Random: SHA-256 digests of a counter in hexadecimal and base64.
+    the rows. Ordinary: all words of these whole texts, pairs of words joined by an underscore, slash or hyphen or
+    in camel case, and decimal numbers. Random: SHA-256 digests of a counter up to RANDOM_STRINGS in hexadecimal and base64.
     """
     spark = docs.sparkSession
-    body = F.coalesce(F.col(text), F.lit(""))
+    body = F.coalesce(named(text), F.lit(""))
     # The n_docs-th smallest hash first, so that no text is moved.
     last = docs.select(F.xxhash64(body).alias("h")).distinct().orderBy("h").limit(n_docs).agg(F.max("h").alias("h")).first()["h"]
     few = docs.select(body.alias("body"), F.xxhash64(body).alias("h")).where(F.col("h") <= F.lit(last if last is not None else 0)).dropDuplicates(["h"])
-    word = few.select(F.explode(F.slice(F.regexp_extract_all("body", F.lit("[A-Za-z]{2,}"), F.lit(0)), 1, SAMPLE_WORDS)).alias("w"))
+    # Words are counted before their forms are made, so each different word is taken apart once.
+    word = few.select(F.explode(F.regexp_extract_all("body", F.lit("[A-Za-z]{2,}"), F.lit(0))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
     forms = ("w", "concat(w, '_', lower(reverse(w)))", "concat(lower(w), 'Of', initcap(w))", "concat('/', w, '/', w)", "concat(w, '-', w)")
-    plain = word.select(F.explode(F.array(*map(F.expr, forms))).alias("value"))
+    plain = word.select(F.explode(F.array(*map(F.expr, forms))).alias("value"), "n")
     counter = spark.range(0, RANDOM_STRINGS, 1, 1).select(F.sha2(F.concat(F.lit("sample-"), F.col("id").cast("string")), 256).alias("d"))
-    numbers = counter.select(F.regexp_replace(F.conv(F.substring("d", 1, 15), 16, 10), "^$", "0").alias("value"))
+    numbers = counter.select(F.regexp_replace(F.conv(F.substring("d", 1, 15), 16, 10), "^$", "0").alias("value"), F.lit(1).cast("long").alias("n"))
     random = counter.select(F.explode(F.array("d", F.regexp_replace(F.base64(F.unhex("d")), "=", ""), F.substring(F.upper("d"), 1, 40))).alias("value"))
-    return plain.unionByName(numbers).select("value", F.lit(0).alias("random")).unionByName(random.select("value", F.lit(1).alias("random")))
+    return plain.unionByName(numbers).select("value", F.lit(0).alias("random"), "n").unionByName(random.select("value", F.lit(1).alias("random"), F.lit(1).cast("long").alias("n")))
 
 
 def train(samples: DataFrame, smoothing: float = 0.5) -> list[float]:
-    """Log-likelihood ratios of the transitions, row-major over (ALPHABET size + 1) squared.
+    """Log-likelihood ratios of the transitions, row-major over (ALPHABET size + 1) squared, from labelled samples (value, random, n); without a column n each row counts once.
 
     Index 0 stands for every other character. The driver gets one count per label and pair of
     characters: at most 2 * 67 * 67 rows, whatever the input.
     """
     n = len(ALPHABET) + 1
+    weight = F.col("n") if "n" in samples.columns else F.lit(1).cast("long")
     at = samples.where("length(value) > 1").select(
-        "random", F.expr(f"transform(filter(split(value, ''), c -> c <> ''), c -> instr('{ALPHABET}', c))").alias("x")
+        "random", weight.alias("n"), F.expr(f"transform(filter(split(value, ''), c -> c <> ''), c -> instr('{ALPHABET}', c))").alias("x")
     )
-    pairs = at.select("random", F.explode(F.expr(f"zip_with(slice(x, 1, size(x) - 1), slice(x, 2, size(x)), (a, b) -> a * {n} + b)")).alias("k"))
+    pairs = at.select("random", "n", F.explode(F.expr(f"zip_with(slice(x, 1, size(x) - 1), slice(x, 2, size(x)), (a, b) -> a * {n} + b)")).alias("k"))
     counts = {0: [0.0] * (n * n), 1: [0.0] * (n * n)}
-    for r in pairs.groupBy("random", "k").count().collect():
-        counts[r["random"]][r["k"]] = float(r["count"])
+    for r in pairs.groupBy("random", "k").agg(F.sum("n").alias("n")).collect():
+        counts[r["random"]][r["k"]] = float(r["n"])
     out = [0.0] * (n * n)
     if not (sum(counts[0]) and sum(counts[1])):
         return out
@@ -113,7 +117,7 @@ def find_secrets(docs: DataFrame, model: list[float], id_col: str = "doc_id", te
     n = len(ALPHABET) + 1
     none = F.expr("cast(array() as array<string>)")
     t = F.col("t")
-    found = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).select(
+    found = docs.select(named(id_col).alias("id"), F.coalesce(named(text_col), F.lit("")).alias("t")).select(
         "id",
         "t",
         F.when(F.contains(t, F.lit(":")) | F.contains(t, F.lit("=")), F.regexp_extract_all(t, F.lit(ASSIGN), F.lit(0))).otherwise(none).alias("m0"),
@@ -148,7 +152,7 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     joined = lambda spans: f"array_join(transform({spans}, s -> concat_ws(':', {names}[s.kind], cast(s.start as string), cast(s.end as string))), ',')"
     count = lambda k: F.expr(f"cast(size(filter(spans, s -> s.kind = {k})) as long)")
     return found.select(
-        id_col,
+        named(id_col),
         count(0).alias("n_assign"),
         count(1).alias("n_access"),
         count(2).alias("n_hex"),
