@@ -7,62 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import arrays as A
-
-#: Reference vectors of a block that goes to all tasks at once.
-BLOCK_VECTORS = 20_000
-
-
-def nearest(queries: DataFrame, reference: DataFrame, k: int, skip_self: bool = True) -> DataFrame:
-    """(id, rank, other, cls, distance): the k nearest reference rows of each query by squared distance.
-
-    The reference goes through in blocks of bounded size, each multiplied with Arrow batches
-    of queries; the blocks' best k are merged by one aggregation.
-    """
-    import pandas as pd
-
-    spark = reference.sparkSession
-    parts = None
-    rows = reference.select("id", "cls", "features").toLocalIterator()
-    held: list = []
-
-    def block(ids, classes, vectors):
-        def run(batches):
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                q = np.stack(pdf["features"].to_numpy()).astype(np.float64)
-                d = (q * q).sum(1)[:, None] + (vectors * vectors).sum(1)[None] - 2 * q @ vectors.T
-                if skip_self:
-                    d[pdf["id"].to_numpy()[:, None] == ids[None]] = np.inf
-                n = min(k, len(ids))
-                best = np.argsort(d, axis=1, kind="stable")[:, :n]  # of equal distances the least id
-                at = np.arange(len(q))[:, None]
-                exact = ((q[:, None, :] - vectors[best]) ** 2).sum(2)
-                exact[~np.isfinite(d[at, best])] = np.inf
-                out = pd.DataFrame({"id": np.repeat(pdf["id"].to_numpy(), n), "other": ids[best].ravel(), "cls": classes[best].ravel(), "distance": exact.ravel()})
-                yield out[np.isfinite(out["distance"])]
-
-        return run
-
-    def flush():
-        nonlocal parts, held
-        held.sort(key=lambda r: r["id"])
-        ids, classes = np.array([r["id"] for r in held]), np.array([r["cls"] for r in held])
-        found = queries.select("id", "features").mapInPandas(block(ids, classes, np.array([r["features"] for r in held], dtype=np.float64)), "id long, other long, cls int, distance double")
-        parts = found if parts is None else parts.unionByName(found)
-        held = []
-
-    for r in rows:
-        held.append(r)
-        if len(held) >= BLOCK_VECTORS:
-            flush()
-    if held:
-        flush()
-    if parts is None:
-        return spark.createDataFrame([], "id long, rank int, other long, cls int, distance double")
-    w = Window.partitionBy("id").orderBy("distance", "other")
-    return parts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("id", "rank", "other", "cls", "distance")
-
+from quillspark.operators.neighbours import nearest
 
 def knn_posterior(neighbours): return neighbours.groupBy("id", "cls").agg((F.count(F.lit(1)) / F.first(F.lit(1))).alias("n")).withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("id"))).drop("n")
 def knn_classify(posterior): return posterior.groupBy("id").agg(F.max(F.struct("share", (-F.col("cls")).alias("c"))).alias("m")).select("id", (-F.col("m.c")).alias("cls"))
