@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.operators.durable import cut
+
 
 def histogram(df: DataFrame, bucket: Column, by: Sequence[str] = (), clip: tuple[int, int] | None = None) -> DataFrame:
     """(by..., bucket, n); values beyond `clip` fall into its end buckets."""
@@ -63,23 +65,30 @@ def otsu(hist: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return r.groupBy(*by).agg(F.max(F.struct("between", (-F.col("bucket")).alias("b"))).alias("m")).select(*by, (-F.col("m.b")).alias("threshold"))
 
 
+#: Groups whose rows of three numbers are broadcast.
+BROADCAST_GROUPS = 100_000
+
+
 def fractile(df: DataFrame, value: str, fraction: float, by: Sequence[str] = (), buckets: int = 4096) -> DataFrame:
     """sorted[int(fraction * n)] without interpolation, by an exact rank; nulls come first.
 
     Two levels: counts of `buckets` ranges between a group's ends tell the range that holds the
-    rank, and only the distinct values of that range are ranked, so no group is sorted whole.
+    rank, and only the distinct values of that range are ranked, so no group is sorted whole. A
+    row a group is joined back to the rows: as a broadcast up to BROADCAST_GROUPS groups, which
+    are counted first, so that no row is moved by its group; beyond that a group is a small share.
     """
     group, v = F.struct(*by) if by else F.struct(F.lit(0)), F.col(value).cast("double")
     rows = df.select(*by, F.col(value).alias("fractile"), group.alias("_g"), v.alias("_v"))
-    ends = rows.groupBy("_g").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    ends = cut(rows.groupBy("_g").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi")))
+    few = F.broadcast if ends.count() <= BROADCAST_GROUPS else lambda groups: groups
     place = F.least(F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * buckets), F.lit(buckets - 1))
-    ranged = rows.join(ends, "_g").withColumn("_b", F.when(F.col("_v").isNull(), -1).when(F.col("_lo") == F.col("_hi"), 0).otherwise(place).cast("long"))
+    ranged = rows.join(few(ends), "_g").withColumn("_b", F.when(F.col("_v").isNull(), -1).when(F.col("_lo") == F.col("_hi"), 0).otherwise(place).cast("long"))
     counts = ranged.groupBy("_g", "_b").agg(F.count(F.lit(1)).alias("_n"))
     own = Window.partitionBy("_g")
     upto, size = F.sum("_n").over(own.orderBy("_b")), F.sum("_n").over(own)
     ranks = counts.select("_g", "_b", (upto - F.col("_n")).alias("_before"), upto.alias("_upto"), F.least(F.floor(size * fraction), size - 1).alias("_at"))
     target = ranks.where("_before <= _at and _at < _upto").select("_g", "_b", (F.col("_at") - F.col("_before")).alias("_left"))
-    inside = ranged.join(target, ["_g", "_b"]).groupBy("_g", *by, "fractile", "_left").agg(F.count(F.lit(1)).alias("_n"))
+    inside = ranged.join(few(target), ["_g", "_b"]).groupBy("_g", *by, "fractile", "_left").agg(F.count(F.lit(1)).alias("_n"))
     inside = inside.withColumn("_upto", F.sum("_n").over(own.orderBy("fractile")))
     return inside.where("_upto > _left and _upto - _n <= _left").select(*by, "fractile")
 
