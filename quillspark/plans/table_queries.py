@@ -10,6 +10,7 @@ from quillspark.functions import text as T
 from quillspark.operators import automata as W
 from quillspark.operators import images as I
 from quillspark.operators import learning as N
+from quillspark.operators import lms as L
 from quillspark.operators import profiles as P
 from quillspark.operators import relabel as R
 from quillspark.operators import search as Z
@@ -73,6 +74,21 @@ def sliding(s, d):
     return table(s, d, "events").select("event_id", F.min(v).over(w).alias("lo"), F.max(v).over(w).alias("hi"), F.round(F.avg(v).over(w), 6).alias("mean"))
 
 
+def lms_lines(s, d):
+    """Lines of least median squares of the account balances of each nation's customers by their key."""
+    points = table(s, d, "customer").select("c_nationkey", F.col("c_custkey").alias("id"), F.col("c_custkey").alias("x"), F.col("c_acctbal").alias("y"))
+    return L.fit_lines(points, ["c_nationkey"]).select("c_nationkey", *(F.round(c, 4).alias(c) for c in ("m", "c", "error")))
+
+
+LMS_LINES = f"""WITH p AS (SELECT c_nationkey AS g, c_custkey AS id, CAST(c_custkey AS DOUBLE) AS x, c_acctbal AS y, t FROM customer, generate_series(0, {L.TRIALS - 1}) AS s(t)),
+    a AS (SELECT g, t, arg_min(struct_pack(id := id, x := x, y := y), md5('first:' || t || ':' || id)) AS a FROM p GROUP BY ALL),
+    b AS (SELECT p.g, p.t, arg_min(struct_pack(id := id, x := x, y := y), md5('second:' || p.t || ':' || id)) AS b FROM p JOIN a ON p.g = a.g AND p.t = a.t WHERE p.id <> a.a.id GROUP BY ALL),
+    l AS (SELECT g, t, a, CASE WHEN a.x <> b.x THEN (b.y - a.y) / (b.x - a.x) ELSE 0 END AS m, b FROM a LEFT JOIN b USING (g, t)),
+    c AS (SELECT g, t, m, CASE WHEN a.x <> b.x THEN a.y - m * a.x ELSE coalesce((a.y + b.y) / 2, a.y) END AS c FROM l),
+    e AS (SELECT p.g, p.t, m, c, pow(y - m * x - c, 2) AS e, row_number() OVER (PARTITION BY p.g, p.t ORDER BY pow(y - m * x - c, 2)) - 1 AS k, count(*) OVER (PARTITION BY p.g, p.t) AS n FROM p JOIN c ON p.g = c.g AND p.t = c.t)
+    SELECT g AS c_nationkey, round(arg_min(m, e), 4) AS m, round(arg_min(c, e), 4) AS c, round(min(e), 4) AS error FROM e WHERE k = n // 2 GROUP BY g"""
+
+
 def labels_confusion(s, d): return S.confusion(table(s, d, "labels"), "quality", "toxic")
 def posteriors(s, d): return N.knn_posterior(N.nearest(points(s, d), points(s, d), 5))
 
@@ -155,6 +171,7 @@ QUERIES = {
     "stats_percentile": Query(lambda s, d: S.percentile(hist(s, d), 0.25, ["l_returnflag"]).withColumn("percentile", F.round("percentile", 6)), C + "SELECT l_returnflag, round(min(bucket) + (arg_min(total, bucket) * 0.25::DOUBLE - (arg_min(upto, bucket) - arg_min(n, bucket))) / arg_min(n, bucket), 6) AS percentile FROM c WHERE upto >= total * 0.25 GROUP BY 1"),
     "stats_half_mass": Query(lambda s, d: S.half_mass(hist(s, d), ["l_returnflag"]), C + "SELECT l_returnflag, min(bucket) + 1 AS half_mass FROM c WHERE 2 * upto >= total GROUP BY 1"),
     "stats_smooth": Query(lambda s, d: S.smooth(hist(s, d), 3, ["l_returnflag"]), H + "SELECT l_returnflag, CAST(bucket + k AS INTEGER) AS bucket, CAST(sum(n * (3 - abs(k))) AS BIGINT) AS n FROM h, (SELECT unnest([-2, -1, 0, 1, 2]) AS k) GROUP BY 1, 2"),
+    "lms_lines": Query(lms_lines, LMS_LINES),
     "stats_fractile": Query(lambda s, d: S.fractile(table(s, d, "lineitem"), "l_extendedprice", 0.9, ["l_returnflag"]), "SELECT l_returnflag, max(CASE WHEN k = least(CAST(floor(n * 0.9::DOUBLE) AS BIGINT), n - 1) THEN l_extendedprice END) AS fractile FROM (SELECT l_returnflag, l_extendedprice, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) - 1 AS k, count(*) OVER (PARTITION BY l_returnflag) AS n FROM lineitem) GROUP BY 1"),
     "stats_line_fit": Query(lambda s, d: S.least_squares_line(table(s, d, "lineitem"), "l_quantity", "l_extendedprice", ["l_returnflag"]).select("l_returnflag", F.round("slope", 4).alias("slope"), F.round("intercept", 3).alias("intercept")), "SELECT l_returnflag, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 3) AS intercept FROM lineitem GROUP BY 1"),
     "stats_top_n": Query(lambda s, d: S.top_n(table(s, d, "lineitem").groupBy("l_returnflag", "l_orderkey").agg(F.sum("l_quantity").alias("q")), 10, "q", "l_orderkey", ["l_returnflag"]), "SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY l_returnflag ORDER BY q DESC, l_orderkey) AS INTEGER) AS rank FROM (SELECT l_returnflag, l_orderkey, sum(l_quantity) AS q FROM lineitem GROUP BY 1, 2)) WHERE rank <= 10"),
