@@ -86,6 +86,49 @@ def matches_wildcard(word: Column, pattern: Column, wildcard: str = "?") -> Colu
     return word.like(F.replace(F.replace(pattern, F.lit("_"), F.lit("\\_")), F.lit(wildcard), F.lit("_")))
 
 
+def aligned_confusions(a: str, b: str, kept: int | None = None) -> dict[tuple[str, str], int]:
+    """(character of a, of b) -> how often a least-cost alignment takes one for the other; empty for a missing one.
+
+    Only each kept-th row of the table of costs is held (the square root of the length of a, if
+    not told); the rows between are made again on the way back, one stretch at a time.
+    """
+    codes, steps = np.array([ord(c) for c in b], dtype=np.int64), np.arange(len(b) + 1, dtype=np.int32)
+    kept = kept or int(len(a) ** 0.5) + 1
+
+    def after(row: np.ndarray, i: int) -> np.ndarray:
+        """The row of the first i characters of a, from that of i - 1."""
+        best = row + 1
+        best[1:] = np.minimum(best[1:], row[:-1] + (codes != ord(a[i - 1])))
+        best[0] = i
+        return np.minimum.accumulate(best - steps) + steps
+
+    row, held = steps.copy(), [steps.copy()]
+    for i in range(1, len(a) + 1):
+        row = after(row, i)
+        if i % kept == 0:
+            held.append(row)
+    found: dict[tuple[str, str], int] = {}
+    i, j = len(a), len(b)
+    first, d = len(a) + 1, []
+    while i or j:
+        if i - 1 < first and i:
+            first = (i - 1) // kept * kept
+            d = [held[first // kept]]
+            while len(d) <= i - first:
+                d.append(after(d[-1], first + len(d)))
+        here = d[i - first] if d else held[0]
+        if i and here[j] == d[i - 1 - first][j] + 1:
+            key, i = (a[i - 1], ""), i - 1
+        elif j and here[j] == here[j - 1] + 1:
+            key, j = ("", b[j - 1]), j - 1
+        else:
+            key, i, j = (a[i - 1], b[j - 1]), i - 1, j - 1
+            if key[0] == key[1]:
+                continue
+        found[key] = found.get(key, 0) + 1
+    return found
+
+
 def confusions(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     """(t, p, n): characters taken for others by a least-cost alignment; empty for a missing one.
 
@@ -96,23 +139,8 @@ def confusions(df: DataFrame, truth: str, predicted: str) -> DataFrame:
         for pdf in batches:
             found: dict[tuple[str, str], int] = {}
             for a, b in zip(pdf["a"].fillna(""), pdf["b"].fillna(""), strict=True):
-                d = np.zeros((len(a) + 1, len(b) + 1), dtype=np.int32)
-                d[:, 0], d[0] = np.arange(len(a) + 1), np.arange(len(b) + 1)
-                codes, steps = np.array([ord(c) for c in b]), np.arange(len(b) + 1)
-                for i, c in enumerate(a, 1):
-                    row = np.minimum(d[i - 1] + 1, np.concatenate(([i], d[i - 1, :-1] + (codes != ord(c)))) if len(b) else [i])
-                    d[i] = np.minimum.accumulate(row - steps) + steps
-                i, j = len(a), len(b)
-                while i or j:
-                    if i and d[i, j] == d[i - 1, j] + 1:
-                        key, i = (a[i - 1], ""), i - 1
-                    elif j and d[i, j] == d[i, j - 1] + 1:
-                        key, j = ("", b[j - 1]), j - 1
-                    else:
-                        key, i, j = (a[i - 1], b[j - 1]), i - 1, j - 1
-                        if key[0] == key[1]:
-                            continue
-                    found[key] = found.get(key, 0) + 1
+                for key, n in aligned_confusions(a, b).items():
+                    found[key] = found.get(key, 0) + n
             yield pd.DataFrame([(*k, n) for k, n in found.items()], columns=["t", "p", "n"])
 
     parts = df.select(F.col(truth).alias("a"), F.col(predicted).alias("b")).mapInPandas(run, "t string, p string, n long")

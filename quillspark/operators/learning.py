@@ -38,7 +38,7 @@ def gaussian_costs(data: DataFrame, model: DataFrame) -> DataFrame:
 
 
 class Perceptron:
-    """Two-layer sigmoid network, fitted in one task on a bounded sample, applied in Arrow batches."""
+    """Two-layer sigmoid network, fitted on the driver on a bounded sample, applied in Arrow batches."""
 
     def __init__(self, hidden: int = 24, rate: float = 0.5, epochs: int = 40, seed: int = 7):
         self.hidden, self.rate, self.epochs, self.seed = hidden, rate, epochs, seed

@@ -98,7 +98,7 @@ QUERIES = {
     "image_flip_y": Query(_pixel(I.flip_y), PX + "SELECT img, x, y1 - 1 - y AS y, v FROM e"),
     "image_rotate_right": Query(_pixel(I.rotate_right), PX + "SELECT img, y1 - 1 - y AS x, x AS y, v FROM e"),
     "image_transpose": Query(_pixel(I.transpose), PX + "SELECT img, y AS x, x AS y, v FROM px"),
-    "image_pad": Query(_pixel(lambda p: I.pad(p, 2, 1, 9))),
+    "image_pad": Query(_pixel(lambda p: I.pad(p, 2, 1, 9)), PX + ", a AS (SELECT img, x, y, v, y0, y1, unnest(generate_series(CASE WHEN x = x0 THEN x - 2 ELSE x END, CASE WHEN x = x1 - 1 THEN x + 2 ELSE x END)) AS p FROM e), b AS (SELECT *, unnest(generate_series(CASE WHEN y = y0 THEN y - 1 ELSE y END, CASE WHEN y = y1 - 1 THEN y + 1 ELSE y END)) AS q FROM a) SELECT img, CAST(p + 2 AS INTEGER) AS x, CAST(q + 1 AS INTEGER) AS y, CASE WHEN p = x AND q = y THEN v ELSE 9 END AS v FROM b"),
     "image_erase_boundary": Query(_pixel(lambda p: I.erase_boundary(p, 2, 1)), PX + "SELECT img, x, y, CASE WHEN x < x0 + 2 OR x >= x1 - 2 OR y < y0 + 1 OR y >= y1 - 1 THEN 0 ELSE v END AS v FROM e"),
     "image_tighten": Query(_black(I.tighten), PX + "SELECT b.img, b.x - t.x0 AS x, b.y - t.y0 AS y, b.v FROM bw b JOIN (SELECT img, min(x) x0, min(y) y0, max(x) x1, max(y) y1 FROM bw WHERE v <> 0 GROUP BY img) t ON b.img = t.img WHERE b.x >= t.x0 AND b.x < t.x1 AND b.y >= t.y0 AND b.y < t.y1"),
     "image_binarize_middle": Query(_pixel(I.binarize_middle), PX + "SELECT img, x, y, CASE WHEN v < (lo + hi) // 2 THEN 0 ELSE 255 END AS v FROM e"),
@@ -142,7 +142,7 @@ QUERIES = {
     "image_distance_l1": Query(_black(lambda p: N.distance_transform(p, "l1")), PX + _NEAREST.format(size="abs(a.x - b.x) + abs(a.y - b.y)")),
     "image_distance_max": Query(_black(lambda p: N.distance_transform(p, "max")), PX + _NEAREST.format(size="greatest(abs(a.x - b.x), abs(a.y - b.y))")),
     "image_components": Query(_black(lambda p: I.label_components(p).groupBy("img", "label").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("x0"), F.min("y").alias("y0")).drop("label")), PX.replace("WITH px", "WITH RECURSIVE px") + ", f AS (SELECT img, x, y, y * 40 + x AS id FROM bw WHERE v <> 0), c(img, x, y, id) AS (SELECT img, x, y, id FROM f UNION SELECT f.img, f.x, f.y, c.id FROM c JOIN f ON f.img = c.img AND abs(f.x - c.x) + abs(f.y - c.y) = 1 AND f.id >= 0), m AS (SELECT img, x, y, min(id) AS id FROM c GROUP BY img, x, y) SELECT img, count(*) AS n, min(x) AS x0, min(y) AS y0 FROM m GROUP BY img, id"),
-    "image_profile_islands": Query(_profile),
+    "image_profile_islands": Query(_profile, PX + ", n AS (SELECT img, x AS at_x, count(*) AS n FROM bw WHERE v <> 0 GROUP BY 1, 2), g AS (SELECT *, at_x - row_number() OVER (PARTITION BY img ORDER BY at_x) AS g FROM n WHERE n >= 2), s AS (SELECT img, min(at_x) AS first, max(at_x) + 1 AS last FROM g GROUP BY img, g HAVING max(n) >= 3) SELECT img, CAST(row_number() OVER (PARTITION BY img ORDER BY first) AS INTEGER) AS island, CAST(first AS INTEGER) AS start, CAST(last AS INTEGER) AS \"end\" FROM s"),
     "runs_of_lines": Query(run_table, RUNS + 'SELECT img, line, start, "end" FROM r'),
     "runs_bits": Query(_runs(lambda r: r.groupBy("img").agg(F.sum(F.col("end") - F.col("start")).alias("bits"))), PX + "SELECT img, count(*) AS bits FROM bw WHERE v <> 0 GROUP BY img"),
     "runs_boxes": Query(_runs(lambda r: r.groupBy("img").agg(F.min("start").alias("x0"), F.min("line").alias("y0"), F.max("end").alias("x1"), (F.max("line") + 1).alias("y1"))), PX + "SELECT img, min(x) AS x0, min(y) AS y0, max(x) + 1 AS x1, max(y) + 1 AS y1 FROM bw WHERE v <> 0 GROUP BY img"),

@@ -225,7 +225,7 @@ QUERIES = {
     "knn_posterior": Query(posteriors, KNN + "SELECT id, cls, count(*) / 5 AS share FROM k WHERE rank <= 5 GROUP BY 1, 2"),
     "knn_classify": Query(lambda s, d: N.knn_classify(posteriors(s, d)), KNN + ", s AS (SELECT id, cls, count(*) AS n FROM k WHERE rank <= 5 GROUP BY 1, 2) SELECT id, CAST(arg_max(cls, n * 1000 - cls) AS INTEGER) AS cls FROM s GROUP BY 1"),
     "knn_leave_one_out": Query(lambda s, d: N.leave_one_out_error(points(s, d)), KNN + "SELECT CAST(sum(CASE WHEN own <> cls THEN 1 ELSE 0 END) AS BIGINT) AS wrong, count(*) AS total FROM k WHERE rank = 1"),
-    "gaussian_classify": Query(gaussian),
+    "gaussian_classify": Query(gaussian, "WITH v AS (SELECT vec_id AS id, label AS cls, unnest(generate_series(1, len(embedding))) AS k, embedding FROM embeddings), l AS (SELECT id, cls, k, round(CAST(embedding[k] AS DOUBLE) * 100) AS x FROM v), m AS (SELECT cls, k, avg(x) AS mean, var_pop(x) AS var FROM l GROUP BY 1, 2), n AS (SELECT *, avg(var) OVER (PARTITION BY cls) AS every FROM m), p AS (SELECT cls, k, mean, CASE WHEN var >= 1e-6 THEN var WHEN every >= 1e-6 THEN every ELSE 1 END AS var FROM n), c AS (SELECT id, p.cls, round(sum((x - mean) * (x - mean) / var), 4) AS cost FROM l JOIN p ON l.k = p.k GROUP BY 1, 2) SELECT id, cls FROM (SELECT id, cls, row_number() OVER (PARTITION BY id ORDER BY cost, cls) AS r FROM c) WHERE r = 1"),
     "perceptron_classify": Query(lambda s, d: N.predict(points(s, d), N.Perceptron().fit(*N.sample(points(s, d), 2000)))),
     "boosting_classify": Query(lambda s, d: N.predict(points(s, d), N.Boosting(2, epochs=10).fit(*N.sample(points(s, d), 1000)))),
     "cluster_gaps": Query(lambda s, d: N.agglomerate(table(s, d, "part").select("p_brand", F.col("p_retailprice").alias("value")), 5.0, "p_brand").groupBy("p_brand").agg(F.max("cluster").alias("clusters")), "WITH g AS (SELECT p_brand, CASE WHEN p_retailprice - lag(p_retailprice) OVER (PARTITION BY p_brand ORDER BY p_retailprice) <= 5 THEN 0 ELSE 1 END AS s FROM part) SELECT p_brand, CAST(sum(s) AS BIGINT) AS clusters FROM g GROUP BY 1"),
