@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.operators.durable import cut
+
 XY = ("img", "x", "y")
 
 
@@ -207,17 +209,16 @@ def label_components(df: DataFrame, eight: bool = False) -> DataFrame:
     longest chain of runs.
     """
     touch = 1 if eight else 0
-    r = runs(df).withColumn("id", F.xxhash64("img", "line", "start")).checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else runs(df).withColumn("id", F.xxhash64("img", "line", "start")).cache()
+    r = cut(runs(df).withColumn("id", F.xxhash64("img", "line", "start")))
     below = r.select("img", (F.col("line") - 1).alias("line"), F.col("start").alias("s2"), F.col("end").alias("e2"), F.col("id").alias("other"))
     links = r.join(below, ["img", "line"]).where(f"start < e2 + {touch} and s2 < end + {touch}").select("id", "other")
-    both = links.unionByName(links.select(F.col("other").alias("id"), F.col("id").alias("other"))).cache()
+    both = cut(links.unionByName(links.select(F.col("other").alias("id"), F.col("id").alias("other"))))
     label = r.select("id", F.col("id").alias("label"))
     while True:
         near = both.join(label.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.min("label").alias("near"))
         step = label.join(near, "id", "left").select("id", "label", F.least("label", F.coalesce("near", "label")).alias("new"))
         jump = step.select(F.col("id").alias("new"), F.col("new").alias("over"))
-        done = step.join(jump, "new", "left").select("id", "label", F.least("new", F.coalesce("over", "new")).alias("new"))
-        done = done.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else done.cache()
+        done = cut(step.join(jump, "new", "left").select("id", "label", F.least("new", F.coalesce("over", "new")).alias("new")))
         moved = done.where("label <> new").limit(1).count()
         label = done.select("id", F.col("new").alias("label"))
         if not moved:
