@@ -202,6 +202,8 @@ def best_arcs(left: tuple[DataFrame, DataFrame], right: tuple[DataFrame, DataFra
 
     The path's rows are its arcs, place counting from 0, l and r the states where they start.
     """
+    # Each side is read by two searches, so what makes it is worked out once.
+    left, right = tuple(map(cut, left)), tuple(map(cut, right)) if right else None
     a_ends = cut(cost_to_accept(*left, block))
     a_arcs = _arcs_for(_LEFT, left[0], a_ends)
     first = a_ends.where("id = 0").select("fst", F.col("h").alias("ha"), F.col("accept").alias("fa"))
