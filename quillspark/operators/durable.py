@@ -20,4 +20,8 @@ def cut(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="quillspark-")
         context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    # A checkpoint hands on the size that Spark estimates for its plan. Of a join that is the product of its sides'
+    # sizes, so in a loop its digits double by the round and fill the driver; rows of a plain RDD have no such estimate.
+    session = df.sparkSession
+    rows = DataFrame(session._jsparkSession.createDataFrame(df._jdf.toJavaRDD(), df._jdf.schema()), session)
+    return rows.checkpoint(eager=True)
