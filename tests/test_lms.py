@@ -1,5 +1,6 @@
 """Least median of squares: small groups by their definition, and a line among a third of wild points."""
 
+import hashlib
 import random
 
 from quillspark.operators import lms
@@ -21,3 +22,11 @@ def test_best_of_the_same_candidates(spark):
         errors = {c["trial"]: sorted((y - c["m"] * x - c["c"]) ** 2 for x, y in mine)[len(mine) // 2] for c in lines if c["g"] == r["g"]}
         assert r["error"] == min(errors.values())
         assert abs(r["m"] - 3) < 1e-9 and abs(r["c"] - 5) < 1e-6
+
+
+def test_least_hash_of_each_group(spark):
+    """Found through sums of fixed size, which need no sort of a group's rows."""
+    rows = [(g, t, k, float(k), 0.0) for g in ("a", "b") for t in range(3) for k in range(200)]
+    df = spark.createDataFrame(rows, "g string, trial int, id long, x double, y double")
+    tops = {(r["g"], r["trial"]): r["_p"]["id"] for r in lms._least(df, ["g", "trial"], "first").collect()}
+    assert tops == {(g, t): min(range(200), key=lambda k: hashlib.md5(f"first:{t}:{k}".encode()).hexdigest()) for g in ("a", "b") for t in range(3)}
