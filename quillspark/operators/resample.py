@@ -52,12 +52,17 @@ def forward_gradients(df: DataFrame) -> DataFrame:
     return g.withColumn("gm", F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")))
 
 
-def _fetch(asked: DataFrame, df: DataFrame) -> DataFrame:
-    """Pixels asked for by place (_sx, _sy), clamped to the image, with their values."""
+#: Rows that one task of a scaling sorts and sums, about.
+TASK_ROWS = 250_000
+
+
+def _fetch(asked: DataFrame, df: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Pixels asked for by place (_sx, _sy), clamped to the image, with their values; dealt to so many tasks, if told."""
     clamp = [F.greatest(F.col(f"{c}0"), F.least(F.col(f"{c}1") - 1, F.col(f"_s{c}"))).cast("int").alias(f"_s{c}") for c in ("x", "y")]
     rest = [c for c in asked.columns if c not in ("_sx", "_sy")]
     source = df.select("img", F.col("x").alias("_sx"), F.col("y").alias("_sy"), F.col("v").alias("_v"))
-    return asked.select(*rest, *clamp).join(source, ["img", "_sx", "_sy"])
+    asked = asked.select(*rest, *clamp)
+    return (asked.repartition(tasks, "img", "_sx", "_sy") if tasks else asked).join(source, ["img", "_sx", "_sy"])
 
 
 def rotate_sample(df: DataFrame, cos: float, sin: float) -> DataFrame:
@@ -83,4 +88,6 @@ def scale_interpolate(df: DataFrame, sx: float, sy: float, whole: bool = True) -
     fx, fy = F.col("px") - F.floor("px"), F.col("py") - F.floor("py")
     corners = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), ((fx if i else 1 - fx) * (fy if j else 1 - fy)).alias("w")) for i in (0, 1) for j in (0, 1)))
     four = places.withColumn("c", F.explode(corners)).select(*XY, "x0", "x1", "y0", "y1", F.col("c.w").alias("w"), (F.floor("px") + F.col("c.i")).alias("_sx"), (F.floor("py") + F.col("c.j")).alias("_sy"))
-    return _fetch(four, df).groupBy(*XY).agg(F.sum(F.col("w") * F.col("_v")).alias("v"))
+    # Pixels pack so well that tasks merged by their bytes would hold any number of rows.
+    tasks = 1 + int(4 * sx * sy * df.count()) // TASK_ROWS
+    return _fetch(four, df, tasks).repartition(tasks, *XY).groupBy(*XY).agg(F.sum(F.col("w") * F.col("_v")).alias("v"))
