@@ -26,8 +26,8 @@ from quillspark.operators.durable import cut
 
 #: Pivots at most, and reference rows of a block; a block of queries holds as many times VISITS.
 PIVOTS, BLOCK, VISITS = 256, 20_000, 8
-#: Queries that are compared with a block at a time.
-STEP = 256
+#: Queries that are compared with a block at a time, and visits that are worked out at a time.
+STEP, VISITED = 256, 16_384
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -54,9 +54,9 @@ def _visits(pivots: np.ndarray, radius: np.ndarray, first: np.ndarray, k: int, m
     """Queries with each cell that may hold one of their k nearest; first[j] are the least distances from pivot j of rows of its cell, infinite where it has fewer."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
+        # Every cell may be visited, so a part's queries times the cells are bounded.
+        step = max(1, VISITED // max(1, len(pivots)))
+        for b in (whole.slice(at, step) for whole in batches for at in range(0, whole.num_rows, step)):
             d = _apart(_matrix(b["features"]), pivots)
             reach = (d[:, :, None] + first[None]).reshape(len(d), -1)
             bound = np.minimum(np.partition(reach, k - 1, axis=1)[:, k - 1] if reach.shape[1] >= k else np.full(len(d), np.inf), most)

@@ -1,9 +1,10 @@
 """Exact neighbours against all pairs, over one cell and many, with ties, hot cells and a limit of distance."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from quillspark.operators.neighbours import nearest
+from quillspark.operators.neighbours import VISITED, _visits, nearest
 
 
 def plain(q, r, k, skip_self, most):
@@ -34,3 +35,11 @@ def test_few_and_no_rows(spark):
     assert sorted((r["id"], r["other"], r["distance"]) for r in nearest(ref, ref, 3).collect()) == [(1, 2, 25.0), (2, 1, 25.0)]
     assert nearest(ref, ref.where("false"), 3).collect() == []
     assert nearest(ref.where("false"), ref, 3).collect() == []
+
+
+def test_visits_come_in_bounded_batches():
+    """Queries that visit all of 128 cells."""
+    pivots, n = np.zeros((128, 4)), 2_000
+    batch = pa.RecordBatch.from_pydict({"id": np.arange(n), "features": pa.array(np.zeros((n, 4)).tolist())})
+    made = list(_visits(pivots, np.ones(128), np.ones((128, 2)), 2, float("inf"))([batch]))
+    assert sum(b.num_rows for b in made) == n * 128 and max(b.num_rows for b in made) <= VISITED
