@@ -62,7 +62,9 @@ def _fetch(asked: DataFrame, df: DataFrame, tasks: int | None = None) -> DataFra
     rest = [c for c in asked.columns if c not in ("_sx", "_sy")]
     source = df.select("img", F.col("x").alias("_sx"), F.col("y").alias("_sy"), F.col("v").alias("_v"))
     asked = asked.select(*rest, *clamp)
-    return (asked.repartition(tasks, "img", "_sx", "_sy") if tasks else asked).join(source, ["img", "_sx", "_sy"])
+    if tasks:
+        return asked.repartition(tasks, "img", "_sx", "_sy").join(source.hint("merge"), ["img", "_sx", "_sy"])
+    return asked.join(source, ["img", "_sx", "_sy"])
 
 
 def rotate_sample(df: DataFrame, cos: float, sin: float) -> DataFrame:
