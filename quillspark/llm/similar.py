@@ -4,7 +4,8 @@ A document is the set of its shingles (64-bit hashes) and the SimHash of that se
 documents are linked when the Jaccard similarity of their sets is LIKE or more, and the groups
 are the components of the links. Documents of equal sets are one class from the start.
 
-Candidates come in three steps, and every candidate is settled by comparing the two whole sets:
+Candidates come in three steps, and every candidate is settled by comparing the two whole sets,
+but for those that the parities of their sets rule out:
 
 1. the binary-trie self-join of the SimHash operator, over the fingerprints of all classes;
 2. stars: every class with one class of each shingle of its prefix;
@@ -21,6 +22,11 @@ is dropped with a chance of 2 in 10 million, or 13 in a million for sets of four
 shingles: of 64 bits 9.7 differ on average there, or 12. A shingle of many classes is dealt into parts of GROUP
 classes, and every part meets every other.
 
+Parities are one bit for each of some buckets: whether a set has an odd number of shingles
+there. Two sets differ in one shingle at least for each bit that differs, so a pair of too many
+such bits is no link, whatever the sets are; with two buckets a shingle or more this leaves few
+pairs below the limit, and only those have their sets moved, which are 20 to 30 times as large.
+
 Defined cases: texts without words are one class; texts of fewer words than a shingle are one
 shingle; of a group the row of the least id stays (rows without an id come last, equal ids go
 by the hash of their text), whatever else has its id; of rows of equal id and text one stays;
@@ -70,13 +76,30 @@ def prefix(h: np.ndarray, common: np.ndarray, counts: np.ndarray, like: float =
     return h[np.lexsort((h, seen))[: len(h) - int(np.ceil(like * len(h) - TINY)) + 1]]
 
 
+def parities(h: np.ndarray) -> bytes:
+    """For each of a power of two of buckets, two for each hash at least, whether it holds an odd number of hashes."""
+    n = max(64, 1 << (2 * len(h) - 1).bit_length()) if len(h) else 64
+    odd = np.bincount((h & np.uint64(n - 1)).astype(np.int64), minlength=n) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def least_difference(x: bytes, y: bytes) -> int:
+    """The number of hashes at least that one only of two sets has, by their parities."""
+    a, b = (np.frombuffer(z, dtype=np.uint8) for z in (x, y))
+    if len(a) < len(b):
+        a, b = b, a
+    while len(a) > len(b):  # buckets k and k + half become one
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum(dtype=np.int64))
+
+
 def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, h, text): a row's key is its id and the hash of its text."""
     return docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("h"), F.col(f"`{text_col}`").alias("text"))
 
 
 def _sets(rows: DataFrame, words: int, cut=None) -> DataFrame:
-    """(id, h, node, size, fp, hashes) of rows (id, h, text): fp is the fingerprint of the set, and cut(hashes) are kept."""
+    """(id, h, node, size, fp, hashes, odd) of rows (id, h, text): fp is the fingerprint of the set, odd its parities, and cut(hashes) are kept."""
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches):
@@ -87,11 +110,11 @@ def _sets(rows: DataFrame, words: int, cut=None) -> DataFrame:
                 prints = np.array([simhash(h) for _, h in got], dtype=np.uint64).view(np.int64)
                 out = [(cut(h) if cut else h).view(np.int64) for _, h in got]
                 yield pa.RecordBatch.from_arrays(
-                    [some.column(0), some.column(1), pa.array([n for n, _ in got], pa.int64()), pa.array([len(h) for _, h in got], pa.int64()), pa.array(prints), pa.array(out, pa.list_(pa.int64()))],
-                    names=["id", "h", "node", "size", "fp", "hashes"],
+                    [some.column(0), some.column(1), pa.array([n for n, _ in got], pa.int64()), pa.array([len(h) for _, h in got], pa.int64()), pa.array(prints), pa.array(out, pa.list_(pa.int64())), pa.array([parities(h) for _, h in got], pa.binary())],
+                    names=["id", "h", "node", "size", "fp", "hashes", "odd"],
                 )
 
-    return rows.mapInArrow(run, f"id {kind}, h long, node long, size long, fp long, hashes array<long>")
+    return rows.mapInArrow(run, f"id {kind}, h long, node long, size long, fp long, hashes array<long>, odd binary")
 
 
 def _common(named: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -225,6 +248,26 @@ def _row_key(key="id", h="h"):
     return F.xxhash64(key, h)
 
 
+def not_ruled_out(pairs: DataFrame, classes: DataFrame, like: float) -> DataFrame:
+    """The pairs (a, b) whose sizes and parities allow a Jaccard similarity of `like`: with n and m shingles, (1 - like) / (1 + like) of n + m differ at most."""
+    most = (1 - like) / (1 + like)
+    nodes = compact(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+    some = maybe(classes.select("node", "size", "odd"), F.col("node"), sketch(nodes, F.col("node")))
+    some = reliable(some.join(nodes.hint("merge"), "node", "left_semi"))
+    one = lambda c, size, odd: some.select(F.col("node").alias(c), F.col("size").alias(size), F.col("odd").alias(odd))
+    sized = pairs.join(one("a", "na", "x").hint("merge"), "a").join(one("b", "nb", "y").hint("merge"), "b")
+    sized = sized.where(F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(like) - TINY)
+
+    def run(batches):
+        for batch in batches:
+            total = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            differ = [least_difference(x, y) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)]
+            good = pa.array(np.array(differ, dtype=np.int64) <= total * most + TINY)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], names=["a", "b"])
+
+    return sized.select("a", "b", "na", "nb", "x", "y").mapInArrow(run, "a long, b long")
+
+
 def verified(pairs: DataFrame, classes: DataFrame, named: DataFrame, words: int, like: float) -> DataFrame:
     """The pairs (a, b) whose whole sets have a Jaccard similarity of `like` or more.
 
@@ -298,7 +341,7 @@ def near_prints(classes: DataFrame) -> DataFrame:
 
 
 def links(classes: DataFrame, named: DataFrame, words: int = WORDS, like: float = LIKE, most: int = GROUP) -> DataFrame:
-    """(a, b): links whose components are those of all pairs of `like` or more, of classes (node, least, size, fp, hashes)."""
+    """(a, b): links whose components are those of all pairs of `like` or more, of classes (node, least, size, fp, hashes, odd)."""
     tried = found = None
 
     def settle(pairs):
@@ -306,7 +349,8 @@ def links(classes: DataFrame, named: DataFrame, words: int = WORDS, like: float
         if tried is not None:
             pairs = pairs.join(tried.hint("merge"), ["a", "b"], "left_anti")
         pairs = compact(_flat(pairs))
-        got = compact(_flat(verified(pairs, classes, named, words, like)))
+        open_ = compact(_flat(not_ruled_out(pairs, classes, like)))
+        got = compact(_flat(verified(open_, classes, named, words, like)))
         share = got.count() / max(pairs.count(), 1)
         tried = pairs if tried is None else _flat(tried.unionByName(pairs))
         found = got if found is None else _flat(found.unionByName(got))
@@ -337,7 +381,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     rows = sets.select("id", "h", "node")
     # Rows without an id come last.
     order = F.struct(F.col("id").isNull().alias("none"), "id", "h")
-    classes = reliable(sets.groupBy("node").agg(F.min(order).alias("least"), F.min("size").alias("size"), F.min("fp").alias("fp"), F.min("hashes").alias("hashes")))
+    classes = reliable(sets.groupBy("node").agg(F.min(order).alias("least"), F.min("size").alias("size"), F.min("fp").alias("fp"), F.min("hashes").alias("hashes"), F.min("odd").alias("odd")))
     found = _fresh(components(_fresh(links(classes, named, words, like, most))))
     linked = classes.select("node", "least").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     firsts = linked.groupBy("root").agg(F.min("least").alias("first")).withColumnRenamed("root", "top")

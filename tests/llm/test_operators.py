@@ -118,6 +118,37 @@ def test_near_copies_are_those_of_all_pairs(spark):
         assert got == want
 
 
+def test_parities_rule_out_no_link():
+    r = np.random.default_rng(3)
+    for n in (1, 2, 5, 31, 33, 100, 700, 3000):
+        for m in sorted({n, n + 1, n * 5 // 4, 3 * n}):
+            for shared in (0, n // 2, n * 9 // 10, n):
+                h = np.unique(r.integers(0, 2**64, n + m, dtype=np.uint64))
+                a, b = h[:n], np.concatenate((h[:shared], h[n : n + m - shared]))
+                differ = len(set(a.tolist()) ^ set(b.tolist()))
+                assert similar.least_difference(similar.parities(a), similar.parities(b)) <= differ
+                assert shared or n < 100 or similar.least_difference(similar.parities(a), similar.parities(b)) > (n + m) / 9
+    none = similar.parities(np.zeros(0, dtype=np.uint64))
+    assert similar.least_difference(none, none) == 0
+
+
+def test_sets_of_pairs_below_the_limit_are_not_moved(spark, monkeypatch):
+    # A template: two texts share 160 of their 200 shingles, a similarity of 2/3; two more are near copies.
+    own = [f"w{k}" for k in range(4000)]
+    rows = [(k, " ".join(own[:164] + own[1000 + 40 * k : 1040 + 40 * k])) for k in range(40)]
+    rows += [(k + 40, t.replace("w" + str(1039 + 40 * k), "other")) for k, t in rows[:2]]
+    moved, verified = [], similar.verified
+
+    def seen(pairs, *rest):
+        moved.append(pairs.count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(similar, "verified", seen)
+    got = {x["id"]: x["first"] for x in similar.groups(spark.createDataFrame(rows, "doc_id long, text string"), most=16).collect()}
+    assert got == exact_firsts(rows) and got[40] == 0 and got[41] == 1
+    assert 2 <= sum(moved) <= 20
+
+
 def test_near_copies_are_told_by_row_and_not_by_id(spark):
     a, b, c = words(1, 60), words(2, 60), words(3, 60)
     rows = [(1, a, 0), (1, b, 1), (2, c, 2), (3, a, 3), (None, b, 4), (None, words(4, 60), 5), (2, c, 6), (4, "", 7), (5, None, 8), (4, a + " more", 9)]
