@@ -4,6 +4,7 @@ import heapq
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillspark.operators import automata, search
 
@@ -85,6 +86,45 @@ def test_path_rows_join_up(spark, pairs):
         assert sum(r["cost"] for r in arcs) + accepts == pytest.approx(cost[k])
 
 
+def packed(arcs, most):
+    """arcs in rows of up to most arcs."""
+    row = arcs.groupBy("fst", F.floor((F.col("cost") * 10) % most).alias("k")).agg(F.collect_list(F.struct("src", "dst", "inp", "out", "cost")).alias("arcs"))
+    return row.select("fst", "arcs")
+
+
+def test_small_automata_are_searched_whole(spark, pairs, monkeypatch):
+    """Compositions of few arcs take one checkpoint, for the large ones, and no rounds, and rows of several arcs are taken."""
+    calls = []
+    monkeypatch.setattr(search, "cut", lambda df, cut=search.cut: calls.append(1) or cut(df))
+    want = {k: plain(p[0], p[2], p[1], p[3]) for k, p in pairs.items()}
+    (left, left_nodes), (right, right_nodes) = tables(spark, pairs, 0), tables(spark, pairs, 2)
+    got = {r["fst"]: (pytest.approx(r["cost"]), tuple(r["labels"])) for r in search.best_labels((packed(left, 3), left_nodes), (packed(right, 5), right_nodes)).collect()}
+    assert got == {k: w for k, w in want.items() if w}
+    assert len(calls) == 1
+
+
+@pytest.mark.parametrize("composed", [True, False])
+def test_whole_and_blocks_agree_on_ties(spark, composed):
+    """Of many paths of equal cost, circles of no cost among them, both searches take the same; automata of both kinds stand in one table."""
+    rng = random.Random(9)
+    whole = lambda arcs: [(s, d, i, o, float(int(c) % 3)) for s, d, i, o, c in arcs]
+    ties = {}
+    for k in range(40):
+        (a, a_ends), (b, b_ends) = automaton(rng, 9, 30 if k % 3 else 4, [0, 97, 98], True), automaton(rng, 5, 20 if k % 3 else 2, [0, 97, 98], True)
+        ties[k] = whole(a), {i: 1.0 for i in a_ends}, whole(b), {i: 0.0 for i in b_ends}
+    left, right = tables(spark, ties, 0), tables(spark, ties, 2) if composed else None
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    place = ["fst", "place", "l", "r", "inp", "out", "cost"]
+    ends, path = search._by_blocks(left, right, 3)
+    assert 10 < ends.count() < 40
+    for block in (3, 4096):
+        got_ends, got_path = search.best_arcs(left, right, block)
+        assert rows(got_ends) == rows(ends)
+        assert rows(got_path.select(place)) == rows(path.select(place))
+    large = {r["fst"] for r in search._large(left[0], right and right[0], 3).collect()}
+    assert 0 < len(large) < 40
+
+
 def test_long_chain_is_whole(spark):
     """A line of 50,000 arcs goes back through a dozen blocks and comes out whole; one without an end has no row."""
     n = 50_000
