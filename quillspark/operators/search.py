@@ -290,9 +290,11 @@ def _wholes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     """(fst, its rows by kind) of each automaton from rows (fst, kind, arcs) that are sorted by fst; one is held at a time."""
     key, held = None, ([], [], [], [])
     for batch in batches:
-        arcs = batch["arcs"]
-        rows = list(zip(*(_values(arcs.values.field(k)) for k in range(len(_ARC))), strict=True))
-        cuts = _values(arcs.offsets)
+        cuts = _values(batch["arcs"].offsets)
+        # The values of a slice are those of the whole array.
+        arcs = batch["arcs"].values.slice(cuts[0], cuts[-1] - cuts[0])
+        cuts = [c - cuts[0] for c in cuts]
+        rows = list(zip(*(_values(arcs.field(k)) for k in range(len(_ARC))), strict=True))
         for at, kind, first, last in zip(_values(batch["fst"]), _values(batch["kind"]), cuts, cuts[1:], strict=False):
             if at != key:
                 if key is not None:
@@ -334,10 +336,13 @@ def _all_solved(schema: pa.Schema, composed: bool) -> Callable:
 
 def _packed(arcs: DataFrame) -> DataFrame:
     """(fst, arcs): a row's arcs as an array."""
-    kind = f"array<struct<{', '.join(f'{c}: {t}' for c, t in _ARC.items())}>>"
-    if "arcs" in arcs.columns:
-        return arcs.select("fst", F.transform("arcs", lambda a: F.struct(*(a[c].cast(t).alias(c) for c, t in _ARC.items()))).cast(kind).alias("arcs"))
-    return arcs.select("fst", F.array(F.struct(*(F.col(c).cast(t).alias(c) for c, t in _ARC.items()))).cast(kind).alias("arcs"))
+    struct = lambda of: F.struct(*(of(c).cast(t).alias(c) for c, t in _ARC.items()))
+    if "arcs" not in arcs.columns:
+        return arcs.select("fst", F.array(struct(F.col)).alias("arcs"))
+    # What is as it should be is left alone, as Spark runs a transform without compiled code.
+    kind = f"array<struct<{','.join(f'{c}:{t}' for c, t in _ARC.items())}>>".replace("long", "bigint")
+    fits = arcs.schema["arcs"].dataType.simpleString() == kind
+    return arcs.select("fst", "arcs" if fits else F.transform("arcs", lambda a: struct(lambda c: a[c])).alias("arcs"))
 
 
 def _single(arcs: DataFrame) -> DataFrame:

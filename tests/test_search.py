@@ -3,6 +3,7 @@
 import heapq
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,6 +104,17 @@ def test_small_automata_are_searched_whole(spark, pairs, monkeypatch):
     assert len(calls) == 1
 
 
+def test_automata_come_whole_out_of_slices():
+    """Rows of an automaton may lie in several batches, and a batch may be a slice of a longer one; nulls stay nulls."""
+    kind = pa.list_(pa.struct([(c, pa.int64()) for c in ("src", "dst", "inp", "out")] + [("cost", pa.float64())]))
+    arc = lambda at, out: dict(src=at, dst=at + 1, inp=1, out=out, cost=0.5)
+    rows = [("a", 0, [arc(0, 1), arc(1, 2)]), ("a", 2, [arc(2, 0)]), ("b", 1, []), ("b", 0, [arc(0, None)]), ("c", 3, [arc(7, 7)])]
+    whole = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int32(), kind))], ["fst", "kind", "arcs"])
+    want = [("a", ([(0, 1, 1, 1, 0.5), (1, 2, 1, 2, 0.5)], [], [(2, 3, 1, 0, 0.5)], [])), ("b", ([(0, 1, 1, None, 0.5)], [], [], [])), ("c", ([], [], [], [(7, 8, 1, 7, 0.5)]))]
+    for cuts in ([0, 5], [0, 1, 5], [0, 1, 2, 3, 4, 5], [0, 3, 3, 5]):
+        assert list(search._wholes(whole.slice(a, b - a) for a, b in zip(cuts, cuts[1:]))) == want
+
+
 @pytest.mark.parametrize("composed", [True, False])
 def test_whole_and_blocks_agree_on_ties(spark, composed):
     """Of many paths of equal cost, circles of no cost among them, both searches take the same; automata of both kinds stand in one table."""
